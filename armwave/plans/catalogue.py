@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from armwave.plans import source_queries  # noqa: F401  (import registers the queries)
+from armwave.plans import column_queries, join_queries, source_queries  # noqa: F401  (imports register the queries)
 from armwave.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
