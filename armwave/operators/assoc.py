@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -196,8 +197,6 @@ def t_test_summary(m1: Column, s1: Column, n1: Column, m2: Column, s2: Column, n
 
 def p_value_column(t: str, free: str) -> Column:
     """Two-sided p of a t statistic for small result tables, in Arrow batches."""
-    import pandas as pd
-
     sf = dist.t_sf
 
     @F.pandas_udf("double")

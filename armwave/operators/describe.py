@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ def summary_cont(df: DataFrame, by: Sequence[str], y: str, level: float = 0.95)
 
     The t quantile depends on N only; it is looked up once per distinct N in Arrow batches.
     """
-    import pandas as pd
-
     quantile = dist.t_ppf
 
     @F.pandas_udf("double")

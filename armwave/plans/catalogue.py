@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from armwave.plans import column_queries, join_queries, source_queries  # noqa: F401  (imports register the queries)
+from armwave.plans import (  # noqa: F401  (imports register the queries)
+    column_queries,
+    describe_queries,
+    join_queries,
+    source_queries,
+    wave_queries,
+)
 from armwave.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

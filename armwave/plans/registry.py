@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from armwave.functions.numbers import CUT
+
 
 @dataclass(frozen=True)
 class Query:
@@ -33,4 +35,4 @@ def query(name: str, covers: str, sql: str | None = None):
 
 def sfix(expr: str, digits: int = 6) -> str:
     """SQL twin of ``functions.numbers.fixed``."""
-    return f"floor(({expr}) * 1e{digits} + 0.5) / 1e{digits}"
+    return f"floor(({expr}) * 1e{digits} + {CUT}) / 1e{digits}"
