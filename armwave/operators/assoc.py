@@ -50,9 +50,6 @@ def gram(df: DataFrame, cols: Sequence[str], centre: bool = True) -> DataFrame:
         shift = [means[c] or 0.0 for c in cols]
 
     def block_sums(batches):
-        import numpy as np
-        import pandas as pd
-
         total = None
         for batch in batches:
             x = batch.to_numpy(dtype="float64") - np.asarray(shift)

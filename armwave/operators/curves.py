@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,6 @@ def lowess(df: DataFrame, y: str, frac: float = 0.1, by: Sequence[str] = (), day
     schema = _schema_of(base, keys) + ", day double, smoothed double"
 
     def local_fit(pdf):
-        import numpy as np
-        import pandas as pd
-
         pdf = pdf.sort_values("day")
         x, n, w, wy = (pdf[c].to_numpy(dtype="float64") for c in ("day", "n", "w", "wy"))
         k = max(int(frac * n.sum() + 1e-10), 1)
@@ -119,9 +118,6 @@ def exp_fit(points: DataFrame, by: Sequence[str], x: str = "day", y: str = "mean
     schema = _schema_of(points, by) + ", a double, b double, c double, sse double"
 
     def fit(pdf):
-        import numpy as np
-        import pandas as pd
-
         pdf = pdf.dropna(subset=[y])
         found = [None, None, None, None]
         if len(pdf) >= 4:

@@ -15,6 +15,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,9 +130,6 @@ def _products(rows: DataFrame, width: int, extra: Sequence[str]) -> DataFrame:
     keys = ["model", *extra]
 
     def block_products(batches):
-        import numpy as np
-        import pandas as pd
-
         sums, counts = {}, {}
         for batch in batches:
             for key, part in batch.groupby(keys, sort=False):
