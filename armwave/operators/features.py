@@ -13,7 +13,7 @@ from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringInde
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armwave.operators import audit
@@ -238,31 +238,32 @@ def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, chunk_r
     """Fill nulls of ``cols`` with the mean of the k nearest rows that have a value there.
 
     Distance: root mean square over the columns both rows have (rescaled to all columns); ties go
-    to the smallest key. Equal rows are one donor pattern that remembers its count and first keys,
-    and equal incomplete rows are one question. Donor patterns are read in chunks of bounded size;
-    each chunk is compared with the questions inside Arrow batches, which keep k donors per
-    question and column. So no pair table exists, and no donor is left out.
+    to the smallest key. Equal rows are equally near, so only their k smallest keys can ever be
+    chosen (Spark applies that limit before the shuffle), and equal incomplete rows are one question.
+    Donors are read in chunks of bounded size; each chunk is compared with the questions inside
+    Arrow batches, which keep k donors per question and column: no pair table exists.
     """
     cols = list(cols)
     p = len(cols)
     values = df.select(F.col(key), *[F.col(c).cast("double").alias(c) for c in cols])
     complete = sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))
-    donors = values.where(complete > 0).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_key"))
+    nth = F.row_number().over(Window.partitionBy(*cols).orderBy(key))
+    donors = values.where(complete > 0).withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
     questions = values.where(complete < p).select(*cols).distinct()
     total = donors.count()
     chunks = max(1, math.ceil(total / chunk_rows))
-    donors = donors.withColumn("_chunk", F.pmod(F.xxhash64(*cols), F.lit(chunks)))
+    donors = donors.withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
     names = [f"q{i}" for i in range(p)]
-    schema = ", ".join(f"{c} double" for c in names) + ", target int, distance double, donor bigint, value double, n bigint"
+    schema = ", ".join(f"{c} double" for c in names) + ", target int, distance double, donor bigint, value double"
     asked = questions.select(*[F.col(c).alias(n) for c, n in zip(cols, names)])
     found = None
     for chunk in range(chunks):
-        rows = donors.where(F.col("_chunk") == chunk).select(*cols, "_n", "_key").toPandas()  # about chunk_rows rows
+        rows = donors.where(F.col("_chunk") == chunk).select(*cols, key).toPandas()  # about chunk_rows rows
         block = df.sparkSession.sparkContext.broadcast(
-            (rows[cols].to_numpy(dtype="float64"), rows["_n"].to_numpy(dtype="int64"), rows["_key"].to_numpy(dtype="int64")))
+            (rows[cols].to_numpy(dtype="float64"), rows[key].to_numpy(dtype="int64")))
 
         def nearest(batches, block=block):
-            d, counts, ids = block.value
+            d, ids = block.value
             have = ~np.isnan(d)
             filled = np.where(have, d, 0.0)
             for batch in batches:
@@ -280,18 +281,16 @@ def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, chunk_r
                             edge = np.partition(dist[usable], k - 1)[k - 1]
                             usable = usable[dist[usable] <= edge]
                         best = usable[np.lexsort((ids[usable], dist[usable]))][:k]
-                        out += [(*q, int(t), dist[i], ids[i], d[i, t], counts[i]) for i in best]
-                yield pd.DataFrame(out, columns=[*names, "target", "distance", "donor", "value", "n"])
+                        out += [(*q, int(t), dist[i], ids[i], d[i, t]) for i in best]
+                yield pd.DataFrame(out, columns=[*names, "target", "distance", "donor", "value"])
 
         part = asked.mapInPandas(nearest, schema)
         found = part if found is None else found.unionByName(part)
+    # chunks x k candidates per question and column
     best = found.groupBy(*names, "target").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("distance", "donor", "value", "n"))), 1, k).alias("near"))
-    # take k rows over the patterns in order: a pattern gives at most its own count
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"))
-    taken = F.aggregate("near", start, lambda acc, x: F.struct(
-        (acc["n"] + F.least(x["n"], k - acc["n"])).alias("n"), (acc["s"] + x["value"] * F.least(x["n"], k - acc["n"])).alias("s")))
-    means = best.select(*names, "target", F.try_divide(taken["s"], taken["n"]).alias("mean"))
+        F.slice(F.sort_array(F.collect_list(F.struct("distance", "donor", "value"))), 1, k).alias("near"))
+    mean = F.aggregate("near", F.lit(0.0), lambda s, x: s + x["value"]) / F.size("near")
+    means = best.select(*names, "target", mean.alias("mean"))
     wide = means.groupBy(*names).agg(*[F.max(F.when(F.col("target") == i, F.col("mean"))).alias(f"m{i}") for i in range(p)])
     same = None
     for c, n in zip(cols, names):

@@ -22,6 +22,7 @@ from armwave.operators.assoc import wilcoxon, wilcoxon_p
 from armwave.operators.describe import bounds
 from armwave.operators.features import group_folds, slot_names
 from armwave.operators.ordering import exact_percentiles, row_index
+from armwave.session import cut_lineage
 
 # Parameter grids of the batch run.
 FOREST_GRID = {"n_estimators": [100, 300], "max_depth": [10, None], "min_samples_split": [2, 10], "min_samples_leaf": [1, 4]}
@@ -94,12 +95,18 @@ def _parallel(jobs: Sequence[Callable], threads: int) -> list:
         return list(pool.map(lambda job: inheritable_thread_target(job)(), jobs))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Rows written once to the shared folder, so that many fits do not repeat their preparation."""
+    return cut_lineage(df)
+
+
 def fold_values(df: DataFrame, fold_col: str = "fold") -> list:
     return sorted(r[0] for r in df.select(fold_col).distinct().collect())  # a handful of folds
 
 
 def cross_validate(df: DataFrame, estimator: Estimator, label: str = "label", fold_col: str = "fold", threads: int = 4) -> tuple[DataFrame, dict[int, Model]]:
     """Metrics per fold (one job over all held-out rows) and the model of every fold."""
+    df = settled(df)
     folds = fold_values(df, fold_col)
 
     def fit(f):
@@ -117,9 +124,10 @@ def nested_cv(df: DataFrame, estimator: Estimator, maps: Sequence[dict], key: st
               inner: int = 3, metric: str = "rmse", parallelism: int = 4) -> list[dict]:
     """Outer folds by subject; the best parameters are searched inside each training part."""
     out = []
+    df = settled(df)
     for f in fold_values(df, fold_col):
         train, test = df.where(F.col(fold_col) != f).drop(fold_col), df.where(F.col(fold_col) == f)
-        search = grid_search(group_folds(train, key, inner, "inner"), estimator, maps, label, "inner", inner, metric, parallelism)
+        search = grid_search(settled(group_folds(train, key, inner, "inner")), estimator, maps, label, "inner", inner, metric, parallelism)
         scored = metrics(search.bestModel.transform(test), label).first().asDict()
         out.append({"fold": f, "params": str(best_params(search)), **scored})
     return out
@@ -143,8 +151,7 @@ def permute(df: DataFrame, col: str, key: str, seed: int, out: str | None = None
 def permutation_scores(df: DataFrame, estimator: Estimator, key: str, label: str = "label", fold_col: str = "fold",
                        n_permutations: int = 100, seed: int = 42, threads: int = 4) -> tuple[DataFrame, DataFrame]:
     """(actual, permuted) R2 rows: in each fold, y is shuffled in the training part and refitted."""
-    from armwave.session import cut_lineage
-
+    df = settled(df)
     actual, _ = cross_validate(df, estimator, label, fold_col, threads)
     tasks = [(f, i) for f in fold_values(df, fold_col) for i in range(n_permutations)]
 
@@ -152,7 +159,7 @@ def permutation_scores(df: DataFrame, estimator: Estimator, key: str, label: str
         def job():
             train = permute(df.where(F.col(fold_col) != f), label, key, seed * 100_003 + i * 101 + int(f))
             test = df.where(F.col(fold_col) == f)
-            row = metrics(estimator.fit(cut_lineage(train)).transform(test), label).first()
+            row = metrics(estimator.fit(settled(train)).transform(test), label).first()
             return int(f), i, row["r2"]
 
         return job

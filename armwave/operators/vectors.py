@@ -199,16 +199,57 @@ def near_edges(points: DataFrame, eps: float, pivots: int | None = None) -> Data
     core = cells.where(F.col("home") & F.col("core"))
     hub = core.groupBy("cell").agg(F.min("id").alias("u"))
     star = core.join(hub, "cell").where(F.col("id") != F.col("u")).select("u", F.col("id").alias("v"))
-    loose = cells.where(~F.col("core")).select("cell", F.col("id").alias("u"), F.col("v").alias("x"), F.col("home").alias("hu"))
-    every = cells.select("cell", F.col("id").alias("v"), F.col("v").alias("y"), F.col("home").alias("hv"), F.col("core").alias("cv"))
-    gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t)
-    # a loose pair is compared once (u < v); loose-core pairs whenever one of them is at home
-    pairs = loose.join(every, "cell").where((F.col("hu") | F.col("hv")) & (F.col("cv") | (F.col("u") < F.col("v"))) & (gap <= eps * eps))
+    # a loose point is compared, in its home cell only, with every point copied there
+    loose = cells.where(~F.col("core") & F.col("home")).select("cell", "id", "v")
+    links = _block_links(loose, cells.select("cell", "id", "v"), eps)
     # members of two piles: one of them must lie within 1.5 eps of the other pile's pivot
-    guests = cells.where(F.col("core") & ~F.col("home") & (F.col("gap") <= 1.5 * eps + 1e-6)).select("cell", F.col("id").alias("u"), F.col("v").alias("x"))
-    homes = core.select("cell", F.col("id").alias("v"), F.col("v").alias("y"))
-    across = guests.join(homes, "cell").where(gap <= eps * eps)
-    return star.unionByName(pairs.select("u", "v")).unionByName(across.select("u", "v")).distinct()
+    guests = cells.where(F.col("core") & ~F.col("home") & (F.col("gap") <= 1.5 * eps + 1e-6)).select("cell", "id", "v")
+    across = _block_links(guests, core.select("cell", "id", "v"), eps)
+    return star.unionByName(links).unionByName(across).distinct()
+
+
+def _block_links(left: DataFrame, right: DataFrame, eps: float, block: int = 1024) -> DataFrame:
+    """Links between left and right points of one cell that are within eps of each other.
+
+    Both sides of a cell are cut into blocks of about ``block`` rows, and every pair of blocks is
+    one small group, so a crowded cell is many tasks. A group returns one link per point it
+    connects, not the pairs: the connections are the same and the output stays linear.
+    """
+    kind = dict(left.dtypes)["id"]
+    sizes = left.groupBy("cell").agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy("cell").agg(F.count(F.lit(1)).alias("_r")), "cell")
+    sizes = cut_lineage(sizes.select("cell", F.ceil(F.col("_l") / block).cast("int").alias("_l"), F.ceil(F.col("_r") / block).cast("int").alias("_r")))
+    sizes = F.broadcast(sizes)  # one row per pivot: at most 4096
+
+    def cut(df, own, other, mine, theirs):
+        part = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        return df.join(sizes, "cell").select("cell", "id", "v", part.alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs))
+
+    def link(a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "v": []})
+        x, y = np.stack(a["v"].to_numpy()).astype("float64"), np.stack(b["o_v"].to_numpy()).astype("float64")
+        near = (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None, :] <= eps * eps + 1e-6
+        i, j = np.nonzero(near)
+        for start in range(0, len(i), 65536):  # exact check of the candidates
+            p, q = i[start:start + 65536], j[start:start + 65536]
+            near[p, q] = ((x[p] - y[q]) ** 2).sum(1) <= eps * eps
+        top = len(a)
+        own = np.arange(top)
+        while True:  # smallest left row reachable through near pairs
+            over = np.where(near, own[:, None], top).min(axis=0)
+            low = np.minimum(own, np.where(near, over[None, :], top).min(axis=1))
+            low = low[low]
+            if (low == own).all():
+                break
+            own = low
+        ids, other = a["id"].to_numpy(), b["o_id"].to_numpy()
+        hit = over < top
+        u, v = np.concatenate([ids[own], ids[over[hit]]]), np.concatenate([ids, other[hit]])
+        return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
+
+    a = cut(left, "_l", "_r", "lb", "rb").groupBy("cell", "lb", "rb")
+    b = cut(right, "_r", "_l", "rb", "lb").select(*[F.col(c).alias(f"o_{c}") for c in ("cell", "lb", "rb", "id", "v")])
+    return a.cogroup(b.groupBy("o_cell", "o_lb", "o_rb")).applyInPandas(link, f"u {kind}, v {kind}")
 
 
 def density_clusters(df: DataFrame, key: str, vec: str, eps: float, min_size: int = 2, pivots: int | None = None) -> DataFrame:

@@ -224,7 +224,7 @@ def _model_rows(spark, sf_dir):
 def _vectors(spark, sf_dir, corr_threshold=None, folds=3):
     rows, kinds = _model_rows(spark, sf_dir)
     done = features.feature_pipeline(kinds, corr_threshold).fit(rows).transform(rows)
-    return features.group_folds(done.select("visit_id", "subject", "label", "features"), "subject", folds)
+    return models.settled(features.group_folds(done.select("visit_id", "subject", "label", "features"), "subject", folds))
 
 
 @query("filled_categories", "L5 L6", _V + """

@@ -197,7 +197,7 @@ def prompt_texts(spark, sf_dir):
 @query("response_phrases", "F21", """
 select item_id, list_filter(list_transform(string_split(text, '. '), lambda x: trim(x)), lambda x: x <> '') as phrases from benchmark""")
 def response_phrases(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", text.phrases("text", ". ").alias("phrases"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.phrases("text", ". ").cast("array<string>").alias("phrases"))
 
 
 @query("question_words", "F22", r"""
