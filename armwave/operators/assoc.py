@@ -19,7 +19,7 @@ from armwave.operators.ordering import running_sum
 
 
 def corr_with(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
-    """Pearson r of one score with many columns, with n and a two-sided p (pairwise complete)."""
+    """Pearson r of one score with many columns, with the number of complete pairs."""
     both = {x: F.col(x).isNotNull() & F.col(y).isNotNull() for x in xs}
     wide = df.agg(
         *[F.corr(y, x).alias(f"r_{x}") for x in xs],
@@ -29,6 +29,13 @@ def corr_with(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+def with_corr_p(correlations: DataFrame) -> DataFrame:
+    """Adds the two-sided p of every (r, n) row."""
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r")))
+    rows = correlations.withColumns({"t": t, "free": F.col("n") - 2})
+    return rows.withColumn("p", p_value_column("t", "free")).drop("t", "free")
+
+
 def corr_p_value(r: float, n: int) -> float:
     if n < 3 or abs(r) >= 1:
         return 0.0 if abs(r) >= 1 else float("nan")

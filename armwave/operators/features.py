@@ -139,7 +139,8 @@ def category_stages(cols: Sequence[str], kind: str, hash_size: int | None = None
     if hash_size is not None:
         return [FeatureHasher(inputCols=list(cols), outputCol=f"{kind}__hashed", numFeatures=hash_size)], [f"{kind}__hashed"]
     index = StringIndexer(inputCols=list(cols), outputCols=[f"{c}__{kind}_index" for c in cols], handleInvalid="keep", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{kind}__{c}" for c in cols], handleInvalid="keep", dropLast=True)
+    # the indexer files unseen values under one last label, and dropLast leaves exactly that one out
+    hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{kind}__{c}" for c in cols], dropLast=True)
     return [index, hot], hot.getOutputCols()
 
 

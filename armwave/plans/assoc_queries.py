@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from armwave.functions.numbers import fixed
@@ -238,8 +240,9 @@ from s a join s b on a.arm < b.arm""")
 def summary_t_tests(spark, sf_dir):
     s = visits(spark, sf_dir).groupBy("arm").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("sd"), F.count("score").alias("n"))
     a, b = (s.select(*[F.col(c).alias(f"{c}_{x}") for c in s.columns]) for x in "ab")
+    pairs = spark.createDataFrame(list(itertools.combinations("ACLMP", 2)), "arm_a string, arm_b string")
     t, free = assoc.t_test_summary(*[F.col(f"{c}_{x}") for x in "ab" for c in ("m", "sd", "n")])
-    return a.join(b, F.col("arm_a") < F.col("arm_b")).select("arm_a", "arm_b", fixed(t).alias("t"), free.alias("free"))
+    return pairs.join(a, "arm_a").join(b, "arm_b").select("arm_a", "arm_b", fixed(t).alias("t"), free.alias("free"))
 
 
 @query("signed_rank_test", "C10 W8", _V + _PAIR_SQL + """, d as (select score_a - score_b as d from p where score_a <> score_b),
