@@ -110,18 +110,27 @@ class Fit:
 # ---- sums ---------------------------------------------------------------------------------------
 
 def _stack(df: DataFrame, group: str, specs: Sequence[Spec], width: int) -> DataFrame:
-    """One row per (row, model it belongs to): model number, subject and z, padded to one width."""
+    """One row per (row, model it belongs to): model number, subject and z, padded to one width.
+
+    Plain columns only, so that the whole stage is generated code; complete cases are kept.
+    """
+    zs = [f"z{i}" for i in range(width)]
     entries = []
     for m, spec in enumerate(specs):
-        z = [c for _, c in spec.terms]
-        z += [F.lit(0.0)] * (width - 1 - len(z)) + [F.col(spec.outcome).cast("double")]
-        usable = F.col(group).isNotNull()
-        usable = usable & spec.where if spec.where is not None else usable
-        values = F.array(*z)
-        whole = ~F.exists(values, lambda v: v.isNull() | F.isnan(v))
-        entries.append(F.when(usable & whole, F.struct(F.lit(m).alias("model"), values.alias("z"))))
-    rows = df.select(F.col(group).alias("subject"), F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    return rows.select("subject", "e.model", *[F.get("e.z", F.lit(i)).alias(f"z{i}") for i in range(width)])
+        values = [c for _, c in spec.terms]
+        values += [F.lit(0.0)] * (width - 1 - len(values)) + [F.col(spec.outcome).cast("double")]
+        row = F.struct(F.lit(m).alias("model"), *[c.alias(z) for z, c in zip(zs, values)])
+        entries.append(row if spec.where is None else F.when(spec.where, row))
+    rows = df.where(F.col(group).isNotNull())
+    if len(specs) == 1:
+        rows = rows if specs[0].where is None else rows.where(specs[0].where)
+        rows = rows.select(F.col(group).alias("subject"), F.lit(0).alias("model"), *[c.alias(z) for z, c in zip(zs, values)])
+    else:
+        rows = rows.select(F.col(group).alias("subject"), F.inline(F.array(*entries)))
+    complete = F.col("model").isNotNull()
+    for z in zs:
+        complete = complete & F.col(z).isNotNull() & ~F.isnan(z)
+    return rows.where(complete)
 
 
 def _products(rows: DataFrame, width: int, extra: Sequence[str]) -> DataFrame:
@@ -132,7 +141,8 @@ def _products(rows: DataFrame, width: int, extra: Sequence[str]) -> DataFrame:
     def block_products(batches):
         sums, counts = {}, {}
         for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
+            one = len(keys) == 1 and len(batch) and batch["model"].iloc[0] == batch["model"].min() == batch["model"].max()
+            for key, part in [((int(batch["model"].iloc[0]),), batch)] if one else batch.groupby(keys, sort=False):
                 z = part[zs].to_numpy(dtype="float64")
                 sums[key] = sums.get(key, 0.0) + z.T @ z
                 counts[key] = counts.get(key, 0) + len(part)

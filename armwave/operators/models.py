@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armwave.functions.numbers import truncate
@@ -90,9 +90,9 @@ def metrics(df: DataFrame, y: str = "label", yhat: str = "prediction", by: Seque
     return out.select(*by, "n", "mse", F.sqrt("mse").alias("rmse"), "mae", (F.lit(1.0) - F.try_divide(F.col("mse"), F.col("_v"))).alias("r2"))
 
 
-def _parallel(jobs: Sequence[Callable], threads: int) -> list:
+def _parallel(spark: SparkSession, jobs: Sequence[Callable], threads: int) -> list:
     with ThreadPoolExecutor(max(1, threads)) as pool:
-        return list(pool.map(lambda job: inheritable_thread_target(job)(), jobs))
+        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def cross_validate(df: DataFrame, estimator: Estimator, label: str = "label", fo
     def fit(f):
         return lambda: estimator.fit(df.where(F.col(fold_col) != f))
 
-    models = dict(zip(folds, _parallel([fit(f) for f in folds], threads)))
+    models = dict(zip(folds, _parallel(df.sparkSession, [fit(f) for f in folds], threads)))
     held = None
     for f, model in models.items():
         part = model.transform(df.where(F.col(fold_col) == f)).select(fold_col, label, "prediction")
@@ -164,7 +164,7 @@ def permutation_scores(df: DataFrame, estimator: Estimator, key: str, label: str
 
         return job
 
-    rows = _parallel([run(f, i) for f, i in tasks], threads)
+    rows = _parallel(df.sparkSession, [run(f, i) for f, i in tasks], threads)
     return actual.select(fold_col, "r2"), df.sparkSession.createDataFrame(rows, f"{fold_col} int, permutation int, r2 double")
 
 

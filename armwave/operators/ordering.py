@@ -18,6 +18,8 @@ _CUTS = 48
 
 
 def _count_below(col: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below the value. The filter binds the value once; a chain of comparisons
+    would evaluate the order expression again for every cut."""
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < col)) if cuts else F.lit(0)
 
 
