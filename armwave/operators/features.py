@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from armwave.operators import audit
 from armwave.operators.assoc import correlated_columns
+from armwave.operators.blocks import block_pairs
 from armwave.operators.ordering import running_sum
 
 
@@ -235,59 +236,60 @@ def group_folds(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFrame
 
 # ---- nearest-neighbour imputation ---------------------------------------------------------------
 
-def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, chunk_rows: int = 50_000) -> DataFrame:
+def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, max_bytes: int = 32 << 20) -> DataFrame:
     """Fill nulls of ``cols`` with the mean of the k nearest rows that have a value there.
 
     Distance: root mean square over the columns both rows have (rescaled to all columns); ties go
     to the smallest key. Equal rows are equally near, so only their k smallest keys can ever be
     chosen (Spark applies that limit before the shuffle), and equal incomplete rows are one question.
-    Donors are read in chunks of bounded size; each chunk is compared with the questions inside
-    Arrow batches, which keep k donors per question and column: no pair table exists.
+    Donors that fit ``max_bytes`` are broadcast; otherwise questions and donors are compared block by
+    block on the cluster. Each comparison keeps k donors per question and column: there is no pair table.
     """
     cols = list(cols)
     p = len(cols)
-    values = df.select(F.col(key), *[F.col(c).cast("double").alias(c) for c in cols])
+    values = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in cols])
     complete = sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy(*cols).orderBy(key))
+    nth = F.row_number().over(Window.partitionBy(*cols).orderBy("_key"))
     donors = values.where(complete > 0).withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
-    questions = values.where(complete < p).select(*cols).distinct()
-    total = donors.count()
-    chunks = max(1, math.ceil(total / chunk_rows))
-    donors = donors.withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
     names = [f"q{i}" for i in range(p)]
+    asked = values.where(complete < p).select(*[F.col(c).alias(n) for c, n in zip(cols, names)]).distinct()
     schema = ", ".join(f"{c} double" for c in names) + ", target int, distance double, donor bigint, value double"
-    asked = questions.select(*[F.col(c).alias(n) for c, n in zip(cols, names)])
-    found = None
-    for chunk in range(chunks):
-        rows = donors.where(F.col("_chunk") == chunk).select(*cols, key).toPandas()  # about chunk_rows rows
-        block = df.sparkSession.sparkContext.broadcast(
-            (rows[cols].to_numpy(dtype="float64"), rows[key].to_numpy(dtype="int64")))
-
-        def nearest(batches, block=block):
-            d, ids = block.value
-            have = ~np.isnan(d)
-            filled = np.where(have, d, 0.0)
+
+    def nearest(questions, d, ids):
+        have = ~np.isnan(d)
+        filled = np.where(have, d, 0.0)
+        out = []
+        for q in questions:
+            seen = ~np.isnan(q)
+            both = have[:, seen]
+            shared = both.sum(axis=1)
+            gap = np.where(both, filled[:, seen] - q[seen], 0.0)
+            dist = np.where(shared > 0, (gap * gap).sum(axis=1) * p / np.maximum(shared, 1), np.inf)
+            for t in np.flatnonzero(~seen):
+                usable = np.flatnonzero(have[:, t] & np.isfinite(dist))
+                if len(usable) > k:
+                    usable = usable[dist[usable] <= np.partition(dist[usable], k - 1)[k - 1]]
+                best = usable[np.lexsort((ids[usable], dist[usable]))][:k]
+                out += [(*q, int(t), dist[i], ids[i], d[i, t]) for i in best]
+        return pd.DataFrame(out, columns=[*names, "target", "distance", "donor", "value"])
+
+    if donors.count() * (p + 1) * 8 <= max_bytes:
+        small = donors.toPandas()
+        block = df.sparkSession.sparkContext.broadcast((small[cols].to_numpy(dtype="float64"), small["_key"].to_numpy(dtype="int64")))
+
+        def compare_batches(batches):
             for batch in batches:
-                out = []
-                for q in batch.to_numpy(dtype="float64"):
-                    seen = ~np.isnan(q)
-                    both = have[:, seen]
-                    shared = both.sum(axis=1)
-                    gap = np.where(both, filled[:, seen] - q[seen], 0.0)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        dist = np.where(shared > 0, (gap * gap).sum(axis=1) * p / shared, np.inf)
-                    for t in np.flatnonzero(~seen):
-                        usable = np.flatnonzero(have[:, t] & np.isfinite(dist))
-                        if len(usable) > k:
-                            edge = np.partition(dist[usable], k - 1)[k - 1]
-                            usable = usable[dist[usable] <= edge]
-                        best = usable[np.lexsort((ids[usable], dist[usable]))][:k]
-                        out += [(*q, int(t), dist[i], ids[i], d[i, t]) for i in best]
-                yield pd.DataFrame(out, columns=[*names, "target", "distance", "donor", "value"])
-
-        part = asked.mapInPandas(nearest, schema)
-        found = part if found is None else found.unionByName(part)
-    # chunks x k candidates per question and column
+                yield nearest(batch.to_numpy(dtype="float64"), *block.value)
+
+        found = asked.mapInPandas(compare_batches, schema)
+    else:
+        def compare_blocks(x, y):
+            return nearest(x[names].to_numpy(dtype="float64"), y[[f"o_{c}" for c in cols]].to_numpy(dtype="float64"), y["o__key"].to_numpy(dtype="int64"))
+
+        rows = max(k, max_bytes // ((p + 1) * 8))
+        found = block_pairs(asked.withColumn("_cell", F.lit(0)), donors.withColumn("_cell", F.lit(0)), "_cell", names, ["_key"],
+                            compare_blocks, schema, min(rows, 16384), rows)
+    # blocks x k candidates per question and column
     best = found.groupBy(*names, "target").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("distance", "donor", "value"))), 1, k).alias("near"))
     mean = F.aggregate("near", F.lit(0.0), lambda s, x: s + x["value"]) / F.size("near")

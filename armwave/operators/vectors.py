@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from armwave.operators.blocks import block_pairs
 from armwave.session import cut_lineage
 
 
@@ -37,67 +38,74 @@ def embed(df: DataFrame, col: str, out: str = "vector", size: int = 256, encoder
     return done.withColumn(out, vector_to_array("_unit")).drop("_words", "_tf", "_idf", "_unit")
 
 
-def _blocks(b: DataFrame, b_id: str, vec: str, max_bytes: int):
-    """The matching side as (ids, unit matrix) blocks of bounded size, one at a time."""
-    size = b.select(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    if not size["n"]:
-        return
-    count = max(1, math.ceil(size["n"] * size["d"] * 8 / max_bytes))
-    keyed = b.select(F.col(b_id).alias("id"), F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    for i in range(count):
-        rows = keyed.where(F.pmod(F.xxhash64("id"), F.lit(count)) == i).orderBy("id").collect()  # about max_bytes
-        if rows:
-            m = np.array([r["v"] for r in rows], dtype="float64")
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            yield np.array([r["id"] for r in rows]), m / np.where(norm > 0, norm, 1.0)
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype("float64")
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1.0)
 
 
 def _against(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec: str, keep: int | None, min_sim: float | None, max_bytes: int) -> DataFrame:
-    """Similarities of each a row to the b rows, block by block; ``keep`` best per block if given."""
+    """Similarities of each a row to the b rows; with ``keep``, the best per a row and block of b.
+
+    If b fits ``max_bytes`` it is broadcast and a is not shuffled; otherwise both sides are cut
+    into blocks and compared on the cluster.
+    """
     types = dict(a.dtypes)[a_id], dict(b.dtypes)[b_id]
     schema = f"a_id {types[0]}, b_id {types[1]}, similarity double"
-    rows = a.select(F.col(a_id).alias("a_id"), F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    out = None
-    for ids, matrix in _blocks(b, b_id, vec, max_bytes):
-        shared = a.sparkSession.sparkContext.broadcast((ids, matrix))
 
-        def score(batches, shared=shared):
+    def side(df, key):
+        return df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+
+    left, right = side(a, a_id), side(b, b_id)
+
+    def score(own, x, ids, m):
+        """Both sides as unit rows; ids in order, so the first of equal values has the smallest id."""
+        sims = x @ m.T
+        if keep is None:
+            i, j = np.nonzero(np.ones_like(sims, dtype=bool) if min_sim is None else sims >= min_sim)
+        elif keep == 1:
+            i, j = np.arange(len(own)), sims.argmax(axis=1)
+        else:
+            picks = []
+            for line in sims:
+                edge = np.partition(line, max(len(line) - keep, 0))[max(len(line) - keep, 0)]
+                near = np.flatnonzero(line >= edge)
+                picks.append(near[np.argsort(-line[near], kind="stable")][:keep])
+            i, j = np.repeat(np.arange(len(own)), [len(p) for p in picks]), np.concatenate(picks)
+        return pd.DataFrame({"a_id": own[i], "b_id": ids[j], "similarity": sims[i, j]})
+
+    size = right.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    if not size["n"]:
+        return left.select(F.col("id").alias("a_id"), F.lit(None).cast(types[1]).alias("b_id"), F.lit(0.0).alias("similarity")).limit(0)
+    if size["n"] * size["d"] * 8 <= max_bytes:
+        small = right.orderBy("id").toPandas()
+        shared = a.sparkSession.sparkContext.broadcast((small["id"].to_numpy(), _unit(small["v"])))
+
+        def score_batches(batches):
             ids, m = shared.value
             for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.stack(batch["v"].to_numpy()).astype("float64")
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                sims = (x / np.where(norm > 0, norm, 1.0)) @ m.T
-                own = batch["a_id"].to_numpy()
-                if keep is None:
-                    hit = np.ones_like(sims, dtype=bool) if min_sim is None else sims >= min_sim
-                    i, j = np.nonzero(hit)
-                    yield pd.DataFrame({"a_id": own[i], "b_id": ids[j], "similarity": sims[i, j]})
-                elif keep == 1:
-                    j = sims.argmax(axis=1)  # ids are in order: the first of equal values has the smallest id
-                    yield pd.DataFrame({"a_id": own, "b_id": ids[j], "similarity": sims[np.arange(len(own)), j]})
-                else:
-                    picks = []
-                    for line in sims:
-                        edge = np.partition(line, max(len(line) - keep, 0))[max(len(line) - keep, 0)]
-                        near = np.flatnonzero(line >= edge)
-                        picks.append(near[np.argsort(-line[near], kind="stable")][:keep])
-                    i = np.repeat(np.arange(len(own)), [len(j) for j in picks])
-                    j = np.concatenate(picks)
-                    yield pd.DataFrame({"a_id": own[i], "b_id": ids[j], "similarity": sims[i, j]})
-
-        part = rows.mapInPandas(score, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+                if len(batch):
+                    yield score(batch["id"].to_numpy(), _unit(batch["v"]), ids, m)
+
+        return left.mapInPandas(score_batches, schema)
+
+    def score_blocks(x, y):
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a_id": [], "b_id": [], "similarity": []})
+        y = y.sort_values("o_id")
+        return score(x["id"].to_numpy(), _unit(x["v"]), y["o_id"].to_numpy(), _unit(y["o_v"]))
+
+    rows = max(1, max_bytes // (size["d"] * 8))
+    return block_pairs(left.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0)), "cell", ["id"], ["id"],
+                       score_blocks, schema, min(rows, 16384), rows)
 
 
 def cosine_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec: str = "vector", min_sim: float | None = None,
                  max_bytes: int = 64 << 20) -> DataFrame:
     """Cosine similarity of every a row with every b row (the result is the full matrix by definition).
 
-    b is read in blocks of bounded size and shared with the tasks, so a is never shuffled; with
-    ``min_sim`` only the pairs at or above it leave a task.
+    A small b is shared with the tasks, so a is not shuffled; a large one is compared in blocks.
+    With ``min_sim`` only the pairs at or above it leave a task.
     """
     return _against(a, b, a_id, b_id, vec, None, min_sim, max_bytes)
 
@@ -216,13 +224,6 @@ def _block_links(left: DataFrame, right: DataFrame, eps: float, block: int = 102
     connects, not the pairs: the connections are the same and the output stays linear.
     """
     kind = dict(left.dtypes)["id"]
-    sizes = left.groupBy("cell").agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy("cell").agg(F.count(F.lit(1)).alias("_r")), "cell")
-    sizes = cut_lineage(sizes.select("cell", F.ceil(F.col("_l") / block).cast("int").alias("_l"), F.ceil(F.col("_r") / block).cast("int").alias("_r")))
-    sizes = F.broadcast(sizes)  # one row per pivot: at most 4096
-
-    def cut(df, own, other, mine, theirs):
-        part = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-        return df.join(sizes, "cell").select("cell", "id", "v", part.alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs))
 
     def link(a, b):
         if not len(a) or not len(b):
@@ -247,9 +248,7 @@ def _block_links(left: DataFrame, right: DataFrame, eps: float, block: int = 102
         u, v = np.concatenate([ids[own], ids[over[hit]]]), np.concatenate([ids, other[hit]])
         return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
-    a = cut(left, "_l", "_r", "lb", "rb").groupBy("cell", "lb", "rb")
-    b = cut(right, "_r", "_l", "rb", "lb").select(*[F.col(c).alias(f"o_{c}") for c in ("cell", "lb", "rb", "id", "v")])
-    return a.cogroup(b.groupBy("o_cell", "o_lb", "o_rb")).applyInPandas(link, f"u {kind}, v {kind}")
+    return block_pairs(left, right, "cell", ["id"], ["id"], link, f"u {kind}, v {kind}", block, block)
 
 
 def density_clusters(df: DataFrame, key: str, vec: str, eps: float, min_size: int = 2, pivots: int | None = None) -> DataFrame:

@@ -25,8 +25,8 @@ def direct_knn(x, keys, k):
     return out
 
 
-@pytest.mark.parametrize("chunk_rows", [50_000, 20])
-def test_knn_impute(spark, chunk_rows):
+@pytest.mark.parametrize("max_bytes", [32 << 20, 1000])
+def test_knn_impute(spark, max_bytes):
     rng = np.random.default_rng(8)
     x = rng.integers(0, 4, size=(150, 4)).astype(float)  # many equal rows and ties
     x[:, 0] += rng.normal(size=150).round(1)
@@ -36,7 +36,7 @@ def test_knn_impute(spark, chunk_rows):
     keys = rng.permutation(150)
     cols = list("abcd")
     df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(key=keys)).select("key", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
-    got = features.knn_impute(df.repartition(5), cols, "key", 5, chunk_rows).toPandas().set_index("key").loc[keys, cols].to_numpy()
+    got = features.knn_impute(df.repartition(5), cols, "key", 5, max_bytes).toPandas().set_index("key").loc[keys, cols].to_numpy()
     np.testing.assert_allclose(got, direct_knn(x, keys, 5), atol=1e-9)
 
 
