@@ -263,6 +263,18 @@ def variance_inflation(spark, sf_dir):
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "variable string, vif double")
 
 
+@query("variance_inflation_by_determinant", "C11", "with " + ITEMS_SQL + """,
+r as (select corr(l_quantity, l_extendedprice) as ab, corr(l_quantity, l_quantity + l_linenumber) as ac, corr(l_extendedprice, l_quantity + l_linenumber) as bc from items),
+d as (select *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc as det from r)""" + f"""
+select 'l_quantity' as variable, {sfix('(1 - bc * bc) / det', 4)} as vif from d union all select 'l_extendedprice', {sfix('(1 - ac * ac) / det', 4)} from d
+union all select 'moved', {sfix('(1 - ab * ab) / det', 4)} from d""")
+def variance_inflation_by_determinant(spark, sf_dir):
+    i = items(spark, sf_dir).withColumn("moved", F.col("l_quantity") + F.col("l_linenumber"))
+    found = assoc.vif(i, ["l_quantity", "l_extendedprice", "moved"])
+    rows = spark.createDataFrame([(k, float(v)) for k, v in found.items()], "variable string, vif double")
+    return rows.withColumn("vif", fixed("vif", 4))
+
+
 @query("residual_table", "C12", "with " + ITEMS_SQL + """, b as (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from items)
 select l_orderkey, l_linenumber, l_partkey, """ + sfix("l_extendedprice - (i + s * l_quantity)", 3) + " as residual from items, b")
 def residual_table(spark, sf_dir):

@@ -46,6 +46,46 @@ def one_visit_model(spark, sf_dir):
     return mixed.coef_table(spark, [fit]).select("term", fixed("coef").alias("coef"))
 
 
+# With one row per subject the mixed model is least squares on arm means, so SQL can check tests and contrasts too.
+_FIRST_SQL = _V + """, f as (select subject, any_value(arm) as arm, arg_min(score, visit_id) filter (score is not null) as score from visits group by subject),
+g as (select arm, avg(score) as m, var_samp(score) as v, count(score) as n from f where score is not null group by arm),
+t as (select sum((n - 1) * v) / (sum(n) - count(*)) as s2, sum(n * m) / sum(n) as grand, count(*) as k, sum(n) as total from g)"""
+
+
+def _first_scores(spark, sf_dir):
+    v = visits(spark, sf_dir).where("score is not null").withColumn("day", F.lit(0))
+    return waves.one_per_subject(v, "subject")
+
+
+def _arm_fit(spark, sf_dir):
+    return mixed.fit_random_intercept(_first_scores(spark, sf_dir), "score", mixed.design({"arm": mixed.factor("arm", "MPCLA", "A")}, [("arm",)]))
+
+
+_PAIRS = (("M vs P", "M", "P"), ("C vs M", "C", "M"), ("C vs P", "C", "P"), ("L vs M", "L", "M"), ("L vs P", "L", "P"), ("L vs C", "L", "C"))
+
+
+@query("one_visit_contrasts", "M5", _FIRST_SQL + " union all ".join(
+    f" select '{name}' as contrast, {sfix('a.m - b.m')} as estimate, {sfix('sqrt(s2 * (1 / a.n + 1 / b.n))')} as se from t, g a, g b where a.arm = '{x}' and b.arm = '{y}'"
+    for name, x, y in _PAIRS))
+def one_visit_contrasts(spark, sf_dir):
+    rows = mixed.contrasts_table(spark, [_arm_fit(spark, sf_dir)])
+    return rows.select("contrast", fixed("estimate").alias("estimate"), fixed("se").alias("se"))
+
+
+@query("one_visit_f_test", "M4", _FIRST_SQL + f" select 'treat' as test, {sfix('sum(n * (m - grand) ** 2) / (any_value(k) - 1) / any_value(s2)')} as f_value, cast(any_value(k) - 1 as int) as q from g, t")
+def one_visit_f_test(spark, sf_dir):
+    rows = mixed.tests_table(spark, [_arm_fit(spark, sf_dir)])
+    return rows.select("test", fixed("f_value").alias("f_value"), "q")
+
+
+@query("one_visit_coefficients", "M1 M3", _FIRST_SQL + f""" select case when g.arm = 'A' then 'intercept' else 'arm[' || g.arm || ']' end as term,
+  {sfix("g.m - case when g.arm = 'A' then 0 else a.m end")} as coef, {sfix("sqrt(s2 * (1 / a.n + case when g.arm = 'A' then 0 else 1 / g.n end))")} as se
+from g, t, g a where a.arm = 'A'""")
+def one_visit_coefficients(spark, sf_dir):
+    rows = mixed.coef_table(spark, [_arm_fit(spark, sf_dir)])
+    return rows.select("term", fixed("coef").alias("coef"), fixed("se").alias("se"))
+
+
 @query("arm_contrasts", "M5 F17", None)
 def arm_contrasts(spark, sf_dir):
     v = visits(spark, sf_dir)
@@ -329,6 +369,17 @@ def prediction_metrics(spark, sf_dir):
     return m.withColumns({c: fixed(c) for c in ("mse", "rmse", "mae", "r2")})
 
 
+@query("run_table_row", "L23 F13 F10", _V + """, p as (select rater as fold, score as y, 2.5 + day / 1000 as p from visits where score is not null),
+m as (select fold, avg((y - p) ** 2) as mse, sqrt(avg((y - p) ** 2)) as rmse, avg(abs(y - p)) as mae, 1 - avg((y - p) ** 2) / var_pop(y) as r2 from p group by fold)
+select 'linear rule' as model, 'by rater' as cross_validation, concat('intercept: 2.5', chr(10), 'slope: 0.001') as params, """ + ", ".join(
+    f"case when avg({c}) < 0 then -(floor(abs(avg({c})) * 1e4) / 1e4) else floor(abs(avg({c})) * 1e4) / 1e4 end as {c}" for c in ("mse", "rmse", "mae", "r2"))
+       + ", 'score' as outcome, 'all' as input, 'none' as feature_selection, 50 as threshold from m")
+def run_table_row(spark, sf_dir):
+    p = visits(spark, sf_dir).withColumn("p", F.lit(2.5) + F.col("day") / 1000)
+    info = {"model": "linear rule", "cv": "by rater", "outcome": "score", "input": "all", "selection": "none", "threshold": 50}
+    return models.result_row(models.metrics(p, "score", "p", ["rater"]), info, {"intercept": 2.5, "slope": 0.001})
+
+
 @query("permutation_statistics", "L18", f"""
 with a as (select avg(r) as m from (select avg(p_retailprice) - 60 as r from part group by p_size % 5)), p as (select p_retailprice / 1.1 as s from part)
 select count(*) as n, {sfix('any_value(m)', 4)} as mean_score, {sfix('avg((s >= m)::int)')} as p_value, {sfix('avg(s)', 4)} as perm_mean, {sfix('stddev_samp(s)', 4)} as perm_sd,

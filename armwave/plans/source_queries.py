@@ -73,9 +73,10 @@ def folder_read(spark, sf_dir):
     return first.unionByName(second, allowMissingColumns=True).select("table", "id", "segment", "brand")
 
 
-@query("folder_scan", "S4", None)
+@query("folder_scan", "S4", """
+select 'part-' as "table", cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation""")
 def folder_scan(spark, sf_dir):
-    """Every file of a written folder read back with its table name (file names are chosen by Spark)."""
+    """Every file of a written folder read back with its name prefix (Spark names its files part-0...)."""
     folder = scratch_path(spark, "scan")
     table(spark, sf_dir, "nation").write.option("header", True).csv(folder)
     return tables.read_folder(spark, folder)
