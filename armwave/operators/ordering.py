@@ -1,41 +1,59 @@
 """Order-dependent operators that never put a whole group into one task.
 
 A window ordered inside a group sends the group to a single task, which fails when one group holds
-a third of the rows. ``running_sum`` instead cuts the order key at approximate quantiles. Each cut
-value that repeats (a hot value) gets its own cell, cut once more along a unique tie-break. Cell
-totals are tiny, so their prefix sums are cheap, and the window runs inside one cell only. The
-result is exact; the quantiles only decide how evenly the work is spread.
+a third of the rows. ``running_sum`` instead cuts the order key at approximate quantiles, as many as
+there are shuffle partitions to fill. A value that holds several quantiles (a hot value) becomes a
+cell of its own, cut again along a unique tie-break into as many slices. Cell totals are few, so
+their prefix sums are cheap, and the window runs inside one cell only. The result is exact; the
+quantiles only decide how evenly the work is spread.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CUTS = 48
+def _cut_count(df: DataFrame) -> int:
+    """Cells wanted: twice the shuffle partitions, so that cells shrink as a job is sized up."""
+    return min(max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 48), 8192)
 
 
-def _count_below(col: Column, cuts: list[float]) -> Column:
-    """How many cuts lie below the value. The filter binds the value once; a chain of comparisons
-    would evaluate the order expression again for every cut."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < col)) if cuts else F.lit(0)
+def _doubles(values: Sequence[float]) -> Column:
+    """A constant array, written as one text literal to keep the plan small."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
-def _cells(df: DataFrame, order: str, tiebreak: str, cuts: int) -> tuple[Column, Column]:
+def _bucket(df: DataFrame, source: str, bounds: Sequence[float], out: str) -> DataFrame:
+    """``out``: how many bounds are at or below the value (binary search)."""
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    splits = [-math.inf, *bounds, math.inf]
+    return Bucketizer(splits=splits, inputCol=source, outputCol="_cell_b").transform(df).withColumn(out, F.col("_cell_b").cast("int")).drop("_cell_b")
+
+
+def _with_cells(df: DataFrame, order: str, tiebreak: str, cuts: int) -> DataFrame:
+    """Adds ``_cell_major`` and ``_cell_minor``; cells in this order hold rows in (order, tiebreak) order."""
     probs = [i / cuts for i in range(1, cuts)]
-    wanted = [order] if tiebreak == order else [order, tiebreak]
-    quantiles = df.select(*[F.col(c).cast("double").alias(c) for c in wanted]).approxQuantile(wanted, probs, 0.005)
-    bounds = sorted(set(quantiles[0]))
-    value = F.col(order).cast("double")
-    is_bound = value.isin(bounds) if bounds else F.lit(False)
-    major = F.lit(2) * _count_below(value, bounds) + F.when(is_bound, 1).otherwise(0)
-    if tiebreak == order:
-        return major, F.lit(0)
+    keys = df.withColumns({"_cell_o": F.col(order).cast("double"), "_cell_t": F.col(tiebreak).cast("double")})
+    same = tiebreak == order
+    quantiles = keys.approxQuantile(["_cell_o"] if same else ["_cell_o", "_cell_t"], probs, min(0.005, 0.5 / cuts))
+    held = Counter(quantiles[0])
+    bounds = sorted(held)
+    celled = _bucket(keys, "_cell_o", bounds, "_cell_k")
+    on_bound = F.coalesce(F.get(_doubles(bounds), F.col("_cell_k") - 1) == F.col("_cell_o"), F.lit(False)) if bounds else F.lit(False)
+    celled = celled.withColumn("_cell_major", 2 * F.col("_cell_k") - F.when(on_bound, 1).otherwise(0))
+    if same or max(held.values(), default=1) == 1:
+        return celled.withColumn("_cell_minor", F.lit(0)).drop("_cell_o", "_cell_t", "_cell_k")
     ties = sorted(set(quantiles[1]))
-    minor = F.when(is_bound, _count_below(F.col(tiebreak).cast("double"), ties)).otherwise(0)
-    return major, minor
+    celled = _bucket(celled, "_cell_t", ties, "_cell_s")
+    slices = F.get(_doubles([held[b] for b in bounds]), F.col("_cell_k") - 1)
+    minor = F.when(F.col("_cell_major") % 2 == 1, F.floor(F.col("_cell_s") * slices / (len(ties) + 1))).otherwise(0)
+    return celled.withColumn("_cell_minor", minor.cast("int")).drop("_cell_o", "_cell_t", "_cell_k", "_cell_s")
 
 
 def running_sum(
@@ -45,7 +63,7 @@ def running_sum(
     out: str = "start",
     by: Sequence[str] = (),
     weight: Column | None = None,
-    cuts: int = _CUTS,
+    cuts: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all earlier rows of the group (exclusive prefix).
 
@@ -54,17 +72,16 @@ def running_sum(
     """
     by = list(by)
     weight = F.lit(1) if weight is None else weight
-    major, minor = _cells(df, order, tiebreak, cuts)
-    celled = df.withColumns({"_major": major, "_minor": minor, "_w": weight.cast("long")})
-    keys = [*by, "_major", "_minor"]
-    totals = celled.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    before = Window.partitionBy(*by).orderBy("_major", "_minor").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    celled = _with_cells(df.withColumn("_cell_w", weight.cast("long")), order, tiebreak, cuts or _cut_count(df))
+    keys = [*by, "_cell_major", "_cell_minor"]
+    totals = celled.groupBy(*keys).agg(F.sum("_cell_w").alias("_cell_total"))
+    before = Window.partitionBy(*by).orderBy("_cell_major", "_cell_minor").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, F.coalesce(F.sum("_cell_total").over(before), F.lit(0)).alias("_cell_offset"))
     inside = Window.partitionBy(*keys).orderBy(order, tiebreak).rowsBetween(Window.unboundedPreceding, -1)
     return (
         celled.join(offsets, keys)
-        .withColumn(out, F.col("_offset") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-        .drop("_major", "_minor", "_w", "_offset")
+        .withColumn(out, F.col("_cell_offset") + F.coalesce(F.sum("_cell_w").over(inside), F.lit(0)))
+        .drop("_cell_major", "_cell_minor", "_cell_w", "_cell_offset")
     )
 
 
