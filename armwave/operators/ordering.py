@@ -64,9 +64,12 @@ def running_sum(
     by: Sequence[str] = (),
     weight: Column | None = None,
     cuts: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all earlier rows of the group (exclusive prefix).
 
+    ``total`` names a further column with the sum over the whole group, from the same cell totals.
+
     ``order`` and ``tiebreak`` are numeric, non-null, exact in a double; together they are unique
     inside a group.
     """
@@ -76,7 +79,8 @@ def running_sum(
     keys = [*by, "_cell_major", "_cell_minor"]
     totals = celled.groupBy(*keys).agg(F.sum("_cell_w").alias("_cell_total"))
     before = Window.partitionBy(*by).orderBy("_cell_major", "_cell_minor").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, F.coalesce(F.sum("_cell_total").over(before), F.lit(0)).alias("_cell_offset"))
+    whole = [F.sum("_cell_total").over(Window.partitionBy(*by)).alias(total)] if total else []
+    offsets = totals.select(*keys, F.coalesce(F.sum("_cell_total").over(before), F.lit(0)).alias("_cell_offset"), *whole)
     inside = Window.partitionBy(*keys).orderBy(order, tiebreak).rowsBetween(Window.unboundedPreceding, -1)
     return (
         celled.join(offsets, keys)
@@ -104,9 +108,7 @@ def exact_percentiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    spans = running_sum(counts, "_v", "_v", "_start", by, F.col("_n"))
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    spans = spans.join(totals, by)
+    spans = running_sum(counts, "_v", "_v", "_start", by, F.col("_n"), total="_total")
     picks = []
     for p, name in zip(probs, names):
         pos = F.lit(float(p)) * (F.col("_total") - 1)
