@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwave.llm import quality
+from armwave.llm import jaccard, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +54,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.measure(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~quality.verdict("base-1")).alias("base_failed"), quality.verdict("prose-1").alias("kept"), "fail_bits")
+
+
+@_query("op4_ngram_jaccard", r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:least(i + 4, len(w))], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from o join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 80 * (a.n + b.n - k)),
+r as (select doc_id as x, doc_id as root from documents union select l.y, r.root from r join l on l.x = r.x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from documents d left join n using (doc_id)
+join (select x as doc_id, min(root) as component_id from r group by x) c using (doc_id)""")
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by five-word shingle similarity of 0.8 or more."""
+    return jaccard.classes(_table(spark, sf_dir, "documents"))

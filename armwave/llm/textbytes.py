@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -57,10 +58,10 @@ class RangeHash:
         return mix((sums[width:] - sums[:n]) * self.inverses[:n], 1) if n > 0 else np.zeros(0, dtype=_U)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(first row, slice) pieces of a batch with about ``limit`` bytes of text each."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes.astype(np.int64))
+def text_slices(batch: pa.RecordBatch, *columns: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(first row, slice) pieces of a batch with about ``limit`` bytes of text each (of all named columns)."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends = np.cumsum(sizes)
     first = 0
     while first < batch.num_rows:
         done = ends[first - 1] if first else 0
