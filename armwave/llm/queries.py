@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwave.llm import jaccard, quality
+from armwave.llm import jaccard, quality, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,22 @@ join (select x as doc_id, min(root) as component_id from r group by x) c using (
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by five-word shingle similarity of 0.8 or more."""
     return jaccard.classes(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_suffix_dedup", r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+p as (select doc_id, unnest(range(0, strlen(x) // 2 - 399)) as p, unnest(list_transform(range(0, strlen(x) // 2 - 399),
+  lambda i: md5_number_lower(array_slice(x, 2 * i + 1, 2 * i + 800)))) as h from b where strlen(x) >= 800),
+r as (select doc_id, p from (select doc_id, p, count(*) over (partition by h) as k from p) where k > 1),
+g as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 400 then 0 else 1 end as new from r),
+s as (select doc_id, min(p) as s, max(p) + 400 as e from (select *, sum(new) over (partition by doc_id order by p) as k from g) group by doc_id, k),
+l as (select doc_id, s, e, row_number() over (partition by doc_id order by s) as i, lag(e, 1, 0) over (partition by doc_id order by s) as done from s),
+k as (select b.doc_id, cast(sum(e - s) as bigint) as n_removed, count(*) as n_spans,
+  string_agg(substr(x, cast(2 * done + 1 as bigint), cast(2 * (s - done) as bigint)), '' order by s) || substr(any_value(x), cast(2 * max(e) + 1 as bigint)) as kept
+  from l join b using (doc_id) group by b.doc_id)
+select b.doc_id, cast(strlen(x) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, x))) as kept_sha256 from b left join k using (doc_id)""")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 400-byte strings that start more than once."""
+    out = suffixes.cut(_table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
