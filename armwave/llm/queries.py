@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwave.llm import jaccard, quality, suffixes
+from armwave.llm import jaccard, mixing, quality, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +89,41 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 400-byte strings that start more than once."""
     out = suffixes.cut(_table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP9_LEVELS = "".join(f"""
+u{i + 1} as (select sk, block, pass, node * 2 + case when 2 * row_number() over (partition by node order by md5('9u{i}|' || sk || '|' || block || '|' || pass))
+  > count(*) over (partition by node) + node % 2 then 1 else 0 end as node from u{i}),""" for i in range(3))
+
+def _op9_fill(i: int) -> str:
+    return f"""
+a{i} as (select *, not more and size <= lft as fits from f{i}),
+b{i} as (select *, coalesce(sum(case when fits then size else 0 end) over (partition by sk, block order by h rows between unbounded preceding and 1 preceding), 0) as bef from a{i}),
+c{i} as (select * exclude (more, fits, bef), more or (fits and bef + size <= lft) as more from b{i}),
+f{i + 1} as (select * exclude (lft), quota - sum(case when more then size else 0 end) over (partition by sk, block) as lft from c{i}),"""
+
+
+@_query("op9_mixing", r"""
+with z as (select doc_id, coalesce('=' || source, '') as sk, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+  md5('9|' || coalesce(cast(doc_id as varchar), '-') || '|' || md5(coalesce(text, ''))) as h from documents),
+s as (select sk, cast(sum(size) as bigint) as source_size, count(*) as n from z group by sk),
+k as (select *, row_number() over (order by sk = '', sk) as rank from s),
+w as (select *, case (rank - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from k),
+v as (select *, coalesce(sum(source_size * 2) over before_, 0) as caps, coalesce(sum(weight) over before_, 0) as used,
+  sum(weight) over () as w, sum(source_size) over () as total from w
+  window before_ as (order by source_size * 2 / weight, rank rows between unbounded preceding and 1 preceding)),
+t as (select *, least(weight * max((total * 1.5::double - caps) / (w - used)) over (), cast(source_size * 2 as double)) as target from v),
+q as (select sk, source_size, target, ceil(n / 256) as blocks, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as passes from t),
+r as (select z.*, source_size, target, passes, target - passes * source_size as rest, cast('0x' || h[1:8] as bigint) % cast(blocks as bigint) as block from z join q using (sk)),
+g as (select sk, block, sum(size) as b, any_value(rest) as rest, any_value(passes) as passes from r group by sk, block),
+bl as (select *, greatest(0.0::double, least(cast(b as double), rest - coalesce(sum(b) over (partition by sk order by md5('9b|' || sk || '|' || block), block
+  rows between unbounded preceding and 1 preceding), 0))) as quota from g),
+u0 as (select sk, block, 0 as node, unnest(range(0, passes + case when quota > 0 then 1 else 0 end)) as pass from bl),""" + _OP9_LEVELS + r"""
+de as (select sk, block, list(node order by pass) as dealt from u3 group by sk, block),
+f0 as (select r.*, quota, dealt, false as more, quota as lft from r join bl using (sk, block) left join de using (sk, block)),""" + "".join(map(_op9_fill, range(3))) + r"""
+o as (select *, passes + case when more and quota > 0 then 1 else 0 end as copies from f3)
+select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, h as row_hash,
+  list_transform(coalesce(dealt, [])[1:copies], lambda x: cast(x as int)) as shards from o""")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources takes of each document, and the shards of its copies."""
+    return mixing.plan(_table(spark, sf_dir, "documents"))
