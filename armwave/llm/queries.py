@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwave.llm import jaccard, mixing, quality, suffixes
+from armwave.llm import jaccard, mixing, pieces, quality, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,16 @@ select doc_id, size, source_size, target, cast(copies * size as bigint) as taken
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources takes of each document, and the shards of its copies."""
     return mixing.plan(_table(spark, sf_dir, "documents"))
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@_query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    """Piece ids of all documents, and whether they read back as the text."""
+    vocabulary = pieces.load(spark, model)
+    ids = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    back = pieces.decode(ids, vocabulary)
+    return back.select("doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
+                       F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.MARK), F.lit(" "))).alias("round_trip"))

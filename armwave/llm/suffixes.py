@@ -241,7 +241,7 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with repeated strings cut out of the texts (and the count of characters renewed). Null texts stay null."""
     out = cut(docs.withColumn("_no_text", F.col(f"`{text}`").isNull()), text, key, length, whole_chars=True)
-    new: Column = F.when(~F.col("row._no_text"), F.decode("kept", F.lit("UTF-8")))
+    new: Column = F.when(~F.col("row._no_text"), F.decode("kept", "UTF-8"))
     fields = []
     for c in docs.columns:
         if c == text:
