@@ -3,17 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from armwave.llm import quality
+from armwave.llm import jaccard, mixing, pieces, quality, suffixes
 from armwave.session import scratch_path
 
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy prose-1 rejects go."""
     return quality.keep_clean(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return jaccard.one_of_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 that start more than once are cut out, to whole code points; ``n_chars`` follows."""
+    return suffixes.without_repeats(docs)
+
+
+def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the mix of sources: some documents come twice, some not at all."""
+    return mixing.mixed(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with piece ids, their number, and whether they decode to the text."""
+    vocabulary = pieces.load(spark, MODEL)
+    done = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    trip = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.MARK), F.lit(" ")))
+    return done.select(*docs.columns, "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), trip.alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("suffix-array dedup", suffix_dedup),
+    ("mixing sources to target weights", mixing_to_targets),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
 
 # The last stage's segmentation cannot be written in SQL.
 ORACLE_SQL = None
