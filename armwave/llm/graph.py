@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from armwave.session import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: short lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwave.llm import jaccard, mixing, pieces, quality, suffixes
+from armwave.llm import jaccard, mixing, pieces, quality, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -140,3 +140,17 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZE
     back = pieces.decode(ids, vocabulary)
     return back.select("doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
                        F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.MARK), F.lit(" "))).alias("round_trip"))
+
+
+@_query("op1_warc", r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as payload_digest,
+  max(page_id) over (partition by html) as best from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and best <> page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and best <> page_id then best end as refers_to from d""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back through their index."""
+    records = warc.written_and_read(_table(spark, sf_dir, "pages"))
+    return records.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+                          "record_type", warc.page_of("refers_to").alias("refers_to"))
