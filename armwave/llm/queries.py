@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwave.llm import jaccard, mixing, pieces, quality, suffixes, warc
+from armwave.llm import jaccard, lm, mixing, pieces, quality, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,3 +154,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.written_and_read(_table(spark, sf_dir, "pages"))
     return records.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
                           "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+@_query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a three-gram model of those that are not held out."""
+    return lm.score(_table(spark, sf_dir, "documents"), lm.held_out(F.col("doc_id")))
