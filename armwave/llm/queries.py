@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwave.llm import jaccard, lm, mixing, pieces, quality, suffixes, warc
+from armwave.llm import jaccard, lm, mixing, pieces, quality, suffixes, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,3 +160,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under a three-gram model of those that are not held out."""
     return lm.score(_table(spark, sf_dir, "documents"), lm.held_out(F.col("doc_id")))
+
+
+@_query("op2_embedding_neardup", r"""
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id as x, vec_id as root from embeddings union select l.y, r.root from r join l on l.x = r.x),
+c as (select x, min(root) as component_id from r group by x), n as (select x, count(*) as n from l group by x)
+select vec_id, coalesce(n.n, 0) as n_links, component_id, component_id = vec_id as kept
+from embeddings e join c on c.x = e.vec_id left join n on n.x = e.vec_id""")
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of embeddings with a cosine of 0.9 or more."""
+    found = vectors.near_classes(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
