@@ -24,6 +24,7 @@ OFTEN = 200_000       # n-grams put last in the order (1.6 MB broadcast)
 SEEN_IN_A_BLOCK = 4   # ... among those that this many texts of one block of about two million n-grams hold
 BLOCK_GRAMS = 2_000_000
 SKETCHES = 4          # minimum hashes for the first, cheap linking round
+HUB_ROUNDS = 2        # rounds that try one member of the largest component of each column
 
 
 def shingles(t: Texts, words_hash: RangeHash, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +175,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     Shingles are 64-bit hashes, sets are compared by 128-bit fingerprints.
 
     Links inside large groups of near copies: a first round links texts to the smallest id that shares one of a few
-    minimum hashes (a star, verified). The product then only meets pairs of different components: in each
+    minimum hashes (a star, verified); further rounds try every text of a column that is not in the column's largest
+    component with one member of it. The product then only meets pairs of different components: in each
     column the members of its largest component are met by the others, not by each other.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -193,13 +195,18 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     first = (stars.join(hubs, ["k", "h"]).where((F.col("id") != F.col("hub.id")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
              .select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct())
     star_links = stored(_linked(first, texts, width, percent), "stars")
-    label = components(star_links)
-
-    at = (postings.join(label, "id", "left").select("g", "id", "n", F.coalesce("root", "id").alias("label")))
-    at = stored(at, "labelled")
-    by_label = at.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = by_label.groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    cells = at.join(mixed.select("g", F.col("top.label").alias("top")), "g")
+    links, cells = star_links, postings
+    for turn in range(HUB_ROUNDS + 1):
+        label = components(links)
+        at = stored(cells.select("g", "id", "n").join(label, "id", "left").select("g", "id", "n", F.coalesce("root", "id").alias("label")), "labelled")
+        by_label = at.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("g", "id", F.lit(turn)), "id", "n")).alias("hub"))
+        mixed = by_label.groupBy("g").agg(F.max(F.struct("c", "label", "hub")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        cells = at.join(mixed.select("g", F.col("top.label").alias("top"), F.col("top.hub.id").alias("hub"), F.col("top.hub.n").alias("hub_n")), "g")
+        if turn < HUB_ROUNDS:
+            cells = stored(cells, "cells")
+            tried = (cells.where((F.col("label") != F.col("top")) & _sizes_fit(F.col("n"), F.col("hub_n"), percent))
+                     .select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+            links = links.unionByName(stored(_linked(tried, texts, width, percent), "hubs"))
     x = cells.where("label != top").select("g", F.col("id").alias("xi"), F.col("n").alias("xn"), F.col("label").alias("xl"))
     y = cells.select("g", F.col("id").alias("yi"), F.col("n").alias("yn"), F.col("label").alias("yl"), (F.col("label") == F.col("top")).alias("main"))
     met = x.join(y, "g").where((F.col("xl") != F.col("yl")) & _sizes_fit(F.col("xn"), F.col("yn"), percent) & (F.col("main") | (F.col("xi") < F.col("yi"))))
@@ -211,7 +218,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     outside = F.ceil(most * percent / 100) - 1
     overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent) - F.lit(1e-9))
     pairs = counted.where(F.col("c") >= overlap - outside).select(F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct()
-    links = star_links.unionByName(_linked(pairs, texts, width, percent))
+    links = links.unionByName(_linked(pairs, texts, width, percent))
     root = components(links)
 
     named = same.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("p1", "p2", "n", F.coalesce("root", "rep").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwave.llm import jaccard, lm, mixing, pieces, quality, suffixes, vectors, warc
+from armwave.llm import jaccard, licences, lm, mixing, pieces, quality, suffixes, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -174,3 +174,9 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and classes of embeddings with a cosine of 0.9 or more."""
     found = vectors.near_classes(_table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@_query("op3_licences", licences.twin())
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of all documents."""
+    return licences.scan(_table(spark, sf_dir, "documents"))
