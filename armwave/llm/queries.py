@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwave.llm import jaccard, licences, lm, mixing, pieces, quality, suffixes, vectors, warc
+from armwave.llm import jaccard, licences, lm, mixing, pieces, quality, suffixes, tokencount, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,3 +180,9 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and licences of all documents."""
     return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """Greedy word-piece counts of all documents."""
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), vocabulary)
