@@ -195,7 +195,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
         out = table.select(["file", "offset", "length", "k", "range"])
         return out.append_column("totals", pa.array(back, pa.binary())).append_column("seen", pa.array(seen)).append_column("tokens", pa.array(tokens))
 
-    asked = blocks.repartition(F.col("file"), F.col("offset")).mapInArrow(ask, shape.format("grams binary, counts binary"))
+    asked = blocks.repartition(ranges).mapInArrow(ask, shape.format("grams binary, counts binary"))
     answers = stored(asked.groupBy("k", "range").applyInArrow(answer, shape.format("totals binary, seen long, tokens long")), "answers")
     sums = answers.where("k = 0").agg(F.sum("seen"), F.sum("tokens")).first()
     distinct, train_tokens = int(sums[0] or 0), int(sums[1] or 0)
@@ -225,6 +225,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
                          pa.array(np.full(n_texts, train_tokens, np.int64)), pa.array(add(np.log10(lowest))), pa.array(add(np.log10(p)))],
                         names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    done = answers.select("file", "offset", "length", "k", "range", "totals").groupBy("file", "offset").applyInArrow(
+    # Answers are short, so blocks are dealt out by number and not by bytes.
+    done = answers.select("file", "offset", "length", "k", "range", "totals").repartition(ranges, "file", "offset").groupBy("file", "offset").applyInArrow(
         walk, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("id", key)
