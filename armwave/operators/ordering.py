@@ -1,59 +1,34 @@
 """Order-dependent operators that never put a whole group into one task.
 
 A window ordered inside a group sends the group to a single task, which fails when one group holds
-a third of the rows. ``running_sum`` instead cuts the order key at approximate quantiles, as many as
-there are shuffle partitions to fill. A value that holds several quantiles (a hot value) becomes a
-cell of its own, cut again along a unique tie-break into as many slices. Cell totals are few, so
-their prefix sums are cheap, and the window runs inside one cell only. The result is exact; the
-quantiles only decide how evenly the work is spread.
+a third of the rows. ``running_sum`` instead range-partitions the rows by (group, order, tie-break),
+which are unique together, so that a group, or a value that many rows share, is cut like any other run
+of rows. The rows are written once with their range's number; sums per (group, range) are few, so their
+prefix sums are cheap, and the window runs inside one range only. The input is read for the ranges'
+sample and once more; keys may be of any type that sorts.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def _cut_count(df: DataFrame) -> int:
-    """Cells wanted: twice the shuffle partitions, so that cells shrink as a job is sized up."""
-    return min(max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 48), 8192)
+from armwave.session import scratch_path
 
 
-def _doubles(values: Sequence[float]) -> Column:
-    """A constant array, written as one text literal to keep the plan small."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+def _known(df: DataFrame, col: str) -> Column:
+    """Neither null nor NaN: both are missing values."""
+    kind = dict(df.dtypes)[col]
+    return F.col(col).isNotNull() & ~F.isnan(col) if kind in ("double", "float") else F.col(col).isNotNull()
 
 
-def _bucket(df: DataFrame, source: str, bounds: Sequence[float], out: str) -> DataFrame:
-    """``out``: how many bounds are at or below the value (binary search)."""
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    splits = [-math.inf, *bounds, math.inf]
-    return Bucketizer(splits=splits, inputCol=source, outputCol="_cell_b").transform(df).withColumn(out, F.col("_cell_b").cast("int")).drop("_cell_b")
-
-
-def _with_cells(df: DataFrame, order: str, tiebreak: str, cuts: int) -> DataFrame:
-    """Adds ``_cell_major`` and ``_cell_minor``; cells in this order hold rows in (order, tiebreak) order."""
-    probs = [i / cuts for i in range(1, cuts)]
-    keys = df.withColumns({"_cell_o": F.col(order).cast("double"), "_cell_t": F.col(tiebreak).cast("double")})
-    same = tiebreak == order
-    quantiles = keys.approxQuantile(["_cell_o"] if same else ["_cell_o", "_cell_t"], probs, min(0.005, 0.5 / cuts))
-    held = Counter(quantiles[0])
-    bounds = sorted(held)
-    celled = _bucket(keys, "_cell_o", bounds, "_cell_k")
-    on_bound = F.coalesce(F.get(_doubles(bounds), F.col("_cell_k") - 1) == F.col("_cell_o"), F.lit(False)) if bounds else F.lit(False)
-    celled = celled.withColumn("_cell_major", 2 * F.col("_cell_k") - F.when(on_bound, 1).otherwise(0))
-    if same or max(held.values(), default=1) == 1:
-        return celled.withColumn("_cell_minor", F.lit(0)).drop("_cell_o", "_cell_t", "_cell_k")
-    ties = sorted(set(quantiles[1]))
-    celled = _bucket(celled, "_cell_t", ties, "_cell_s")
-    slices = F.get(_doubles([held[b] for b in bounds]), F.col("_cell_k") - 1)
-    minor = F.when(F.col("_cell_major") % 2 == 1, F.floor(F.col("_cell_s") * slices / (len(ties) + 1))).otherwise(0)
-    return celled.withColumn("_cell_minor", minor.cast("int")).drop("_cell_o", "_cell_t", "_cell_k", "_cell_s")
+def ranges(df: DataFrame, *keys: str, out: str = "_cell") -> DataFrame:
+    """The rows in ranges of the keys, written to the shared folder; ``out`` numbers the ranges in key order."""
+    path = scratch_path(df.sparkSession, "ranges")
+    df.repartitionByRange(*keys).withColumn(out, F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def running_sum(
@@ -63,29 +38,30 @@ def running_sum(
     out: str = "start",
     by: Sequence[str] = (),
     weight: Column | None = None,
-    cuts: int | None = None,
     total: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all earlier rows of the group (exclusive prefix).
 
-    ``total`` names a further column with the sum over the whole group, from the same cell totals.
-
-    ``order`` and ``tiebreak`` are numeric, non-null, exact in a double; together they are unique
-    inside a group.
+    ``total`` names a further column with the sum over the whole group, from the same range totals.
+    ``order`` and ``tiebreak`` together are unique inside a group; nulls sort first. Null groups are groups.
     """
     by = list(by)
     weight = F.lit(1) if weight is None else weight
-    celled = _with_cells(df.withColumn("_cell_w", weight.cast("long")), order, tiebreak, cuts or _cut_count(df))
-    keys = [*by, "_cell_major", "_cell_minor"]
-    totals = celled.groupBy(*keys).agg(F.sum("_cell_w").alias("_cell_total"))
-    before = Window.partitionBy(*by).orderBy("_cell_major", "_cell_minor").rowsBetween(Window.unboundedPreceding, -1)
+    celled = ranges(df.withColumn("_cell_w", weight.cast("long")), *dict.fromkeys([*by, order, tiebreak]))
+    totals = celled.groupBy(*by, "_cell").agg(F.sum("_cell_w").alias("_cell_total"))
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     whole = [F.sum("_cell_total").over(Window.partitionBy(*by)).alias(total)] if total else []
-    offsets = totals.select(*keys, F.coalesce(F.sum("_cell_total").over(before), F.lit(0)).alias("_cell_offset"), *whole)
-    inside = Window.partitionBy(*keys).orderBy(order, tiebreak).rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_cell_by{i}" for i in range(len(by))]
+    offsets = totals.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_cell").alias("_cell_at"),
+                            F.coalesce(F.sum("_cell_total").over(before), F.lit(0)).alias("_cell_offset"), *whole)
+    match = F.col("_cell") == F.col("_cell_at")
+    for c, n in zip(by, names):
+        match = match & F.col(c).eqNullSafe(F.col(n))
+    inside = Window.partitionBy(*by, "_cell").orderBy(order, tiebreak).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        celled.join(offsets, keys)
+        celled.join(offsets, match)
         .withColumn(out, F.col("_cell_offset") + F.coalesce(F.sum("_cell_w").over(inside), F.lit(0)))
-        .drop("_cell_major", "_cell_minor", "_cell_w", "_cell_offset")
+        .drop("_cell", "_cell_at", "_cell_w", "_cell_offset", *names)
     )
 
 
@@ -104,7 +80,7 @@ def exact_percentiles(
         df, by = df.withColumn("_all", F.lit(0)), ["_all"]
     names = list(names or [f"p{round(p * 1000)}" for p in probs])
     counts = (
-        df.where(F.col(value).isNotNull())
+        df.where(_known(df, value))
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -129,7 +105,7 @@ def exact_percentiles(
 def rank_avg(df: DataFrame, value: str, out: str = "rank", by: Sequence[str] = ()) -> DataFrame:
     """Rank with ties averaged. Ties are counted first, so a hot value is one row when ranked."""
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(_known(df, value)).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     ranks = running_sum(counts, value, value, "_start", by, F.col("_n")).select(
         *by, value, (F.col("_start") + (F.col("_n") + 1) / F.lit(2.0)).alias(out)
     )

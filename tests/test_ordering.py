@@ -53,6 +53,44 @@ def test_exact_percentiles(hot):
     assert whole[0] == np.percentile(pdf["day"], 50)
 
 
+def test_text_keys_and_nulls(hot):
+    pdf, df = hot
+    named = df.withColumn("visit_id", F.format_string("S%05d", "visit_id")).withColumn("g", F.when(F.col("g") != "a", F.col("g")))
+    got = ordering.row_index(named, "day", "visit_id", "idx", ["g"]).toPandas().set_index("visit_id")["idx"].sort_index()
+    want = pdf.sort_values(["day", "visit_id"]).assign(idx=lambda d: d.groupby("g").cumcount()).set_index("visit_id")["idx"].sort_index()
+    assert (got.to_numpy() == want.to_numpy()).all() and len(got) == len(pdf)
+
+
+def test_adjacent_hot_ids_are_cut(spark):
+    """A value with a third of the rows and neighbouring ids is cut like any other range."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(30000).select("id", F.when(F.col("id").between(10000, 19999), 7).otherwise(F.col("id") % 5000 + 10).alias("v"))
+        sizes = [r["count"] for r in ordering.ranges(df, "v", "id").groupBy("_cell").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 2 and max(sizes) < 2 * 30000 / len(sizes)
+
+
+def test_input_is_read_at_most_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(2000).mapInArrow(count, "id long")
+    assert ordering.row_index(df, "id", "id").where("idx <> id").count() == 0
+    assert seen.value <= 2 * 2000
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
+    assert ordering.exact_percentiles(df, "v", (0.5,)).first()[0] == 2.0
+    assert sorted(r["rank"] for r in ordering.rank_avg(df, "v").collect() if r["rank"] is not None) == [1.0, 2.0]
+
+
 def test_rank_avg(hot):
     pdf, df = hot
     got = ordering.rank_avg(df, "day", by=["g"]).toPandas().set_index("visit_id")["rank"].sort_index()
