@@ -183,28 +183,33 @@ def _solve(a: np.ndarray, n: int, p: int):
     return beta, inv, max(rss, 1e-300), float(np.linalg.slogdet(scaled)[1] + 2 * np.log(d).sum())
 
 
-def _search(objective: Callable[[float], float], steps: int = 24, rounds: int = 60) -> float:
-    """Largest value over theta >= 0, through u = theta / (1 + theta) in [0, 1)."""
-    theta = lambda u: u / (1 - u)
-    us = np.linspace(0, 0.9995, steps)
-    best = int(np.argmax([objective(theta(u)) for u in us]))
-    low, high = us[max(best - 1, 0)], us[min(best + 1, steps - 1)]
+THETA_EDGE = 1e18  # beyond this the rows of a subject do not differ in double precision
+
+
+def _search(objective: Callable[[float], float], step: float = 0.75, rounds: int = 80) -> float:
+    """Largest value over theta >= 0: a grid over log theta that widens until the maximum lies inside, then golden section."""
+    logs = list(np.arange(math.log(1e-9), math.log(1e4), step))
+    values = [objective(math.exp(x)) for x in logs]
+    while int(np.argmax(values)) == len(logs) - 1 and math.exp(logs[-1]) < THETA_EDGE:
+        logs += [logs[-1] + step * (i + 1) for i in range(8)]
+        values += [objective(math.exp(x)) for x in logs[-8:]]
+    best = int(np.argmax(values))
+    low, high = logs[max(best - 1, 0)], logs[min(best + 1, len(logs) - 1)]
     ratio = (math.sqrt(5) - 1) / 2
     a, b = high - ratio * (high - low), low + ratio * (high - low)
-    fa, fb = objective(theta(a)), objective(theta(b))
+    fa, fb = objective(math.exp(a)), objective(math.exp(b))
     for _ in range(rounds):
         if high - low < 1e-10:
             break
         if fa >= fb:
             high, b, fb = b, a, fa
             a = high - ratio * (high - low)
-            fa = objective(theta(a))
+            fa = objective(math.exp(a))
         else:
             low, a, fa = a, b, fb
             b = low + ratio * (high - low)
-            fb = objective(theta(b))
-    mid = (low + high) / 2
-    return max((0.0, theta(mid), theta(us[best])), key=objective)
+            fb = objective(math.exp(b))
+    return max((0.0, math.exp((low + high) / 2), math.exp(logs[best])), key=objective)
 
 
 def fit_many(df: DataFrame, specs: Sequence[Spec], group: str = "subject", budget: int = 2_000_000) -> list[Fit]:
@@ -251,41 +256,44 @@ def fit_many(df: DataFrame, specs: Sequence[Spec], group: str = "subject", budge
             mats = np.stack([_matrix(sizes[m][int(k)][0], width)[np.ix_(keep, keep)] for k in ns])
             groups = int(counts.sum())
 
-            def shrink(theta, ns=ns, counts=counts, mats=mats):
-                w = theta / (1 + ns * theta)
-                return np.tensordot(w, mats, 1), float(counts @ np.log1p(ns * theta))
+            def whitened(theta, ns=ns, counts=counts, mats=mats, within=total - np.tensordot(1 / ns, mats, 1)):
+                return within + np.tensordot(1 / (ns * (1 + ns * theta)), mats, 1), float(counts @ np.log1p(ns * theta))
         else:
             mine = by_size.where(F.col("model") == m)
             groups = mine.where((F.col("i") == 0) & (F.col("j") == 0)).agg(F.sum("rows")).first()[0]
 
-            def shrink(theta, mine=mine, keep=keep):
-                w = F.lit(theta) / (F.lit(1.0) + F.col("size") * theta)
-                out = mine.groupBy("i", "j").agg(
-                    F.sum(w * F.col("value")).alias("v"), F.sum(F.col("rows") * F.log1p(F.col("size") * theta)).alias("d"))
-                got = out.collect()  # terms^2 rows
-                return _matrix([(r["i"], r["j"], r["v"]) for r in got], width)[np.ix_(keep, keep)], got[0]["d"]
+            def summed(weight, mine=mine, keep=keep):
+                got = mine.groupBy("i", "j").agg(F.sum(weight * F.col("value")).alias("v")).collect()  # terms^2 rows
+                return _matrix([(r["i"], r["j"], r["v"]) for r in got], width)[np.ix_(keep, keep)]
 
-        fits.append(_fit_one(spec.model_id, names, total, n, groups, shrink))
+            def whitened(theta, mine=mine, summed=summed, within=total - summed(1 / F.col("size"))):
+                grown = F.lit(1.0) + F.col("size") * theta
+                logdet = mine.where("i = 0 and j = 0").agg(F.sum(F.col("rows") * F.log(grown))).first()[0]
+                return within + summed(1 / (F.col("size") * grown)), logdet
+
+        fits.append(_fit_one(spec.model_id, names, total, n, groups, whitened))
     return fits
 
 
-def _fit_one(model_id: str, names: list[str], total: np.ndarray, n: int, groups: int, shrink) -> Fit:
+def _fit_one(model_id: str, names: list[str], total: np.ndarray, n: int, groups: int, whitened) -> Fit:
+    # Rows within subjects are left as they are and subject means shrink, so that large thetas do not cancel.
     p = len(names)
     if n <= p or _solve(total, n, p) is None:
         return Fit(model_id, names, "singular", n, groups)
 
     def loglik(theta: float) -> float:
-        less, logdet_v = shrink(theta)
-        solved = _solve(total - less, n, p)
+        a, logdet_v = whitened(theta)
+        solved = _solve(a, n, p)
         if solved is None:
             return -math.inf
         _, _, rss, logdet_x = solved
         return -0.5 * ((n - p) * (1 + math.log(2 * math.pi * rss / (n - p))) + logdet_v + logdet_x)
 
     theta = _search(loglik)
-    beta, inv, rss, _ = _solve(total - shrink(theta)[0], n, p)
+    beta, inv, rss, _ = _solve(whitened(theta)[0], n, p)
     sigma2 = rss / (n - p)
-    return Fit(model_id, names, "ok", n, groups, beta, sigma2 * inv, sigma2, theta, loglik(theta))
+    status = "ok" if theta < THETA_EDGE else "theta at its edge"
+    return Fit(model_id, names, status, n, groups, beta, sigma2 * inv, sigma2, theta, loglik(theta))
 
 
 def fit_random_intercept(df: DataFrame, y: str, terms: Terms, group: str = "subject", where: Column | None = None) -> Fit:
