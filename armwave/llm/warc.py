@@ -27,6 +27,7 @@ REVISIT_FROM = 1000          # bytes of payload from which equal payloads are wr
 ARCHIVE_BYTES = 256 << 20    # a task starts a new archive beyond this size
 GAP_BYTES = 64 << 10         # ranges nearer than this are fetched together
 FETCH_BYTES = 8 << 20        # ... up to this size
+TASK_BYTES = 16 << 20       # packed bytes a task reads
 BATCH_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -54,7 +55,7 @@ def record_bytes(kind: str, record_id: str, url: str | None, payload: bytes | No
     block = http + (payload or b"") if kind == "response" else http
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {_clean(url)}")
+        head.append(f"WARC-Target-URI: {url}")
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{refers_to}>"]
@@ -84,7 +85,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
 
     Of records with equal payloads of at least ``REVISIT_FROM`` bytes the one with the largest key is the response (a
     null key only if there is no other; of rows that repeat the key, one), the others revisit it. A null payload
-    is empty, a null URL has no URI line. Rows are staged first, so that a task that runs again sees the same rows; files of
+    is empty, a null URL has no URI line, control characters in a URL go. Rows are staged first, so that a task that runs again sees the same rows; files of
     attempts that failed are not in the index. Payloads are not grouped: a digest that many rows share is
     reduced to its largest key before anything is joined.
     """
@@ -109,6 +110,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
                 out = []
                 for row in range(batch.num_rows):
                     kind, record_id, url, body, n, digest, refers_to = (batch.column(i)[row].as_py() for i in range(7))
+                    url = None if url is None else _clean(url)
                     if file is None or offset >= ARCHIVE_BYTES:
                         if file is not None:
                             file.close()
@@ -210,7 +212,9 @@ def read(index: DataFrame) -> DataFrame:
             if file is not None:
                 file.close()
 
-    ranges = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # Rows of the index are short, so the number of tasks follows the bytes they point to.
+    tasks = max(1, -(-int(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    ranges = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(run, shape)
 
 
