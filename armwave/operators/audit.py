@@ -18,13 +18,13 @@ def profile(df: DataFrame, dictionary: DataFrame | None = None, approx: bool = F
     """
     cols = df.columns
     if approx:
-        wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"n_{c}") for c in cols],
-                      *[F.approx_count_distinct(c).alias(f"d_{c}") for c in cols])
-        entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("non_null"),
-                                               F.col(f"d_{c}").alias("distinct")) for c in cols]))
+        wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"n_{c}") for c in cols],
+                      *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d_{c}") for c in cols])
+        entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`n_{c}`").alias("non_null"),
+                                               F.col(f"`d_{c}`").alias("distinct")) for c in cols]))
         stats = wide.select("_rows", entries.alias("e")).select("_rows", "e.*")
     else:
-        entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+        entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
         values = df.select(entries.alias("e")).groupBy("e.column", "e.value").agg(F.count(F.lit(1)).alias("n"))
         stats = values.groupBy("column").agg(
             F.sum("n").alias("_rows"),
@@ -99,7 +99,7 @@ def prune(df: DataFrame, add: Sequence[str] = (), keep: Sequence[str] = (), pct:
 def verify_audit(df: DataFrame, codes: Sequence) -> DataFrame:
     """Which codes are still present: (code, columns that hold it)."""
     texts = code_texts(codes)
-    flags = df.agg(*[F.max(F.coalesce(F.col(c).cast("string") == t, F.lit(False))).alias(f"{i}|{j}")
+    flags = df.agg(*[F.max(F.coalesce(F.col(f"`{c}`").cast("string") == t, F.lit(False))).alias(f"{i}|{j}")
                      for i, t in enumerate(texts) for j, c in enumerate(df.columns)])
     entries = [F.struct(F.lit(t).alias("code"), F.lit(c).alias("column"), F.col(f"`{i}|{j}`").alias("present"))
                for i, t in enumerate(texts) for j, c in enumerate(df.columns)]
@@ -119,8 +119,16 @@ def name_report(names: Sequence[str]) -> dict[str, object]:
 def pre_audit(df: DataFrame, dictionary: Mapping[str, str], type_names: Mapping[str, str], codes: Sequence,
               add: Sequence[str] = (), keep: Sequence[str] = (), pct: float = 20,
               skip: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """Missing codes to null, casts by dictionary, then pruning."""
-    return prune(cast_by_dictionary(null_codes(df, codes, skip), dictionary, type_names, keep), add, keep, pct)
+    """Missing codes to null, the check that none is left, casts by dictionary, then pruning.
+
+    Columns of ``skip`` may keep their codes; a code left in another column is an error.
+    """
+    nulled = null_codes(df, codes, skip)
+    checked = nulled.drop(*(skip or {}))
+    left = verify_audit(checked, codes).take(10) if checked.columns and codes else []
+    if left:
+        raise ValueError(f"missing codes left: {[(r['code'], r['column']) for r in left]}")
+    return prune(cast_by_dictionary(nulled, dictionary, type_names, keep), add, keep, pct)
 
 
 def search_dictionary(dictionary: DataFrame, words: Sequence[str], text: str = "description") -> DataFrame:

@@ -22,9 +22,10 @@ def summary(df: DataFrame, by: Sequence[str], ys: Sequence[str]) -> DataFrame:
 
 
 def summary_text(df: DataFrame, by: Sequence[str], ys: Sequence[str]) -> DataFrame:
-    """``mean (sd) [n]`` as text with two decimals."""
+    """``mean (sd) [n]`` as text with two decimals; nan where there are too few values."""
     s = summary(df, by, ys)
-    return s.select(*by, "outcome", F.format_string("%.2f (%.2f) [%d]", "mean", "sd", "n").alias("cell"))
+    two = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", c)).otherwise("nan")
+    return s.select(*by, "outcome", F.format_string("%s (%s) [%d]", two("mean"), two("sd"), F.col("n")).alias("cell"))
 
 
 def summary_cont(df: DataFrame, by: Sequence[str], y: str, level: float = 0.95) -> DataFrame:

@@ -253,10 +253,11 @@ def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, max_byt
     donors = values.where(complete > 0).withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
     names = [f"q{i}" for i in range(p)]
     asked = values.where(complete < p).select(*[F.col(c).alias(n) for c, n in zip(cols, names)]).distinct()
-    schema = ", ".join(f"{c} double" for c in names) + ", target int, distance double, donor bigint, value double"
+    schema = ", ".join(f"{c} double" for c in names) + ", target int, distance double, donor " + dict(df.dtypes)[key] + ", value double"
 
     def nearest(questions, d, ids):
         have = ~np.isnan(d)
+        rank = np.unique(ids, return_inverse=True)[1]  # keys of any type, in their order
         filled = np.where(have, d, 0.0)
         out = []
         for q in questions:
@@ -269,13 +270,13 @@ def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, max_byt
                 usable = np.flatnonzero(have[:, t] & np.isfinite(dist))
                 if len(usable) > k:
                     usable = usable[dist[usable] <= np.partition(dist[usable], k - 1)[k - 1]]
-                best = usable[np.lexsort((ids[usable], dist[usable]))][:k]
+                best = usable[np.lexsort((rank[usable], dist[usable]))][:k]
                 out += [(*q, int(t), dist[i], ids[i], d[i, t]) for i in best]
         return pd.DataFrame(out, columns=[*names, "target", "distance", "donor", "value"])
 
     if donors.count() * (p + 1) * 8 <= max_bytes:
         small = donors.toPandas()
-        block = df.sparkSession.sparkContext.broadcast((small[cols].to_numpy(dtype="float64"), small["_key"].to_numpy(dtype="int64")))
+        block = df.sparkSession.sparkContext.broadcast((small[cols].to_numpy(dtype="float64"), small["_key"].to_numpy()))
 
         def compare_batches(batches):
             for batch in batches:
@@ -284,7 +285,7 @@ def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, max_byt
         found = asked.mapInPandas(compare_batches, schema)
     else:
         def compare_blocks(x, y):
-            return nearest(x[names].to_numpy(dtype="float64"), y[[f"o_{c}" for c in cols]].to_numpy(dtype="float64"), y["o__key"].to_numpy(dtype="int64"))
+            return nearest(x[names].to_numpy(dtype="float64"), y[[f"o_{c}" for c in cols]].to_numpy(dtype="float64"), y["o__key"].to_numpy())
 
         rows = max(k, max_bytes // ((p + 1) * 8))
         found = block_pairs(asked.withColumn("_cell", F.lit(0)), donors.withColumn("_cell", F.lit(0)), "_cell", names, ["_key"],

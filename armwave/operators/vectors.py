@@ -252,31 +252,36 @@ def _block_links(left: DataFrame, right: DataFrame, eps: float, block: int = 102
 
 
 def density_clusters(df: DataFrame, key: str, vec: str, eps: float, min_size: int = 2, pivots: int | None = None) -> DataFrame:
-    """(key, cluster): chains of neighbours within ``eps``; groups below ``min_size`` are noise (-1).
+    """(key, cluster): chains of neighbours within ``eps``; groups below ``min_size`` are noise (-1, null for text keys).
 
     A cluster is named by its smallest key. Equal vectors are collapsed first and count as members.
     """
     rows = df.select(F.col(key), F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    noise = F.lit(None) if dict(df.dtypes)[key] == "string" else F.lit(-1)
     points = cut_lineage(rows.groupBy("v").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("copies")))
     roots = components(near_edges(points.select("id", "v"), eps, pivots))
     labelled = points.join(roots.withColumnRenamed("u", "id"), "id", "left").select(
         "v", "copies", F.coalesce("root", "id").alias("root"))
     sizes = labelled.groupBy("root").agg(F.sum("copies").alias("members"))
-    named = labelled.join(sizes, "root").select("v", F.when(F.col("members") >= min_size, F.col("root")).otherwise(-1).alias("cluster"))
+    named = labelled.join(sizes, "root").select("v", F.when(F.col("members") >= min_size, F.col("root")).otherwise(noise).alias("cluster"))
     return rows.join(named, "v").select(key, "cluster")
 
 
+def _noise(label: str):
+    return F.coalesce(F.col(label).cast("string"), F.lit("-1")) == "-1"
+
+
 def cluster_members(df: DataFrame, label: str = "cluster") -> DataFrame:
     """Clustered rows with the size of their cluster; noise is left out.
 
     One row per member: a very large cluster stays distributed instead of becoming one list.
     """
-    kept = df.where(F.col(label) != -1)
+    kept = df.where(~_noise(label))
     return kept.join(kept.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label)
 
 
 def outliers(df: DataFrame, label: str = "cluster") -> DataFrame:
-    return df.where(F.col(label) == -1)
+    return df.where(_noise(label))
 
 
 def vocab_table(df: DataFrame, term: str, definition: str, use: str, types: Sequence[str]) -> DataFrame:

@@ -126,10 +126,10 @@ def key_overlaps(spark, sf_dir):
     return audit.overlap({"F": o.where("o_orderstatus = 'F'"), "P": o.where("o_orderstatus = 'P'"), "users": users}, "k")
 
 
-@query("unassigned_variables", "A13", "select distinct p_name as name from part where p_name not in (select distinct p_name from part where p_size > 3)")
+@query("unassigned_variables", "A13", "select c_name as name from customer where c_nationkey <= 3")
 def unassigned_variables(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_size")
-    return audit.check_types(part.select("name").distinct(), part.where("p_size > 3"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_nationkey")
+    return audit.check_types(names.select("name"), names.where("c_nationkey > 3"))
 
 
 @query("rater_feature_counts", "A14", """

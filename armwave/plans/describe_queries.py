@@ -26,11 +26,11 @@ def outcome_by_arm_and_window(spark, sf_dir):
 
 
 @query("outcome_cells", "G2", _V + f"""
-select arm, wave, rater, 'score' as outcome, printf('%.2f (%.2f) [%d]', avg(score), stddev_samp(score), count(score)) as cell
-from visits {_W} group by arm, wave, rater having count(score) > 1""")
+select arm, wave, rater, 'score' as outcome, coalesce(printf('%.2f', avg(score)), 'nan') || ' (' || coalesce(printf('%.2f', stddev_samp(score)), 'nan')
+  || ') [' || count(score) || ']' as cell from visits {_W} group by arm, wave, rater""")
 def outcome_cells(spark, sf_dir):
     v = waves.split_waves(visits(spark, sf_dir))
-    return describe.summary_text(v, ["arm", "wave", "rater"], ["score"]).where(~F.contains("cell", F.lit("null")))
+    return describe.summary_text(v, ["arm", "wave", "rater"], ["score"])
 
 
 @query("continuous_summary", "G3", _V + f"""
@@ -51,9 +51,14 @@ def value_counts(spark, sf_dir):
     return describe.value_counts(table(spark, sf_dir, "events"), "event_type", F.col("value") > 10)
 
 
-@query("repeated_subjects", "G5", "select count(*) as n_multi from (select o_custkey from orders where o_orderstatus = 'P' group by 1 having count(*) > 1)")
+@query("value_counts_of_all", "G4", "select event_type, count(*) as n from events where event_type is not null group by event_type")
+def value_counts_of_all(spark, sf_dir):
+    return describe.value_counts(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("repeated_subjects", "G5", "select count(*) as n_multi from (select o_custkey from orders group by 1 having count(*) > 1)")
 def repeated_subjects(spark, sf_dir):
-    return describe.multi_count(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), "o_custkey")
+    return describe.multi_count(table(spark, sf_dir, "orders"), "o_custkey")
 
 
 @query("dense_month_counts", "G6 T6", """

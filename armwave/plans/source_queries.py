@@ -41,13 +41,13 @@ select distinct cast(o_custkey as varchar) as src_subject_id, cast(o_orderdate a
 from orders where o_orderkey % 11 <> 0""")
 def questionnaire_read(spark, sf_dir):
     path = _write_questionnaire(spark, sf_dir)
-    return tables.read_questionnaire(spark, path, ["src_subject_id", "interview_date", "days_baseline", "score"])
+    return tables.read_questionnaire(spark, path, ["src_subject_id", "interview_date", "days_baseline", "score"], described="marked")
 
 
 @query("dictionary_split", "S2", "select * from (values " + ", ".join(
     f"('{c}', '{d.replace(chr(39), chr(39) * 2)}')" for c, d in _DESCRIPTIONS.items()) + ") t(\"column\", description)")
 def dictionary_split(spark, sf_dir):
-    return tables.read_dictionary(spark, _write_questionnaire(spark, sf_dir))
+    return tables.read_dictionary(spark, _write_questionnaire(spark, sf_dir), described="marked")
 
 
 @query("table_read", "S3", "select cast(p_partkey as varchar) as p_partkey, p_name, p_brand from part")
@@ -156,7 +156,7 @@ def drop_last_rows(spark, sf_dir):
 select 'documents' as "table", count(text) as non_null from documents union all select 'benchmark', count(text) from benchmark
 union all select 'conversations', count(text) from conversations""")
 def tables_with_column(spark, sf_dir):
-    names = ("documents", "benchmark", "conversations", "orders", "part")
+    names = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
     return tables.find_tables_with_column({n: table(spark, sf_dir, n) for n in names}, "text")
 
 

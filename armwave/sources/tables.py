@@ -19,10 +19,17 @@ def _raw(spark: SparkSession, path: str | Sequence[str], sep: str) -> DataFrame:
 
 def read_questionnaire(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
                        id_col: str = "src_subject_id", day_col: str = "days_baseline",
-                       date_col: str | None = "interview_date", sep: str = "\t") -> DataFrame:
-    """Tab-separated table without its description record; null days and exact duplicates dropped."""
+                       date_col: str | None = "interview_date", sep: str = "\t", described: str = "first") -> DataFrame:
+    """Tab-separated table without its description record; null days and exact duplicates dropped.
+
+    The description is the first record of every file, whatever it says; ``described="marked"`` is for tables
+    written in several parts, where only the record with the known id cell describes.
+    """
     raw = _raw(spark, path, sep)
-    kept = raw.where(F.col(id_col).isNull() | (F.col(id_col) != DESCRIPTION_ID))
+    if described == "marked":
+        kept = raw.where(F.col(id_col).isNull() | (F.col(id_col) != DESCRIPTION_ID))
+    else:
+        kept = _without(raw, _first_records(spark, raw, sep))
     if columns is not None:
         kept = kept.select(*columns)
     if date_col is not None and date_col in kept.columns:
@@ -30,10 +37,26 @@ def read_questionnaire(spark: SparkSession, path: str, columns: Sequence[str] |
     return kept.dropna(subset=[day_col]).dropDuplicates()
 
 
-def read_dictionary(spark: SparkSession, path: str, id_col: str = "src_subject_id", sep: str = "\t") -> DataFrame:
-    """(column, description) pairs from the description record."""
+def _first_records(spark: SparkSession, raw: DataFrame, sep: str) -> DataFrame:
+    """The first record after the header of every file (a row per file)."""
+    rows = [_raw(spark, f, sep).first() for f in sorted(raw.inputFiles())]
+    return spark.createDataFrame([tuple(r[c] if c in r.asDict() else None for c in raw.columns) for r in rows if r is not None],
+                                 ", ".join(f"`{c}` string" for c in raw.columns))
+
+
+def _without(raw: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows that are none of a few records."""
+    same = None
+    for c in raw.columns:
+        test = F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))
+        same = test if same is None else same & test
+    return raw.alias("l").join(records.alias("r"), same, "left_anti")
+
+
+def read_dictionary(spark: SparkSession, path: str, id_col: str = "src_subject_id", sep: str = "\t", described: str = "first") -> DataFrame:
+    """(column, description) pairs from the description record (see :func:`read_questionnaire`)."""
     raw = _raw(spark, path, sep)
-    described = raw.where(F.col(id_col) == DESCRIPTION_ID)
+    described = raw.where(F.col(id_col) == DESCRIPTION_ID) if described == "marked" else _first_records(spark, raw, sep)
     return described.unpivot([], raw.columns, "column", "description").dropDuplicates(["column"])
 
 

@@ -158,3 +158,20 @@ def test_grid_skips_finished_runs():
     config = {"outcome": ["a", "b"], "model": ["forest"]}
     assert len(experiments.combinations(config)) == 2
     assert experiments.pending(config, [{"outcome": "a", "model": "forest"}]) == [{"outcome": "b", "model": "forest"}]
+
+
+def test_text_keys(spark):
+    from armwave.operators import audit, features, models, vectors
+
+    rows = [(f"S{i:02d}", float(i % 5), float(i % 3) if i % 4 else None, i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, a double, b double, y int")
+    assert features.group_folds(df, "key", 4).groupBy("fold").count().count() == 4
+    filled = features.knn_impute(df, ["a", "b"], "key")
+    assert filled.where("b is null").count() == 0 and filled.count() == 40
+    vecs = spark.createDataFrame([("S1", [0.0, 0.0]), ("S2", [0.1, 0.0]), ("S3", [9.0, 9.0])], "key string, v array<double>")
+    found = vectors.density_clusters(vecs, "key", "v", 0.5)
+    assert {r["key"]: r["cluster"] for r in found.collect()} == {"S1": "S1", "S2": "S1", "S3": None}
+    assert vectors.cluster_members(found).count() == 2 and vectors.outliers(found).count() == 1
+    dotted = df.withColumnRenamed("a", "a.b")
+    assert audit.profile(dotted).count() == 4 and audit.profile(dotted, approx=True).count() == 4
+    assert {r["column"] for r in audit.verify_audit(dotted, [4]).collect()} == {"a.b"} | set()

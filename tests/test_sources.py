@@ -97,3 +97,10 @@ def test_shared_dir_is_read_from_the_session(spark):
     assert shared_dir(spark) == spark.sparkContext.getCheckpointDir().rstrip("/")
     with pytest.raises(ValueError):
         tables.find_tables_with_column({"a": spark.range(1)}, "absent")
+
+
+def test_first_record_describes_whatever_it_says(spark, tmp_path):
+    for name, about in (("a.txt", "The NDAR id"), ("b.txt", "Subject")):
+        (tmp_path / name).write_text(f"src_subject_id\tdays_baseline\tscore\n{about}\tDays\tTotal\nS{name[0]}\t3\t1\nThe NDAR id\t4\t2\n")
+    got = tables.read_questionnaire(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], date_col=None)
+    assert sorted(map(tuple, got.collect())) == [("Sa", "3", "1"), ("Sb", "3", "1"), ("The NDAR id", "4", "2")]
