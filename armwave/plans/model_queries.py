@@ -86,6 +86,58 @@ def one_visit_coefficients(spark, sf_dir):
     return rows.select("term", fixed("coef").alias("coef"), fixed("se").alias("se"))
 
 
+# Two raters per subject, one mean each: a balanced layout, where REML has a closed form from subject means and rater gaps.
+_BALANCED_SQL = _V + """, m as (select subject, rater, any_value(arm) as arm, avg(score) as y from visits where score is not null group by all),
+w as (select subject, any_value(arm) as arm, max(y) filter (rater = 'Parent') + {effect} as p, max(y) filter (rater = 'Teacher') + {effect} as t
+  from m group by subject having count(*) = 2),
+g as (select arm, avg((p + t) / 2) as m, var_samp((p + t) / 2) as v, count(*) as n from w group by arm),
+b as (select 2 * sum((n - 1) * v) / (sum(n) - count(*)) as msb, sum(n * m) / sum(n) as grand, sum(n) as s, count(*) as k from g),
+e as (select avg(t - p) as gap, var_samp(t - p) / 2 as msw from w) """
+_SUBJECT_EFFECT = "subject % 10"
+
+
+def _balanced_fit(spark, sf_dir):
+    v = visits(spark, sf_dir).where("score is not null")
+    means = v.groupBy("subject", "rater").agg(F.min("arm").alias("arm"), F.avg("score").alias("y"))
+    both = means.groupBy("subject").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("subject")
+    rows = means.join(both, "subject").withColumn("y", F.col("y") + F.col("subject") % 10)
+    factors = {"arm": mixed.factor("arm", "MPCLA", "A"), "rater": mixed.factor("rater", ["Teacher", "Parent"], "Parent")}
+    return mixed.fit_random_intercept(rows, "y", mixed.design(factors, [("arm",), ("rater",)]))
+
+
+@query("balanced_variances", "M2", _BALANCED_SQL.format(effect=_SUBJECT_EFFECT) +
+       f"select {sfix('(msb - msw) / (2 * msw)', 4)} as theta, {sfix('msw', 4)} as sigma2, cast(s as bigint) as subjects from b, e")
+def balanced_variances(spark, sf_dir):
+    fit = _balanced_fit(spark, sf_dir)
+    row = spark.createDataFrame([(fit.theta, fit.sigma2, fit.groups)], "theta double, sigma2 double, subjects long")
+    return row.select(fixed("theta", 4).alias("theta"), fixed("sigma2", 4).alias("sigma2"), "subjects")
+
+
+@query("balanced_coefficients", "M1 M2 M3", _BALANCED_SQL.format(effect=_SUBJECT_EFFECT) + f"""
+select 'arm[' || g.arm || ']' as term, {sfix('g.m - a.m', 4)} as coef, {sfix('sqrt(msb / 2 * (1 / g.n + 1 / a.n))', 4)} as se from g, g a, b where a.arm = 'A' and g.arm <> 'A'
+union all select 'rater[Teacher]', {sfix('gap', 4)}, {sfix('sqrt(2 * msw / s)', 4)} from b, e
+union all select 'intercept', {sfix('m - gap / 2', 4)}, {sfix('sqrt(msb / 2 / n + msw / 2 / s)', 4)} from g, b, e where arm = 'A'""")
+def balanced_coefficients(spark, sf_dir):
+    """The mixed model itself against its closed form: subjects differ, so the random intercept matters."""
+    rows = mixed.coef_table(spark, [_balanced_fit(spark, sf_dir)])
+    return rows.select("term", fixed("coef", 4).alias("coef"), fixed("se", 4).alias("se"))
+
+
+@query("balanced_f_test", "M2 M4", _BALANCED_SQL.format(effect=_SUBJECT_EFFECT) +
+       f"select 'treat' as test, {sfix('sum(n * (m - grand) ** 2) / (any_value(k) - 1) / (any_value(msb) / 2)', 4)} as f_value, cast(any_value(k) - 1 as int) as q from g, b")
+def balanced_f_test(spark, sf_dir):
+    rows = mixed.tests_table(spark, [_balanced_fit(spark, sf_dir)]).where("test = 'treat'")
+    return rows.select("test", fixed("f_value", 4).alias("f_value"), "q")
+
+
+@query("balanced_contrasts", "M2 M5", _BALANCED_SQL.format(effect=_SUBJECT_EFFECT) + " union all ".join(
+    f" select '{name}' as contrast, {sfix('x.m - y.m', 4)} as estimate, {sfix('sqrt(msb / 2 * (1 / x.n + 1 / y.n))', 4)} as se from b, g x, g y where x.arm = '{x}' and y.arm = '{y}'"
+    for name, x, y in _PAIRS))
+def balanced_contrasts(spark, sf_dir):
+    rows = mixed.contrasts_table(spark, [_balanced_fit(spark, sf_dir)])
+    return rows.select("contrast", fixed("estimate", 4).alias("estimate"), fixed("se", 4).alias("se"))
+
+
 @query("arm_contrasts", "M5 F17", None)
 def arm_contrasts(spark, sf_dir):
     v = visits(spark, sf_dir)
