@@ -183,7 +183,9 @@ def encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # ---- splits -------------------------------------------------------------------------------------
 
 def _share(key: str, seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A number in [0, 1) per key: the first half of an MD5's first eight bytes, which any engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def random_split(df: DataFrame, key: str, frac: float, seed: int, out: str = "is_test") -> DataFrame:

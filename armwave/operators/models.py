@@ -38,7 +38,7 @@ def rf(params: Mapping | None = None, features: str = "features", label: str = "
     return RandomForestRegressor(
         featuresCol=features, labelCol=label, seed=seed, numTrees=p.get("n_estimators", 100),
         maxDepth=min(p.get("max_depth") or 30, 30), minInstancesPerNode=max(p.get("min_samples_leaf", 1), split // 2),
-        featureSubsetStrategy="all")
+        featureSubsetStrategy="all", bootstrap=p.get("bootstrap", True))
 
 
 def gbt(params: Mapping | None = None, features: str = "features", label: str = "label", seed: int = 42) -> GBTRegressor:
@@ -143,7 +143,7 @@ def permute(df: DataFrame, col: str, key: str, seed: int, out: str | None = None
     out = out or col
     rows = row_index(df, key, key, "_at")
     mixed = df.select(F.col(key).alias("_k"), F.col(col).alias("_value")).withColumn(
-        "_h", F.pmod(F.xxhash64(F.lit(seed), F.col("_k")), F.lit(1 << 50)))
+        "_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_k").cast("string")).cast("binary")))
     values = row_index(mixed, "_h", "_k", "_at").select("_at", "_value")
     return rows.drop(*([out] if out in df.columns else [])).join(values, "_at").drop("_at").withColumnRenamed("_value", out)
 

@@ -364,10 +364,9 @@ def label_encoding(spark, sf_dir):
     return features.encode(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), ["p_type", "p_brand"]).drop("p_type", "p_brand")
 
 
-@query("subject_split", "L10", None)
+@query("subject_split", "L10", _V + "select visit_id, subject, cast('0x' || substr(md5('42|' || subject), 1, 8) as bigint) / 4294967296.0::double < 0.2 as is_test from visits")
 def subject_split(spark, sf_dir):
-    s = features.group_split(visits(spark, sf_dir), "subject", 0.2, 42)
-    return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("subject").alias("subjects"))
+    return features.group_split(visits(spark, sf_dir).select("visit_id", "subject"), "subject", 0.2, 42)
 
 
 @query("group_fold_loads", "L11", _V + """, recursive_input as (select subject, count(*) as n, row_number() over (order by count(*) desc, subject) as i from visits group by subject),
@@ -383,6 +382,35 @@ def group_fold_loads(spark, sf_dir):
 
 # ---- tree models --------------------------------------------------------------------------------
 
+# One tree of depth 1 on one number, without resampling, is the split with the least squared error in the training folds.
+_STUMP_SQL = _V + f""", v as (select subject % 3 as fold, site, score as y from visits where score is not null),
+g as (select fold, site, count(*) as n, sum(y) as s, sum(y * y) as q from v group by all),
+f as (select distinct fold from v),
+c as (select f.fold, t.t, sum(n) filter (site <= t.t) as nl, sum(s) filter (site <= t.t) as sl, sum(n) filter (site > t.t) as nr, sum(s) filter (site > t.t) as sr
+  from f, g, (select unnest(range(1, 6)) as t) t where g.fold <> f.fold group by all),
+b as (select fold, arg_max(t, sl * sl / nl + sr * sr / nr) as t, arg_max(sl / nl, sl * sl / nl + sr * sr / nr) as l, arg_max(sr / nr, sl * sl / nl + sr * sr / nr) as r from c group by fold)
+select cast(fold as int) as fold, {sfix('1 - sum((y - case when site <= t then l else r end) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*))')} as r2,
+  {sfix('avg((y - case when site <= t then l else r end) ** 2)')} as mse from v join b using (fold) group by fold"""
+
+
+def _stump_scores(spark, sf_dir, estimator):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = visits(spark, sf_dir).where("score is not null").select((F.col("subject") % 3).cast("int").alias("fold"), F.col("score").alias("label"), "site")
+    data = VectorAssembler(inputCols=["site"], outputCol="features").transform(rows)
+    return models.cross_validate(data, estimator)[0].select("fold", fixed("r2").alias("r2"), fixed("mse").alias("mse"))
+
+
+@query("forest_stump_validation", "L12 L16 L17", _STUMP_SQL)
+def forest_stump_validation(spark, sf_dir):
+    return _stump_scores(spark, sf_dir, models.rf({"n_estimators": 1, "max_depth": 1, "bootstrap": False}))
+
+
+@query("boosted_stump_validation", "L13 L16 L17", _STUMP_SQL)
+def boosted_stump_validation(spark, sf_dir):
+    return _stump_scores(spark, sf_dir, models.gbt({"n_estimators": 1, "max_depth": 1}))
+
+
 @query("forest_validation", "L12 L16 L17", None)
 def forest_validation(spark, sf_dir):
     est = models.rf({"n_estimators": 10, "max_depth": 5})
@@ -453,11 +481,12 @@ def permutation_test(spark, sf_dir):
     return models.permutation_stats(actual, permuted)
 
 
-@query("permuted_outcome", "L19", "select count(*) as n, cast(sum(visit_id) as bigint) as ids, " + sfix("sum(score)", 3) + " as total from (" + _V + "select * from visits where score is not null)")
+@query("permuted_outcome", "L19", _V + """, v as (select visit_id, score from visits where score is not null),
+r as (select visit_id, row_number() over (order by visit_id) as i from v),
+h as (select score, row_number() over (order by md5('7|' || visit_id), visit_id) as i from v) select visit_id, score from r join h using (i)""")
 def permuted_outcome(spark, sf_dir):
     v = visits(spark, sf_dir).where("score is not null").select("visit_id", "score")
-    shuffled = models.permute(v, "score", "visit_id", 7)
-    return shuffled.agg(F.count(F.lit(1)).alias("n"), F.sum("visit_id").alias("ids"), fixed(F.sum("score"), 3).alias("total"))
+    return models.permute(v, "score", "visit_id", 7).select("visit_id", "score")
 
 
 @query("permutation_importance", "L20", None)
