@@ -3,7 +3,7 @@
 The product of the document by n-gram incidence matrix with its transpose is summed column block by column block
 (hash ranges of n-grams). A pair can only reach the threshold if it shares one of the first
 ``n - ceil(t n) + 1`` n-grams of either text under any fixed order of n-grams, so the product is first taken
-over these columns; partial overlap counts below the bound that both sizes imply are discarded, and only
+over these columns; pairs whose count and remaining n-grams stay below the overlap that both sizes imply are discarded, and only
 the pairs left get their full count from the whole texts. The order puts n-grams seen often last, which
 keeps columns short; it affects the work, never the result.
 """
@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 from armwave.llm.graph import components, stored
 from armwave.llm.textbytes import RangeHash, Texts, mix, text_slices, texts_of, word_runs, words_of
 
-OFTEN = 200_000       # n-grams put last in the order (1.6 MB broadcast)
-SEEN_IN_A_BLOCK = 4   # ... among those that this many texts of one block of about two million n-grams hold
-BLOCK_GRAMS = 2_000_000
+OFTEN = 500_000       # n-grams put last in the order (8 MB broadcast)
+SEEN_IN_A_BLOCK = 3   # ... among those that this many texts of one block of about six million n-grams hold
+BLOCK_GRAMS = 6_000_000
 SKETCHES = 4          # minimum hashes for the first, cheap linking round
-HUB_ROUNDS = 2        # rounds that try one member of the largest component of each column
 
 
 def shingles(t: Texts, words_hash: RangeHash, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +45,8 @@ def shingles(t: Texts, words_hash: RangeHash, width: int = 5) -> tuple[np.ndarra
     return text[new], value[new]
 
 
-def _often(rows: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of n-grams to put last. Every text is counted; what is kept has a fixed size."""
+def _often(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of n-grams to put last, and their counts. Every text is counted; what is kept has a fixed size."""
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(parts), return_counts=True)
@@ -66,9 +65,13 @@ def _often(rows: DataFrame, width: int) -> np.ndarray:
         if parts:
             yield counted(parts)
 
-    counts = rows.select("t").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "g").limit(OFTEN).select("g").toArrow().column("g").to_numpy()
-    return np.sort(top.astype(np.int64).view(np.uint64))
+    # Few large tasks: a block must be large to tell what is frequent.
+    tasks = rows.select("t").coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    counts = tasks.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    top = counts.orderBy(F.desc("c"), "g").limit(OFTEN).toArrow()
+    grams = top.column("g").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], top.column("c").to_numpy().astype(np.int64)[order]
 
 
 def _need(n, percent: int):
@@ -76,9 +79,11 @@ def _need(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _profiles(rows: DataFrame, often: np.ndarray, width: int, percent: int, kind: str) -> DataFrame:
+def _profiles(rows: DataFrame, often: tuple[np.ndarray, np.ndarray], width: int, percent: int, kind: str) -> DataFrame:
     """Per row: n, a 128-bit fingerprint of the set, minimum hashes, and the first n-grams in the order."""
 
+    grams, counts = often
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = RangeHash(5, lower=True)
         for batch in batches:
@@ -98,9 +103,10 @@ def _profiles(rows: DataFrame, often: np.ndarray, width: int, percent: int, kind
                 for k in range(SKETCHES):
                     if len(value):
                         sketch[full, k] = np.minimum.reduceat(mix(value, 20 + k), first[full])
-                late = np.zeros(len(value), dtype=bool)
-                if len(often):
-                    late = often[np.minimum(np.searchsorted(often, value), len(often) - 1)] == value
+                late = np.zeros(len(value), dtype=np.int64)
+                if len(grams):
+                    place = np.minimum(np.searchsorted(grams, value), len(grams) - 1)
+                    late = np.where(grams[place] == value, counts[place], 0)
                 order = np.lexsort((value, late, text))
                 length = np.where(full, n - _need(n, percent) + 1, 0)
                 keep = np.arange(len(value)) - first[text] < length[text]
@@ -175,8 +181,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     Shingles are 64-bit hashes, sets are compared by 128-bit fingerprints.
 
     Links inside large groups of near copies: a first round links texts to the smallest id that shares one of a few
-    minimum hashes (a star, verified); further rounds try every text of a column that is not in the column's largest
-    component with one member of it. The product then only meets pairs of different components: in each
+    minimum hashes (a star, verified). The product then only meets pairs of different components: in each
     column the members of its largest component are met by the others, not by each other.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -184,7 +189,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     profile = stored(_profiles(rows, _often(rows, width), width, percent, kind), "profiles")
     known = profile.where("n > 0 and id is not null")
     same = known.groupBy("p1", "p2", "n").agg(F.min("id").alias("rep"))
-    postings = _shared(known.select(F.explode("front").alias("g"), "id", "n"))
+    postings = _shared(known.select(F.posexplode("front").alias("pos", "g"), "id", "n").select("g", "id", "n", "pos"))
     reps = same.select(F.col("rep").alias("id"), "n").distinct()
     postings = stored(postings.join(reps, ["id", "n"], "left_semi"), "postings")
     present = postings.select("id").distinct()
@@ -195,30 +200,25 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     first = (stars.join(hubs, ["k", "h"]).where((F.col("id") != F.col("hub.id")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
              .select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct())
     star_links = stored(_linked(first, texts, width, percent), "stars")
-    links, cells = star_links, postings
-    for turn in range(HUB_ROUNDS + 1):
-        label = components(links)
-        at = stored(cells.select("g", "id", "n").join(label, "id", "left").select("g", "id", "n", F.coalesce("root", "id").alias("label")), "labelled")
-        by_label = at.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("g", "id", F.lit(turn)), "id", "n")).alias("hub"))
-        mixed = by_label.groupBy("g").agg(F.max(F.struct("c", "label", "hub")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        cells = at.join(mixed.select("g", F.col("top.label").alias("top"), F.col("top.hub.id").alias("hub"), F.col("top.hub.n").alias("hub_n")), "g")
-        if turn < HUB_ROUNDS:
-            cells = stored(cells, "cells")
-            tried = (cells.where((F.col("label") != F.col("top")) & _sizes_fit(F.col("n"), F.col("hub_n"), percent))
-                     .select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-            links = links.unionByName(stored(_linked(tried, texts, width, percent), "hubs"))
-    x = cells.where("label != top").select("g", F.col("id").alias("xi"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-    y = cells.select("g", F.col("id").alias("yi"), F.col("n").alias("yn"), F.col("label").alias("yl"), (F.col("label") == F.col("top")).alias("main"))
-    met = x.join(y, "g").where((F.col("xl") != F.col("yl")) & _sizes_fit(F.col("xn"), F.col("yn"), percent) & (F.col("main") | (F.col("xi") < F.col("yi"))))
-    low = F.col("xi") < F.col("yi")
-    counted = (met.select(F.when(low, F.struct(F.col("xi").alias("i"), F.col("xn").alias("n"))).otherwise(F.struct(F.col("yi").alias("i"), F.col("yn").alias("n"))).alias("a"),
-                          F.when(low, F.struct(F.col("yi").alias("i"), F.col("yn").alias("n"))).otherwise(F.struct(F.col("xi").alias("i"), F.col("xn").alias("n"))).alias("b"))
-               .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
-    most = F.greatest("a.n", "b.n")
-    outside = F.ceil(most * percent / 100) - 1
-    overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent) - F.lit(1e-9))
-    pairs = counted.where(F.col("c") >= overlap - outside).select(F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct()
-    links = links.unionByName(_linked(pairs, texts, width, percent))
+    label = components(star_links)
+    at = stored(postings.join(label, "id", "left").select("g", "id", "n", "pos", F.coalesce("root", "id").alias("label")), "labelled")
+    by_label = at.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_label.groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    cells = at.join(mixed.select("g", F.col("top.label").alias("top")), "g")
+    x = cells.where("label != top").select("g", *[F.col(c).alias("x" + c) for c in ("id", "n", "pos", "label")])
+    y = cells.select("g", *[F.col(c).alias("y" + c) for c in ("id", "n", "pos", "label")], (F.col("label") == F.col("top")).alias("main"))
+    overlap = F.ceil((F.col("xn") + F.col("yn")) * percent / (100 + percent) - F.lit(1e-9))
+    # Texts that share so many n-grams share one of the first n - overlap + 1 of either.
+    front = (F.col("xpos") <= F.col("xn") - overlap) & (F.col("ypos") <= F.col("yn") - overlap)
+    met = x.join(y, "g").where((F.col("xlabel") != F.col("ylabel")) & front & (F.col("main") | (F.col("xid") < F.col("yid"))))
+    low = F.col("xid") < F.col("yid")
+    pick = lambda a, b: F.struct(*[F.when(low, F.col(a + c)).otherwise(F.col(b + c)).alias(c) for c in ("id", "n")])
+    left = F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) - 1
+    counted = (met.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), left.alias("left"), overlap.alias("overlap"))
+               .groupBy("a", "b", "overlap").agg(F.count(F.lit(1)).alias("c"), F.min("left").alias("left")))
+    # All n-grams in common up to the last one seen are counted; no more can follow than either text has left.
+    pairs = counted.where("c + left >= overlap").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    links = star_links.unionByName(_linked(pairs, texts, width, percent))
     root = components(links)
 
     named = same.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("p1", "p2", "n", F.coalesce("root", "rep").alias("component_id"))
@@ -234,6 +234,6 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     Rows with a null key stay.
     """
     found = classes(docs, text, key, width, percent)
-    chosen = found.where(F.col(f"`{key}`") == F.col("component_id")).select(F.col(f"`{key}`").alias("_kept")).distinct()
-    held = docs.join(chosen, docs[f"`{key}`"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key, text])
+    chosen = found.where(F.col(f"`{key}`") == F.col("component_id")).select(key).distinct()
+    held = docs.join(chosen, key, "left_semi").select(docs.columns).dropDuplicates([key, text])
     return held.unionByName(docs.where(F.col(f"`{key}`").isNull()))
