@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armwave.operators.ordering import exact_percentiles
-from armwave.operators.waves import point_avg_balanced, rolling_mean
+from armwave.operators.waves import daily, point_avg_balanced, rolling_mean
 from armwave.session import cut_lineage
 
 
@@ -157,9 +157,28 @@ def exp_fit(points: DataFrame, by: Sequence[str], x: str = "day", y: str = "mean
     return points.where(F.col(y).isNotNull()).groupBy(*by).applyInPandas(fit, schema)
 
 
+def exp_curve(points: DataFrame, by: Sequence[str], x: str = "day", y: str = "mean_y", grid: int = 100, **how) -> DataFrame:
+    """The fitted exponential of each group at ``grid`` places between its first and last point; nothing where the fit fails."""
+    by = list(by)
+    x = x if x in points.columns else "x"
+    fitted = exp_fit(points, by, x, y, **how).where(F.col("a").isNotNull())
+    ends = points.where(F.col(y).isNotNull()).groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
+    at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("step") / F.lit(float(grid - 1))
+    value = F.col("a") * F.exp(-F.col("b") * F.col("x")) + F.coalesce("c", F.lit(0.0))
+    return fitted.join(ends, by).withColumn("step", step).withColumn("x", at).select(*by, "x", value.alias("smoothed"))
+
+
+def curve_counts(df: DataFrame, y: str, timepoints: Sequence[int], delta: int, by: Sequence[str], day: str = "day") -> DataFrame:
+    """Number of values behind each point of a group's curve: rows with day in [t - delta, t + delta)."""
+    points = daily(df, y, by, day).withColumn("timepoint", F.explode(F.array(*[F.lit(t) for t in timepoints])))
+    inside = points.where((F.col(day) >= F.col("timepoint") - delta) & (F.col(day) < F.col("timepoint") + delta))
+    return inside.groupBy(*by, "timepoint").agg(F.sum("n_y").alias("n"))
+
+
 def curve_table(df: DataFrame, y: str, timepoints: Sequence[int], delta: int, window: int, by: Sequence[str],
                 kinds: Sequence[str] = ("poly", "mov_av", "smooth"), frac: float = 0.1) -> DataFrame:
-    """All requested curves per group in long form: kind, group, x, smoothed."""
+    """All requested curves (poly, mov_av, smooth, exp) per group in long form: kind, group, x, smoothed."""
     by = list(by)
     out = None
     for kind in kinds:
@@ -169,6 +188,8 @@ def curve_table(df: DataFrame, y: str, timepoints: Sequence[int], delta: int, wi
             part = rolling_mean(df.where(F.col(y).isNotNull()), y, window, by).select(*by, F.col("day").cast("double").alias("x"), "smoothed")
         elif kind == "smooth":
             part = lowess(df, y, frac, by).select(*by, F.col("day").alias("x"), "smoothed")
+        elif kind == "exp":
+            part = exp_curve(point_avg_balanced(df, y, timepoints, delta, by), by)
         else:
             raise ValueError(f"unknown curve {kind!r}")
         part = part.withColumn("kind", F.lit(kind))

@@ -38,6 +38,9 @@ def embed(df: DataFrame, col: str, out: str = "vector", size: int = 256, encoder
     return done.withColumn(out, vector_to_array("_unit")).drop("_words", "_tf", "_idf", "_unit")
 
 
+TILE_BYTES = 64 << 20  # of the similarities a task holds at once
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype("float64")
     norm = np.linalg.norm(x, axis=1, keepdims=True)
@@ -66,12 +69,8 @@ def _against(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec: str, keep: i
         elif keep == 1:
             i, j = np.arange(len(own)), sims.argmax(axis=1)
         else:
-            picks = []
-            for line in sims:
-                edge = np.partition(line, max(len(line) - keep, 0))[max(len(line) - keep, 0)]
-                near = np.flatnonzero(line >= edge)
-                picks.append(near[np.argsort(-line[near], kind="stable")][:keep])
-            i, j = np.repeat(np.arange(len(own)), [len(p) for p in picks]), np.concatenate(picks)
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :keep]  # stable: of equal values the smallest id
+            i, j = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
         return pd.DataFrame({"a_id": own[i], "b_id": ids[j], "similarity": sims[i, j]})
 
     size = right.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
@@ -84,8 +83,9 @@ def _against(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec: str, keep: i
         def score_batches(batches):
             ids, m = shared.value
             for batch in batches:
-                if len(batch):
-                    yield score(batch["id"].to_numpy(), _unit(batch["v"]), ids, m)
+                for at in range(0, len(batch), max(1, TILE_BYTES // (8 * len(ids)))):
+                    part = batch.iloc[at: at + max(1, TILE_BYTES // (8 * len(ids)))]
+                    yield score(part["id"].to_numpy(), _unit(part["v"]), ids, m)
 
         return left.mapInPandas(score_batches, schema)
 
@@ -95,9 +95,9 @@ def _against(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec: str, keep: i
         y = y.sort_values("o_id")
         return score(x["id"].to_numpy(), _unit(x["v"]), y["o_id"].to_numpy(), _unit(y["o_v"]))
 
-    rows = max(1, max_bytes // (size["d"] * 8))
+    rows = min(max(1, max_bytes // (size["d"] * 8)), math.isqrt(TILE_BYTES // 8))
     return block_pairs(left.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0)), "cell", ["id"], ["id"],
-                       score_blocks, schema, min(rows, 16384), rows)
+                       score_blocks, schema, rows, rows)
 
 
 def cosine_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec: str = "vector", min_sim: float | None = None,

@@ -241,6 +241,23 @@ def exponential_fits(spark, sf_dir):
     return curves.exp_fit(points, ["arm"], start=(1.0, 0.01, 1.0))
 
 
+# Points on a stated curve per arm, at the hundreds of days of its visits: the fit must return the constants.
+@query("exponential_constants", "K3", _V + f"""select arm, {sfix("1.5 + ascii(arm) % 5", 3)} as a, {sfix("0.004", 3)} as b, {sfix("0.5", 3)} as c
+from (select distinct arm, day // 100 * 100 as x from visits) group by arm having count(*) >= 4""")
+def exponential_constants(spark, sf_dir):
+    points = visits(spark, sf_dir).select("arm", (F.floor(F.col("day") / 100) * 100).alias("day")).distinct()
+    y = (F.lit(1.5) + F.ascii("arm") % 5) * F.exp(-0.004 * F.col("day")) + 0.5
+    fit = curves.exp_fit(points.withColumn("mean_y", y), ["arm"], start=(1.0, 0.01, 1.0))
+    return fit.select("arm", *[fixed(F.col(c) + 1e-7, 3).alias(c) for c in "abc"])
+
+
+@query("curve_counts", "K5", _V + """select arm, subject % 2 as anx, t.t as timepoint, cast(count(score) as bigint) as n
+from visits, (select unnest([0, 100, 250, 400]) as t) t where day >= t.t - 45 and day < t.t + 45 group by all""")
+def curve_counts(spark, sf_dir):
+    v = visits(spark, sf_dir).withColumn("anx", F.col("subject") % 2)
+    return curves.curve_counts(v, "score", (0, 100, 250, 400), 45, ["arm", "anx"])
+
+
 @query("moderator_curves", "K5 K4 P22 W7", None)
 def moderator_curves(spark, sf_dir):
     return mediators.moderator_curves(_trial(spark, sf_dir), "score", "anx", ([0], [1]), (0, 100, 250, 400), 45, 50)
