@@ -19,12 +19,16 @@ def _schema_of(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in cols)
 
 
+DAYS_OF_A_BLOCK = 128
+
+
 def lowess(df: DataFrame, y: str, frac: float = 0.1, by: Sequence[str] = (), day: str = "day", robust: int = 3) -> DataFrame:
     """Locally weighted regression of y on day per group, with ``robust`` reweighting rounds.
 
     A fit needs only row counts and weighted sums per (group, day): a table as long as the days are
     many. Reweighting goes back to the rows: residuals, their exact median per group, new weights,
-    new sums. So the rows are never gathered, and the curve equals the one fitted on single rows.
+    new sums. So the rows are never gathered, and the curve equals the one fitted on single rows. A group is fitted in
+    blocks of days, each with the table of all its days.
     """
     by = list(by)
     one = [] if by else ["_all"]
@@ -35,35 +39,37 @@ def lowess(df: DataFrame, y: str, frac: float = 0.1, by: Sequence[str] = (), day
     schema = _schema_of(base, keys) + ", day double, smoothed double"
 
     def local_fit(pdf):
+        """Fits at the days of one block; the table holds all days of the group."""
         pdf = pdf.sort_values("day")
         x, n, w, wy = (pdf[c].to_numpy(dtype="float64") for c in ("day", "n", "w", "wy"))
         k = max(int(frac * n.sum() + 1e-10), 1)
-        fitted = np.full(len(x), np.nan)
-        for i, x0 in enumerate(x):
-            gap = np.abs(x - x0)
-            order = np.argsort(gap, kind="stable")
-            h = gap[order][np.searchsorted(np.cumsum(n[order]), k)]
-            u = gap / h if h > 0 else np.where(gap == 0, 0.0, 2.0)
-            kernel = np.where(u <= 0.001, 1.0, np.where(u < 0.999, (1 - np.clip(u, 0, 1) ** 3) ** 3, 0.0))
-            a, b = kernel * w, kernel * wy
-            total = a.sum()
-            if total <= 0:
-                continue
-            centre = (a * x).sum() / total
-            spread = (a * (x - centre) ** 2).sum() / total
-            level = b.sum() / total
-            # a spread this small against the range of x carries no slope
-            if spread > (0.001 * (x[-1] - x[0])) ** 2:
-                level += (x0 - centre) * (b * (x - centre)).sum() / total / spread
-            fitted[i] = level
+        at = x[np.floor(x / DAYS_OF_A_BLOCK) == pdf["block"].iloc[0]]
+        gap = np.abs(x[None, :] - at[:, None])
+        order = np.argsort(gap, axis=1, kind="stable")
+        reach = np.minimum((np.cumsum(n[order], axis=1) < k).sum(axis=1), len(x) - 1)
+        h = np.take_along_axis(gap, order[np.arange(len(at)), reach][:, None], axis=1)
+        u = np.where(h > 0, gap / np.where(h > 0, h, 1.0), np.where(gap == 0, 0.0, 2.0))
+        kernel = np.where(u <= 0.001, 1.0, np.where(u < 0.999, (1 - np.clip(u, 0, 1) ** 3) ** 3, 0.0))
+        a, b = kernel * w, kernel * wy
+        total = a.sum(axis=1)
+        safe = np.where(total > 0, total, 1.0)
+        centre = (a @ x) / safe
+        off = x[None, :] - centre[:, None]
+        spread = (a * off ** 2).sum(axis=1) / safe
+        level = b.sum(axis=1) / safe
+        # a spread this small against the range of x carries no slope
+        steep = spread > (0.001 * (x[-1] - x[0])) ** 2
+        level = level + np.where(steep, (at - centre) * (b * off).sum(axis=1) / safe / np.where(steep, spread, 1.0), 0.0)
         out = {c: pdf[c].iloc[0] for c in keys}
-        return pd.DataFrame({**out, "day": x, "smoothed": fitted})[[*keys, "day", "smoothed"]]
+        return pd.DataFrame({**out, "day": at, "smoothed": np.where(total > 0, level, np.nan)})[[*keys, "day", "smoothed"]]
 
     def fit(rows: DataFrame) -> DataFrame:
         sums = rows.groupBy(*keys, "day").agg(
             F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"))
-        return sums.groupBy(*keys).applyInPandas(local_fit, schema)
+        blocks = sums.select(*keys, F.floor(F.col("day") / DAYS_OF_A_BLOCK).alias("block")).distinct()
+        return sums.join(blocks, keys).groupBy(*keys, "block").applyInPandas(local_fit, schema)
 
+    base = cut_lineage(base)
     curve = fit(base.withColumn("w", F.lit(1.0)))
     for _ in range(robust):
         curve = cut_lineage(curve)
