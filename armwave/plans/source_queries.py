@@ -44,10 +44,19 @@ def questionnaire_read(spark, sf_dir):
     return tables.read_questionnaire(spark, path, ["src_subject_id", "interview_date", "days_baseline", "score"], described="marked")
 
 
-@query("dictionary_split", "S2", "select * from (values " + ", ".join(
-    f"('{c}', '{d.replace(chr(39), chr(39) * 2)}')" for c, d in _DESCRIPTIONS.items()) + ") t(\"column\", description)")
+_COUNTED = {"src_subject_id": "o_custkey", "interview_date": "o_orderdate", "days_baseline": "case when o_orderkey % 11 <> 0 then 1 end", "score": "o_orderstatus"}
+
+
+@query("dictionary_split", "S2", "select d.*, coalesce(n.n, 0) as non_null from (values " + ", ".join(
+    f"('{c}', '{d.replace(chr(39), chr(39) * 2)}')" for c, d in _DESCRIPTIONS.items()) + ") d(\"column\", description) left join (" + " union all ".join(
+    f"select '{c}' as \"column\", count({e}) as n from orders" for c, e in _COUNTED.items()) + ") n using (\"column\")")
 def dictionary_split(spark, sf_dir):
-    return tables.read_dictionary(spark, _write_questionnaire(spark, sf_dir), described="marked")
+    """Descriptions of a written table, each with the number of values its column has in the data."""
+    path = _write_questionnaire(spark, sf_dir)
+    words = tables.read_dictionary(spark, path, described="marked")
+    rows = tables.read_table(spark, path, sep="\t").where(F.col("src_subject_id") != tables.DESCRIPTION_ID)
+    counts = rows.unpivot([], rows.columns, "column", "value").groupBy("column").agg(F.count("value").alias("non_null"))
+    return words.join(counts, "column", "left").withColumn("non_null", F.coalesce("non_null", F.lit(0)))
 
 
 @query("table_read", "S3", "select cast(p_partkey as varchar) as p_partkey, p_name, p_brand from part")
