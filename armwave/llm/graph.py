@@ -15,6 +15,14 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a stored table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id of the links (a, b) that is not its component's smallest id; root is that id.
 
@@ -34,4 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = stored(small.unionByName(near.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
+        before, e = e, stored(small.unionByName(near.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
+        dropped(before)
