@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,16 +155,17 @@ def near_classes(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id"
     for dim, n in points.groupBy("dim").count().collect():  # one row per vector length in use
         cuts = max(1, -(-n // block))
         own = points.where(F.col("dim") == dim)
-        edges = own.approxQuantile("p", [i / cuts for i in range(1, cuts)], 0.1 / cuts) if cuts > 1 else []
+        edges = sorted(set(own.approxQuantile("p", [i / cuts for i in range(1, cuts)], 0.1 / cuts))) if cuts > 1 else []
+        cuts = len(edges) + 1
         r = directions(int(dim), m, seed)
         reach = spread * float(np.linalg.norm(r[0])) * (1 + 1e-9)
         # Block i holds values from edges[i-1] to edges[i]; it meets the blocks up to the one its upper edge can reach.
-        last = [int(np.searchsorted(edges, edges[i] + reach, side="right")) if i < len(edges) else cuts - 1 for i in range(cuts)]
-        first = [next(i for i in range(cuts) if last[i] >= j) for j in range(cuts)]
+        last = np.append(np.searchsorted(edges, np.array(edges) + reach, side="right"), cuts - 1).tolist()
+        first = np.searchsorted(last, np.arange(cuts)).tolist()
         spark = own.sparkSession
         table = spark.createDataFrame([(i, first[i], last[i]) for i in range(cuts)], "block int, low int, high int")
-        at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("p"))) if edges else F.lit(0)
-        placed = own.withColumn("block", at.cast("int")).join(table, "block")
+        cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="p", outputCol="at") if edges else None
+        placed = (cut.transform(own).withColumn("block", F.col("at").cast("int")) if cut else own.withColumn("block", F.lit(0))).join(table, "block")
         met = placed.select("rep", "copies", "u", "block", F.explode(F.sequence("low", "high")).alias("other"))
         met = met.select("rep", "copies", "u", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         half = window * spread / math.sqrt(dim)
