@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -146,18 +146,31 @@ def phrases(text: str | Column, sep: str = "? ") -> Column:
     return F.filter(F.transform(F.split(_col(text), F.lit(_literal(sep))), F.trim), lambda s: s != "")
 
 
+# Wording of the request, and the stock descriptions of the wanted output.
+PROMPT_WORDING = {
+    "ask": "Provide many single words and some short phrases related to",
+    "domain": "(in the {} domain)",
+    "definition": "Here is a definition of",
+    "examples": "Here are some examples (include these in the list)",
+}
+OUTPUT_FORMATS = {
+    "default": "Each token should be separated by a semicolon. Do not return duplicate tokens. Do not provide any explanation or additional text beyond the tokens.",
+    "json": "Provide tokens in JSON output. Do not return duplicate tokens. Do not provide any explanation or additional text beyond the tokens.",
+}
+
+
 def prompt_text(term: str | Column, definition: str | Column, domain: str | None = None,
-                examples: Column | None = None, output_format: str = "") -> Column:
+                examples: Column | None = None, output_format: str = "default", wording: Mapping[str, str] = PROMPT_WORDING) -> Column:
     """Request text for a term: related words wanted, then definition and examples if present.
 
-    Parentheses (usually citations) are removed from the definition.
+    ``output_format`` names a stock description or is one. Parentheses (usually citations) are removed from the definition.
     """
     name = F.lower(F.replace(_col(term), F.lit("_"), F.lit(" ")))
-    place = F.concat(F.lit(" "), F.format_string(f"(in the {domain} domain). ")) if domain else F.lit(". ")
-    ask = F.concat(F.lit("Provide many single words and some short phrases related to "), name, place, F.lit(output_format))
+    place = F.lit(" " + wording["domain"].format(domain) + ". " if domain else ". ")
+    ask = F.concat(F.lit(wording["ask"] + " "), name, place, F.lit(OUTPUT_FORMATS.get(output_format, output_format)))
     meaning = F.trim(F.lower(F.regexp_replace(_col(definition), r"\([^\n)]*\)", "")))
-    told = F.concat(F.lit("\nHere is a definition of "), name, F.lit(": "), meaning)
-    shown = F.concat(F.lit("\nHere are some examples: "), F.array_join(examples, "; ")) if examples is not None else F.lit("")
+    told = F.concat(F.lit("\n" + wording["definition"] + " "), name, F.lit(": "), meaning)
+    shown = F.concat(F.lit("\n" + wording["examples"] + ": "), F.array_join(examples, "; "), F.lit(".")) if examples is not None else F.lit("")
     return F.concat(ask, F.coalesce(told, F.lit("")), F.coalesce(shown, F.lit("")))
 
 

@@ -186,11 +186,11 @@ def formula_texts(spark, sf_dir):
 
 
 @query("prompt_texts", "F20", r"""
-select item_id, md5(concat('Provide many single words and some short phrases related to item ', item_id, '. Use a semicolon.', chr(10), 'Here is a definition of item ', item_id, ': ',
-  trim(lower(regexp_replace(concat(text, ' (Source, 1999)'), '\([^\n)]*\)', '', 'g'))), chr(10), 'Here are some examples: a; b')) as prompt from benchmark""")
+select item_id, md5(concat('Provide many single words and some short phrases related to item ', item_id, '. Each token should be separated by a semicolon. Do not return duplicate tokens. Do not provide any explanation or additional text beyond the tokens.', chr(10), 'Here is a definition of item ', item_id, ': ',
+  trim(lower(regexp_replace(concat(text, ' (Source, 1999)'), '\([^\n)]*\)', '', 'g'))), chr(10), 'Here are some examples (include these in the list): a; b.')) as prompt from benchmark""")
 def prompt_texts(spark, sf_dir):
     term = F.concat(F.lit("Item_"), F.col("item_id").cast("string"))
-    p = text.prompt_text(term, F.concat(F.col("text"), F.lit(" (Source, 1999)")), examples=F.array(F.lit("a"), F.lit("b")), output_format="Use a semicolon.")
+    p = text.prompt_text(term, F.concat(F.col("text"), F.lit(" (Source, 1999)")), examples=F.array(F.lit("a"), F.lit("b")))
     return table(spark, sf_dir, "benchmark").select("item_id", F.md5(p).alias("prompt"))
 
 
