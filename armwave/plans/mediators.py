@@ -11,17 +11,22 @@ from armwave.operators import curves, filters, mixed
 from armwave.plans.replication import arm_factors
 
 
-def moderator_specs(moderators: Sequence[str], outcomes: Sequence[str], raters: Sequence[str], sites: Sequence[int],
+def moderator_specs(moderators: Sequence[str], outcomes: Sequence[str], raters: Sequence[str | None], sites: Sequence[int],
                     max_day: int = 450) -> list[mixed.Spec]:
-    """One model per moderator, outcome and rater: day * arm * moderator, plus site."""
+    """One model per moderator, outcome and rater: day * arm * moderator, plus site.
+
+    The rater None is for questionnaires without raters: all rows.
+    """
     specs = []
     for m in moderators:
         factors = {**arm_factors(sites), m: mixed.numeric(m)}
         terms = mixed.design(factors, [*mixed.crossed(["arm", "day", m]), ("site",)])
         for y in outcomes:
             for r in raters:
-                where = (F.col("rater") == r) & (F.col("day") < max_day) & F.col("arm").isin("M", "P", "C", "A")
-                specs.append(mixed.Spec(f"{m}|{y}|{r}", y, terms, where))
+                where = (F.col("day") < max_day) & F.col("arm").isin("M", "P", "C", "A")
+                if r is not None:
+                    where = where & (F.col("rater") == r)
+                specs.append(mixed.Spec(f"{m}|{y}" + (f"|{r}" if r is not None else ""), y, terms, where))
     return specs
 
 
@@ -36,9 +41,10 @@ def significant_models(fits: Sequence[mixed.Fit], alpha: float = 0.05) -> list[m
 
 
 def moderator_curves(df: DataFrame, y: str, moderator: str, values: tuple[Sequence, Sequence], timepoints: Sequence[int], delta: int,
-                     window: int, kinds: Sequence[str] = ("poly", "mov_av", "smooth"), arm: str = "arm") -> DataFrame:
-    """Curves for each arm with the moderator absent and present."""
-    split = filters.split_moderator(df, moderator, values[0], values[1], "day", -window, 450)
+                     window: int, kinds: Sequence[str] = ("poly", "mov_av", "smooth"), arm: str = "arm",
+                     days: tuple[int, int] = (-50, 450)) -> DataFrame:
+    """Curves for each arm with the moderator absent and present, over the given days (``window`` only smooths)."""
+    split = filters.split_moderator(df, moderator, values[0], values[1], "day", *days)
     return curves.curve_table(split, y, timepoints, delta, window, [arm, "mod_group"], kinds)
 
 
