@@ -29,8 +29,9 @@ from armwave.llm.warc import open_store
 from armwave.session import scratch_path
 
 BLOCK_BYTES = 12 << 20
-PRIORS = (None, 400.0, 2.0)  # mu of one-word and two-word histories; also sets the order of the model
+PRIORS = (None, 4000.0, 2.0)  # mu of one-word and two-word histories; also sets the order of the model
 END, START = np.uint64(0x9D5C0FB7A31E64D3), np.uint64(0x2B7E151628AED2A6)
+BITS = (64, 56)  # of the hashes of words, and of longer n-grams, of which there are most
 _U = np.uint64
 
 
@@ -110,7 +111,7 @@ def _tokens(batches: list[pa.RecordBatch], order: int) -> Block:
     opening = np.arange(len(token)) == first[text]
     for k in range(1, order):  # the token k places before, start signs before a text's first token
         history = np.where(opening, START, np.roll(history, 1))
-        grams.append(mix(grams[-1] * _U(0xD1342543DE82EF95) + history * _U(0x8CB92BA72F3D8DD7), k + 1))
+        grams.append(mix(grams[-1] * _U(0xD1342543DE82EF95) + history * _U(0x8CB92BA72F3D8DD7), k + 1) >> _U(64 - BITS[1]))
     return Block(ids, held, text, first, grams)
 
 
@@ -122,9 +123,10 @@ def _ask(b: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _squeeze(sorted_keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences, in six bytes each where they fit."""
+    """Sorted hashes as differences, in five or six bytes each where they fit."""
     step = np.diff(sorted_keys, prepend=_U(0))
-    width = 6 if not len(step) or (step[1:] >> _U(48)).max(initial=_U(0)) == 0 else 8
+    most = int(step[1:].max(initial=_U(0)))
+    width = 5 if most < 1 << 40 else 6 if most < 1 << 48 else 8
     head = sorted_keys[:1].tobytes()
     return bytes([width]) + head + np.ascontiguousarray(step[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
@@ -157,7 +159,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and one end per text; null and empty texts are one
     end. ``base_score`` is the add-one unigram score, the lowest order of the model. Without training tokens all words are
-    unknown. A null ``held`` counts as false. Words and n-grams are 64-bit hashes. Other columns are not read.
+    unknown. A null ``held`` counts as false. Words are 64-bit hashes, longer n-grams 56-bit ones. Other columns are not read.
     """
     spark, order = docs.sparkSession, len(priors)
     kind = docs.schema[key].dataType.simpleString()
@@ -166,13 +168,13 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     ranges = max(1, blocks.count())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
+        edges = [np.array([(i << bits) // ranges for i in range(1, ranges)], dtype=np.uint64) for bits in BITS]
         for batch in batches:
             for row in batch.to_pylist():
                 b = _tokens(_unpack(row["file"], row["offset"], row["length"]), order)
                 for k in range(order):
                     keys, counts, _ = _ask(b, k)
-                    cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                    cut = [0, *np.searchsorted(keys, edges[min(k, 1)]).tolist(), len(keys)]
                     full = [(i, x, y) for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([row["file"]] * len(full), pa.string()), pa.array([row["offset"]] * len(full), pa.int64()), pa.array([row["length"]] * len(full), pa.int64()),
