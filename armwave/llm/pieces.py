@@ -15,6 +15,7 @@ import heapq
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from armwave.llm.textbytes import RangeHash, text_slices
 
 MARK = "▁"
-KNOWN_WORDS = 400_000  # words whose ids a task remembers; beyond that it starts over
+KNOWN_WORDS = 250_000  # words whose ids a task remembers; beyond that it starts over
+KNOWN_PAIRS = 400_000  # ... and pairs of pieces found to stay apart or not
 NEVER = 1 << 60
 PIECE_NORMAL, PIECE_UNKNOWN, PIECE_CONTROL, PIECE_USER, PIECE_BYTE = 1, 2, 3, 4, 6
 
@@ -106,6 +108,7 @@ class Segmenter:
         for i, p in enumerate(v.piece):
             self.order[i] = v.rank.get(p, -1)
         self.pairs: dict[int, bool] = {}
+        self.sizes = [len(p) for p in v.piece]
         self.runs: dict[int, list[int]] = {}
         self.lowest = min((s for s, k in zip(v.score, v.kind) if k == PIECE_NORMAL), default=0.0) - 10.0
 
@@ -131,41 +134,46 @@ class Segmenter:
         """Ids of sorted words of known characters; each starts with at most one mark."""
         last: list[int] = [0]
         total: list[float] = [0.0]
-        before, pairs, unigram, score = "", self.pairs, self.v.unigram, self.v.score
-        if len(pairs) > 2_000_000:
+        before, pairs, unigram, score, sizes = "", self.pairs, self.v.unigram, self.v.score, self.sizes
+        matches, reach, apart = self.auto.iter, self.longest - 1, self._apart
+        if len(pairs) > KNOWN_PAIRS:
             pairs.clear()
         for word in words:
-            shared, most = 0, min(len(word), len(before))
+            length = len(word)
+            shared, most = 0, min(length, len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1:], total[shared + 1:]
-            last += [-1] * (len(word) - shared)
-            for end, (size, i) in self.auto.iter(word, max(0, shared - self.longest + 1)):
+            last += [-1] * (length - shared)
+            for end, (size, i) in matches(word, shared - reach if shared > reach else 0):
                 if end < shared:
                     continue
-                start = end + 1 - size
+                end += 1
                 if unigram:
-                    s = total[start] + score[i]
-                    if len(total) == end + 1:
+                    s = total[end - size] + score[i]
+                    if len(total) == end:
                         total.append(s)
-                        last[end + 1] = i
-                    elif s > total[end + 1]:
-                        total[end + 1], last[end + 1] = s, i
-                elif last[end + 1] < 0:
-                    if start:
-                        key = last[start] << 32 | i
-                        ok = pairs.get(key)
-                        if ok is None:
-                            ok = pairs[key] = self._apart(last[start], i)
+                        last[end] = i
+                    elif s > total[end]:
+                        total[end], last[end] = s, i
+                elif last[end] < 0:
+                    if end == size:
+                        last[end] = i
+                        continue
+                    x = last[end - size]
+                    key = x << 32 | i
+                    if key in pairs:
+                        ok = pairs[key]
                     else:
-                        ok = True
+                        ok = pairs[key] = apart(x, i)
                     if ok:
-                        last[end + 1] = i
+                        last[end] = i
             before = word
-            out, at, piece = [], len(word), self.v.piece
+            out, at = [], length
             while at:
-                out.append(last[at])
-                at -= len(piece[last[at]])
+                i = last[at]
+                out.append(i)
+                at -= sizes[i]
             out.reverse()
             yield out
 
@@ -189,40 +197,38 @@ class Segmenter:
         return self.runs[n]
 
     def encode(self, units: list[str]) -> list[list[int]]:
-        """Ids of marked words (with spaces as marks), in the order given."""
-        plans, parts = [], set()
-        for u in units:
-            marks = len(u) - len(u.lstrip(MARK)) if not self.v.unigram else 0
-            if marks == len(u) and not self.v.unigram:
-                plans.append((marks, ()))
-                continue
-            body = u[marks - 1:] if marks else u
-            pieces, begin = [], 0
-            if not set(body) <= self.chars:
-                for k, ch in enumerate(body):
-                    if ch not in self.chars:
-                        if k > begin:
-                            pieces.append(body[begin:k])
-                        pieces.append((ch,))
-                        begin = k + 1
-            if begin < len(body):
-                pieces.append(body[begin:])
-            plans.append((max(0, marks - 1), pieces))
-            parts.update(p for p in pieces if isinstance(p, str))
-        ordered = sorted(parts)
-        known = dict(zip(ordered, self.words(ordered)))
-        out = []
-        for marks, pieces in plans:
-            ids: list[int] = []
-            for p in pieces:
-                ids += known[p] if isinstance(p, str) else self._bytes(p[0])
-            if not pieces:
-                ids = self._run(marks)
-            elif marks:
-                ids = self._run(marks + 1) + ids[1:] if self.v.piece[ids[0]] == MARK else self._run(marks) + ids
-            out.append(ids)
+        """Ids of distinct marked words (with spaces as marks), in the order given."""
+        odd = set("".join(units)) - self.chars
+        plain, rest = [], []
+        for j, u in enumerate(units):
+            # Marks in front of the last one never join a word, and alone they follow a rule of their own.
+            simple = self.v.unigram or (u[:1] != MARK or (len(u) > 1 and u[1] != MARK))
+            (plain if simple and (not odd or odd.isdisjoint(u)) else rest).append(j)
+        plain.sort(key=units.__getitem__)
+        out: list[list[int]] = [[]] * len(units)
+        for j, ids in zip(plain, self.words([units[j] for j in plain])):
+            out[j] = ids
+        for j in rest:
+            out[j] = self._pieces(units[j])
         return out
 
+    def _pieces(self, unit: str) -> list[int]:
+        """Ids of a word with several marks, only marks, or characters without a piece (their bytes)."""
+        marks = 0 if self.v.unigram else len(unit) - len(unit.lstrip(MARK))
+        if marks == len(unit):
+            return self._run(marks)
+        ids: list[int] = []
+        for known, part in groupby(unit[marks - 1:] if marks else unit, self.chars.__contains__):
+            text = "".join(part)
+            if known:
+                ids += next(self.words([text]))
+            else:
+                for ch in text:
+                    ids += self._bytes(ch)
+        if marks > 1:  # a mark that no merge took joins the run before it
+            ids = self._run(marks) + ids[1:] if self.v.piece[ids[0]] == MARK else self._run(marks - 1) + ids
+        return ids
+
 
 def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, unit starts, unit ends, units per text); a text that is not empty gets a space in front."""
@@ -242,15 +248,33 @@ def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return buf, start, end, np.searchsorted(start, offsets[1:]) - np.searchsorted(start, offsets[:-1])
 
 
+def _piece_bytes(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that the pieces stand for, as one array, and where each ends."""
+    table = []
+    for p, k in zip(v.piece, v.kind):
+        table.append(bytes([int(p[1:-1], 16)]) if k == PIECE_BYTE else " ⁇ ".encode() if k == PIECE_UNKNOWN else b"" if k == PIECE_CONTROL
+                     else p.replace(MARK, " ").encode())
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum([0, *map(len, table)])
+
+
+def _spelled(ids: np.ndarray, edge: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of lists of ids that end at ``edge``, and where each list's bytes end."""
+    size = (ends[1:] - ends[:-1])[ids]
+    total = np.concatenate(([0], np.cumsum(size)))
+    return flat[np.arange(total[-1]) - np.repeat(total[:-1] - ends[ids], size)], total[edge]
+
+
 class _Words:
     """Ids of the words a task has met, as one flat array."""
 
     def __init__(self, segmenter: Segmenter) -> None:
         self.segmenter, self.hash = segmenter, RangeHash(31)
+        self.bytes, self.byte_ends = _piece_bytes(segmenter.v)
         self.code: dict[int, int] = {}
         self.flat, self.ends = array("i"), array("q", [0])
 
-    def encode(self, texts: pa.Array) -> pa.ListArray:
+    def encode(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Ids of each text, and whether its pieces' bytes are the text's (marks reading as spaces)."""
         buf, start, end, per_text = _units(texts)
         value, first, back = np.unique(self.hash.ranges(self.hash.sums(buf), start, end), return_index=True, return_inverse=True)
         if len(self.code) + len(value) > KNOWN_WORDS and self.code:
@@ -268,7 +292,15 @@ class _Words:
         total = np.concatenate(([0], np.cumsum(size)))
         at = np.arange(total[-1]) - np.repeat(total[:-1] - ends[code], size)
         ids = np.array(self.flat, dtype=np.int32)[at]
-        return pa.ListArray.from_arrays(pa.array(total[np.concatenate(([0], np.cumsum(per_text)))].astype(np.int32)), pa.array(ids))
+        edge = total[np.concatenate(([0], np.cumsum(per_text)))]
+        raw, ends = _spelled(ids, edge, self.bytes, self.byte_ends)
+        if len(raw) == len(buf) and (raw == buf).all():
+            same = np.ones(len(texts), bool)
+        else:
+            unit = np.concatenate(([0], np.cumsum(per_text)))
+            own = np.append(start, len(buf))[unit]
+            same = np.array([raw[a:b].tobytes() == buf[c:d].tobytes() for a, b, c, d in zip(ends, ends[1:], own, own[1:])], dtype=bool)
+        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids)), same
 
 
 def load(spark, path: str):
@@ -277,26 +309,30 @@ def load(spark, path: str):
         return spark.sparkContext.broadcast(Vocabulary.read(f.read()))
 
 
-def encode(docs: DataFrame, model, text: str = "text", out: str = "piece_ids") -> DataFrame:
+def encode(docs: DataFrame, model, text: str = "text", out: str = "piece_ids", round_trip: str | None = None) -> DataFrame:
     """``docs`` with the ids of each text. Null gives null, an empty text no ids. No shuffle; whole texts.
 
-    A character without a piece gives its UTF-8 bytes (or the unknown id). A column named like ``out`` is replaced.
+    A character without a piece gives its UTF-8 bytes (or the unknown id). ``round_trip`` names a further column: whether
+    the ids, decoded at once, read as the text up to marks (true for null). Columns named like the new ones are replaced.
     """
-    names = [c for c in docs.columns if c != out]
-    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    names = [c for c in docs.columns if c not in (out, round_trip)]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    if dict(docs.dtypes)[text] != "string":
+        raise ValueError(f"{text} is no text column")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(Segmenter(model.value))
         for batch in batches:
-            for _, part in text_slices(batch, "t"):
+            texts = pc.struct_field(batch.column("row"), text)
+            for first, part in text_slices(pa.RecordBatch.from_arrays([texts], names=["t"]), "t"):
                 t = part.column("t")
-                ids = words.encode(t)
+                ids, same = words.encode(t)
                 if t.null_count:
                     ids = pc.if_else(t.is_valid(), ids, pa.scalar(None, ids.type))
-                yield pa.RecordBatch.from_arrays([part.column("row"), ids], names=["row", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, len(t)), ids, pa.array(same)], names=["row", "ids", "same"])
 
-    done = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>")
-    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("ids").alias(out))
+    done = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, same boolean")
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("ids").alias(out), *([F.col("same").alias(round_trip)] if round_trip else []))
 
 
 def decode(df: DataFrame, model, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -308,22 +344,15 @@ def decode(df: DataFrame, model, ids: str = "piece_ids", out: str = "decoded") -
     packed = df.select(F.col(f"`{ids}`").alias("ids"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = model.value
-        table = []
-        for p, k in zip(v.piece, v.kind):
-            table.append(bytes([int(p[1:-1], 16)]) if k == PIECE_BYTE else " ⁇ ".encode() if k == PIECE_UNKNOWN else b"" if k == PIECE_CONTROL
-                         else p.replace(MARK, " ").encode())
-        flat, ends = np.frombuffer(b"".join(table), np.uint8), np.cumsum([0, *map(len, table)])
+        flat, ends = _piece_bytes(model.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 lists = part.column("ids")
                 sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 code = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                size = ends[code + 1] - ends[code]
-                total = np.concatenate(([0], np.cumsum(size)))
-                raw = flat[np.arange(total[-1]) - np.repeat(total[:-1] - ends[code], size)].tobytes()
-                edge = total[np.concatenate(([0], np.cumsum(sizes)))]
+                spelled, edge = _spelled(code, np.concatenate(([0], np.cumsum(sizes))), flat, ends)
+                raw = spelled.tobytes()
                 texts = []
                 for ok, a, b in zip(lists.is_valid().to_pylist(), edge[:-1].tolist(), edge[1:].tolist()):
                     texts.append((raw[a + (raw[a: a + 1] == b" "): b]).decode("utf-8", "replace") if ok else None)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,16 +126,17 @@ def keep_clean(docs: DataFrame, policy: str = "prose-1", text: str = "text", key
     The verdict is computed beside each row (no join, so equal or null keys do no harm).
     """
     names = docs.columns
-    packed = docs.select(F.col(f"`{text}`").alias("text_"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
     needed = POLICIES[policy]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = RangeHash(7)
         for batch in batches:
-            for _, part in text_slices(batch, "text_"):
-                measured = [pa.array(np.asarray(x, dtype=np.int64)) for x in _measured(part, "text_", h)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), *measured], names=["row", *MEASURES])
+            texts = pa.RecordBatch.from_arrays([pc.struct_field(batch.column("row"), text)], names=["t"])
+            for first, part in text_slices(texts, "t"):
+                measured = [pa.array(np.asarray(x, dtype=np.int64)) for x in _measured(part, "t", h)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, part.num_rows), *measured], names=["row", *MEASURES])
 
     rows = packed.mapInArrow(run, f"row {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     for rule in needed:

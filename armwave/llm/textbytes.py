@@ -1,6 +1,6 @@
 """Arrow text columns as numpy bytes: words, lines, and position-independent hashes of byte ranges.
 
-All helpers work on slices of a record batch that hold about a megabyte of text (a longer text is a
+All helpers work on slices of a record batch that hold about half a megabyte of text (a longer text is a
 slice of its own), so a task's memory depends on the longest text and not on the batch.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 
 
