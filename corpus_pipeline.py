@@ -34,9 +34,8 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with piece ids, their number, and whether they decode to the text."""
     vocabulary = pieces.load(spark, MODEL)
-    done = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
-    trip = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.MARK), F.lit(" ")))
-    return done.select(*docs.columns, "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), trip.alias("round_trip"))
+    done = pieces.encode(docs, vocabulary, round_trip="round_trip")
+    return done.select(*docs.columns, "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), "round_trip")
 
 
 STAGES = [
