@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from armwave.session import scratch_path
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: short lineage that survives lost executors."""
+def stored(df: DataFrame, name: str, codec: str = "snappy", made: list[DataFrame] | None = None) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again: short lineage that survives lost executors.
+
+    The table is also added to ``made``, for a caller that removes what it no longer needs (:func:`dropped`).
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    if made is not None:
+        made.append(out)
+    return out
 
 
 def dropped(df: DataFrame) -> None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armwave.llm.graph import components, stored
+from armwave.llm.graph import components, dropped, stored
 from armwave.llm.textbytes import RangeHash, Texts, mix, text_slices, texts_of, word_runs, words_of
 
 OFTEN = 500_000       # n-grams put last in the order (8 MB broadcast)
@@ -170,7 +170,7 @@ def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, made: list[DataFrame] | None = None) -> DataFrame:
     """(key, n_shingles, component_id) per row: components of all links with Jaccard similarity >= percent / 100.
 
     Null or empty texts and texts without words have 0 shingles and are their own component. Rows with a null
@@ -186,22 +186,22 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
-    profile = stored(_profiles(rows, _often(rows, width), width, percent, kind), "profiles")
+    profile = stored(_profiles(rows, _often(rows, width), width, percent, kind), "profiles", made=made)
     known = profile.where("n > 0 and id is not null")
     same = known.groupBy("p1", "p2", "n").agg(F.min("id").alias("rep"))
     postings = _shared(known.select(F.posexplode("front").alias("pos", "g"), "id", "n").select("g", "id", "n", "pos"))
     reps = same.select(F.col("rep").alias("id"), "n").distinct()
-    postings = stored(postings.join(reps, ["id", "n"], "left_semi"), "postings")
+    postings = stored(postings.join(reps, ["id", "n"], "left_semi"), "postings", made=made)
     present = postings.select("id").distinct()
-    texts = stored(rows.join(present, "id", "left_semi").distinct(), "texts")
+    texts = stored(rows.join(present, "id", "left_semi").distinct(), "texts", made=made)
 
     stars = (known.join(present, "id", "left_semi").select("id", "n", F.posexplode("sketch").alias("k", "h")))
     hubs = stars.groupBy("k", "h").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     first = (stars.join(hubs, ["k", "h"]).where((F.col("id") != F.col("hub.id")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
              .select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct())
-    star_links = stored(_linked(first, texts, width, percent), "stars")
+    star_links = stored(_linked(first, texts, width, percent), "stars", made=made)
     label = components(star_links)
-    at = stored(postings.join(label, "id", "left").select("g", "id", "n", "pos", F.coalesce("root", "id").alias("label")), "labelled")
+    at = stored(postings.join(label, "id", "left").select("g", "id", "n", "pos", F.coalesce("root", "id").alias("label")), "labelled", made=made)
     by_label = at.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = by_label.groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
     cells = at.join(mixed.select("g", F.col("top.label").alias("top")), "g")
@@ -233,7 +233,10 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
 
     Rows with a null key stay.
     """
-    found = classes(docs, text, key, width, percent)
-    chosen = found.where(F.col(f"`{key}`") == F.col("component_id")).select(key).distinct()
+    made: list[DataFrame] = []
+    found = classes(docs, text, key, width, percent, made)
+    chosen = stored(found.where(F.col(f"`{key}`") == F.col("component_id")).select(key).distinct(), "chosen")
+    for table in made:  # only the chosen keys are needed from here on
+        dropped(table)
     held = docs.join(chosen, key, "left_semi").select(docs.columns).dropDuplicates([key, text])
     return held.unionByName(docs.where(F.col(f"`{key}`").isNull()))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armwave.llm.graph import stored
+from armwave.llm.graph import dropped, stored
 from armwave.llm.textbytes import RangeHash, Texts, mix, text_slices, texts_of
 
 SAME, NEAR, FIRST, LAST = 0, 1, 2, 3
@@ -61,7 +61,7 @@ def _runs(t: Texts, h: RangeHash, length: int, window: int) -> tuple[np.ndarray,
     return text[first], start - t.start[text[first]], count, grams[a[first]], whole
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
+def _neighbours(rows: DataFrame, made: list[DataFrame] | None) -> DataFrame:
     """Rows (g, c, id, th, p, k) compared with their neighbours in the order of (g, c): mark SAME where g and c
     equal a neighbour's, NEAR where only g does. Other rows go.
 
@@ -108,7 +108,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
                 if flag:
                     yield marked(last, mark)
 
-    found = stored(rows.repartitionByRange("g", "c", "id", "th", "p").sortWithinPartitions("g", "c").mapInArrow(run, out_schema), "neighbours")
+    found = stored(rows.repartitionByRange("g", "c", "id", "th", "p").sortWithinPartitions("g", "c").mapInArrow(run, out_schema), "neighbours", made=made)
     edges = found.where(F.col("mark") >= FIRST).orderBy("part", "mark").collect()
     across = []
     for x, y in zip(edges, edges[1:]):
@@ -128,7 +128,7 @@ def _by_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(r, left["id"].eqNullSafe(r["id_"]) & (left["th"] == r["th_"]), how).drop("id_", "th_")
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, window: int = 192) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, window: int = 192, made: list[DataFrame] | None = None) -> DataFrame:
     """(id, th, spans) with the maximal byte ranges [start, end) covered by strings of ``length`` bytes that also
     start elsewhere (another text or another place of the same one); texts without any have no row.
 
@@ -150,7 +150,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
                     [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), own.column("id"), own.column("th"),
                      pa.array(p.astype(np.int32)), pa.array(k.astype(np.int32))], names=["g", "c", "id", "th", "p", "k"])
 
-    runs = _neighbours(stored(rows.mapInArrow(all_runs, shape), "runs"))
+    runs = _neighbours(stored(rows.mapInArrow(all_runs, shape), "runs", made=made), made)
     asked = runs.where(F.col("mark") == NEAR).groupBy("id", "th").agg(F.collect_set(F.struct("p", "k")).alias("asked"))
 
     def all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
                     names=["g", "c", "id", "th", "p", "k"])
 
     again = _by_row(rows, asked, "inner")
-    strings = _neighbours(again.mapInArrow(all_strings, shape))
+    strings = _neighbours(again.mapInArrow(all_strings, shape), made)
     hits = runs.unionByName(strings).where(F.col("mark") == SAME).select("id", "th", "p", (F.col("p") + F.col("k") - 1 + length).alias("e"))
     lists = hits.groupBy("id", "th").agg(F.collect_set(F.struct("p", "e")).alias("hits"))
 
@@ -214,7 +214,10 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
 
     With ``whole_chars`` cuts shrink to whole code points, so that what is left is UTF-8 again.
     """
-    spans = repeated_spans(docs, text, key, length, window)
+    made: list[DataFrame] = []
+    spans = stored(repeated_spans(docs, text, key, length, window, made), "spans")
+    for table in made:  # only the spans are needed from here on
+        dropped(table)
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     packed = docs.select(F.col(f"`{key}`").alias("id"), F.hash(t).alias("th"), t.alias("t"),
                          F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
