@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armwave.functions.numbers import truncate
+from armwave.operators import permuted
 from armwave.operators.assoc import wilcoxon, wilcoxon_p
 from armwave.operators.describe import bounds
 from armwave.operators.features import group_folds, slot_names
@@ -150,9 +151,14 @@ def permute(df: DataFrame, col: str, key: str, seed: int, out: str | None = None
 
 def permutation_scores(df: DataFrame, estimator: Estimator, key: str, label: str = "label", fold_col: str = "fold",
                        n_permutations: int = 100, seed: int = 42, threads: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(actual, permuted) R2 rows: in each fold, y is shuffled in the training part and refitted."""
+    """(actual, permuted) R2 rows: in each fold, y is shuffled in the training part and refitted.
+
+    Ridge regressions are fitted from cross products, many permutations a job; other estimators one fit at a time.
+    """
     df = settled(df)
     actual, _ = cross_validate(df, estimator, label, fold_col, threads)
+    if permuted.fits_by_sums(estimator):
+        return actual.select(fold_col, "r2"), permuted.ridge_scores(df, estimator, key, label, fold_col, n_permutations, seed)
     tasks = [(f, i) for f in fold_values(df, fold_col) for i in range(n_permutations)]
 
     def run(f, i):

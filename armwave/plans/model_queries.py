@@ -320,6 +320,10 @@ def imputed_ordinals(spark, sf_dir):
     return done.select("visit_id", fixed("filled").alias("score"))
 
 
+# Models.FOREST_GRID in Spark's parameters, as models.rf translates them.
+_FOREST_GRID = {"numTrees": [100, 300], "maxDepth": [10, 30], "minInstancesPerNode": [1, 4, 5]}
+
+
 def _model_rows(spark, sf_dir):
     """Rows, kinds of features and label of the tree models: one row per visit, grouped by subject."""
     v = visits(spark, sf_dir).where("score is not null").withColumn("label", F.col("score") + F.col("day") / 1000 + F.when(F.col("arm") == "M", -1.0).otherwise(0.0))
@@ -329,7 +333,7 @@ def _model_rows(spark, sf_dir):
     return features.fill_categories(v, kinds["cat_str"], kinds["cat_num"]), kinds
 
 
-def _vectors(spark, sf_dir, corr_threshold=None, folds=3):
+def _vectors(spark, sf_dir, corr_threshold=None, folds=5):
     rows, kinds = _model_rows(spark, sf_dir)
     done = features.feature_pipeline(kinds, corr_threshold).fit(rows).transform(rows)
     return models.settled(features.group_folds(done.select("visit_id", "subject", "label", "features"), "subject", folds))
@@ -429,30 +433,29 @@ def boosted_stump_validation(spark, sf_dir):
 
 @query("forest_validation", "L12 L16 L17", None)
 def forest_validation(spark, sf_dir):
-    est = models.rf({"n_estimators": 10, "max_depth": 5})
+    est = models.rf({"n_estimators": 100, "max_depth": 5})
     return models.cross_validate(_vectors(spark, sf_dir), est)[0]
 
 
 @query("boosted_validation", "L13 L16", None)
 def boosted_validation(spark, sf_dir):
-    est = models.gbt({"n_estimators": 5, "max_depth": 4, "colsample_bytree": 0.5, "min_child_weight": 2})
+    est = models.gbt({"n_estimators": 100, "max_depth": 4, "colsample_bytree": 0.5, "min_child_weight": 2})
     return models.cross_validate(_vectors(spark, sf_dir), est)[0]
 
 
 @query("searched_forest", "L14 L23", None)
 def searched_forest(spark, sf_dir):
-    data, est = _vectors(spark, sf_dir), models.rf({"n_estimators": 5})
-    maps = models.param_maps(est, {"maxDepth": [3, 5], "minInstancesPerNode": [1, 4]})
-    search = models.random_search(data, est, maps, n_iter=3, k=3)
+    data, est = _vectors(spark, sf_dir), models.rf()
+    search = models.random_search(data, est, models.param_maps(est, _FOREST_GRID), n_iter=10, k=5)
     best = models.best_params(search)
-    scores, _ = models.cross_validate(data, models.rf({"n_estimators": 5}).copy({est.getParam(k): v for k, v in best.items()}))
-    return models.result_row(scores, {"model": "RandomForestRegressor", "cv": "group 3-fold", "outcome": "label", "input": "all", "selection": "none", "threshold": 50}, best)
+    scores, _ = models.cross_validate(data, models.rf().copy({est.getParam(k): v for k, v in best.items()}))
+    return models.result_row(scores, {"model": "RandomForestRegressor", "cv": "group 5-fold", "outcome": "label", "input": "all", "selection": "none", "threshold": 50}, best)
 
 
 @query("nested_validation", "L15 G15", None)
 def nested_validation(spark, sf_dir):
-    est = models.rf({"n_estimators": 5})
-    rows = models.nested_cv(_vectors(spark, sf_dir), est, models.param_maps(est, {"maxDepth": [2, 4]}), "subject", inner=2)
+    est = models.rf()
+    rows = models.nested_cv(_vectors(spark, sf_dir), est, models.param_maps(est, {"maxDepth": [2, 4]}), "subject", inner=3)
     return spark.createDataFrame([(r["fold"], r["params"], r["rmse"], r["r2"]) for r in rows], "fold int, params string, rmse double, r2 double")
 
 
@@ -493,7 +496,7 @@ def permutation_test(spark, sf_dir):
     from pyspark.ml.regression import LinearRegression
 
     data = _vectors(spark, sf_dir)
-    actual, permuted = models.permutation_scores(data, LinearRegression(featuresCol="features", labelCol="label", solver="normal", regParam=0.01), "visit_id", n_permutations=3)
+    actual, permuted = models.permutation_scores(data, LinearRegression(featuresCol="features", labelCol="label", solver="normal", regParam=0.01), "visit_id", n_permutations=1000)
     return models.permutation_stats(actual, permuted)
 
 
@@ -508,21 +511,21 @@ def permuted_outcome(spark, sf_dir):
 @query("permutation_importance", "L20", None)
 def permutation_importance(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    _, fitted = models.cross_validate(data, models.rf({"n_estimators": 5, "max_depth": 4}))
+    _, fitted = models.cross_validate(data, models.rf({"n_estimators": 100, "max_depth": 4}))
     size = fitted[0].numFeatures
-    tables = [models.perm_importance(data.where(F.col("fold") == f), m, size, "visit_id", repeats=2) for f, m in fitted.items()]
+    tables = [models.perm_importance(data.where(F.col("fold") == f), m, size, "visit_id", repeats=10) for f, m in fitted.items()]
     return models.mean_importance(tables)
 
 
 @query("model_importances", "L21", None)
 def model_importances(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    return models.importances(data, models.rf({"n_estimators": 10, "max_depth": 5}).fit(data))
+    return models.importances(data, models.rf({"n_estimators": 100, "max_depth": 5}).fit(data))
 
 
 @query("refit_on_top_features", "L22 C10", None)
 def refit_on_top_features(spark, sf_dir):
-    data, est = _vectors(spark, sf_dir), models.rf({"n_estimators": 5, "max_depth": 4})
+    data, est = _vectors(spark, sf_dir), models.rf({"n_estimators": 100, "max_depth": 4})
     model = est.fit(data)
     top, _ = models.refit_topk(data, est, model, 3)
     without = models.refit_without_top(data, est, model, 2)["folds"]
@@ -533,7 +536,7 @@ def refit_on_top_features(spark, sf_dir):
 def experiment_grid(spark, sf_dir):
     pred, out = _wide(spark, sf_dir)
     config = {"outcome": ["snap_last", "snap_absent"], "rater_out": ["m"], "rater_pred": [None, "m"], "model": ["forest"], "corr_select": [True], "threshold": [50]}
-    return experiments.run_grid(pred, out, config, _TYPES, folds=3, grid={"numTrees": [3], "maxDepth": [3, 4]}, n_iter=2)
+    return experiments.run_grid(pred, out, config, _TYPES, folds=5, grid=_FOREST_GRID, n_iter=10)
 
 
 @query("day_clusters", "L25 G13", None)
