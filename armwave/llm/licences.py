@@ -1,6 +1,7 @@
 """Licence recognition by sentences, with DataFrame functions only.
 
-A text is cut into sentences; sentences with a cue word are normalised (ASCII lower case, runs of other characters
+Wrapped lines are joined and a text is cut into sentences, at sentence ends, blank lines, list and comment markers and
+around lines that say all of a known sentence; sentences with a cue word are normalised (ASCII lower case, runs of other characters
 than letters and digits become one space) and mapped to the identifier of a known licence sentence. The identifiers
 of a text, in order, are matched against ordered rules: the longest statements first, each match replaced by
 its licence, so that a sentence counts for one licence. Everything happens inside a row; nothing is shuffled.
@@ -85,6 +86,31 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("unlicense-line",), "Unlicense"),
     (("reserved",), "Proprietary"),
 )
+# Further sentences in the forms licence texts have. The scan
+# knows them besides the tables above; the SQL twin has the tables above only.
+MORE_SENTENCES: dict[str, str] = {
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-grant",
+    "isc license": "isc-title",
+    "the isc license": "isc-title",
+    "the isc license isc": "isc-title",
+} | {
+    f"this {thing} is free software you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published by the free software foundation either version {v} of the license or at your option any later version": f"{name}{v.replace(' ', '-').removesuffix('-0')}-later"
+    for thing in ("program", "library", "software") for kind, name, versions in (("", "gpl", ("2", "3")), ("lesser ", "lgpl", ("2 1", "3")), ("affero ", "agpl", ("3",))) for v in versions
+} | {
+    f"this {thing} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty"
+    for thing in ("library", "software")
+} | {f"see the gnu {kind} general public license for more details": f"{name}-see" for kind, name in (("lesser", "lgpl"), ("affero", "agpl"))}
+MORE_RULES: tuple[tuple[tuple[str, ...], str], ...] = (
+    (("lgpl2-1-later", "gpl-warranty", "lgpl-see"), "LGPL-2.1-or-later"), (("lgpl3-later", "gpl-warranty", "lgpl-see"), "LGPL-3.0-or-later"),
+    (("agpl3-later", "gpl-warranty", "agpl-see"), "AGPL-3.0-or-later"),
+    (("isc-title", "copyright", "isc-grant"), "ISC"), (("isc-title", "isc-grant"), "ISC"),
+    (("lgpl2-1-later",), "LGPL-2.1-or-later"), (("lgpl3-later",), "LGPL-3.0-or-later"), (("agpl3-later",), "AGPL-3.0-or-later"),
+    (("isc-title",), "ISC"), (("isc-line",), "ISC"), (("bsd3-line",), "BSD-3-Clause"), (("bsd2-line",), "BSD-2-Clause"),
+    (("lgpl2-1-line",), "LGPL-2.1-only"), (("lgpl3-line",), "LGPL-3.0-only"), (("agpl3-line",), "AGPL-3.0-only"),
+)
+# Line starts that begin a sentence of their own: list marks, of which "(c)" is none.
+_MARK = r"(?:[-*•]|\((?:[0-9]{1,2}|[abd-z])\)|(?:[0-9]{1,2}|[a-z])[.)])[ \t]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,13 +124,25 @@ def normalised(sentence: Column) -> Column:
 
 def identifier(sentence: Column) -> Column:
     """Identifier of a normalised sentence, null if it is not known."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | MORE_SENTENCES).items() for x in pair])
     out = F.element_at(known, sentence)
     for pattern, name in PATTERNS:
         out = F.coalesce(out, F.when(sentence.rlike(f"^{pattern}$"), name))
     return out
 
 
+def sentences_of(text: Column) -> Column:
+    """Sentences of a text whose lines may be wrapped or commented: comment marks go, and a line is joined to the one
+    before unless that ends a sentence, one of them is blank, the line has a list mark, or one of them is known by itself."""
+    t = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)^[ \t]*(?://+|/\*+|\*+/|#+|;+|--+|\*(?=[ \t]|$)|(?i:rem)(?=[ \t]))?[ \t]*|[ \t]*\*+/[ \t]*$", "")
+    lines = F.split(t, r"\n")
+    alone = F.transform(lines, lambda x: F.when(x.rlike(_cue()) & identifier(normalised(x)).isNotNull(), F.concat(F.lit("\n\n"), x, F.lit("\n\n"))).otherwise(x))
+    t = F.regexp_replace(F.array_join(alone, "\n"), r"\n(?=" + _MARK + ")", "\n\n")
+    t = F.regexp_replace(t, r"(?m)^" + _MARK, "")
+    t = F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " ")
+    return F.split(t, r"[.!?;]+(?:\s+|$)|\n+")
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, sentence_ids, licences, n_unmatched) per row: identifiers of known sentences in order, licences in order of
     their first statement, and known sentences that no rule took.
@@ -113,13 +151,13 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     Whole texts are scanned; a text without any cue word is only searched for cues.
     """
     t = F.col(f"`{text}`").cast("string")
-    sentences = F.filter(F.split(t, SPLIT), lambda s: s.rlike(_cue()))
+    sentences = F.filter(sentences_of(t), lambda s: s.rlike(_cue()))
     ids = F.filter(F.transform(F.transform(sentences, normalised), identifier), lambda x: x.isNotNull())
     ids = F.when(t.rlike(_cue()), ids).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(f"`{key}`").alias(key), ids.alias("sentence_ids"))
     # Each identifier stands between its own commas, so that neighbours do not share one.
     left = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
-    for names, licence in RULES:
+    for names, licence in (*(r for r in MORE_RULES if len(r[0]) > 1), *RULES, *(r for r in MORE_RULES if len(r[0]) == 1)):
         left = F.replace(left, F.lit(",".join(f",{n}" for n in names) + ","), F.lit(f",={licence},"))
     rows = rows.withColumn("left", F.when(F.size("sentence_ids") > 0, F.filter(F.split(left, ",+"), lambda x: x != ""))
                            .otherwise(F.array().cast("array<string>")))
