@@ -86,7 +86,7 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("unlicense-line",), "Unlicense"),
     (("reserved",), "Proprietary"),
 )
-# Further sentences in the forms licence texts have. The scan
+# Further sentences in the forms licence texts have, and line notices with an open subject. The scan
 # knows them besides the tables above; the SQL twin has the tables above only.
 MORE_SENTENCES: dict[str, str] = {
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
@@ -101,6 +101,22 @@ MORE_SENTENCES: dict[str, str] = {
     f"this {thing} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty"
     for thing in ("library", "software")
 } | {f"see the gnu {kind} general public license for more details": f"{name}-see" for kind, name in (("lesser", "lgpl"), ("affero", "agpl"))}
+_OPEN = "(.*[a-z0-9]{2} )?(licensed|released|distributed|available|published) under (the )?(terms of )?(the )?"
+_V = "( license)?( as published by the free software foundation)?,?( version| v)? ?"
+MORE_PATTERNS: tuple[tuple[str, str], ...] = tuple((_OPEN + body, name) for body, name in (
+    ("mit( open source)? license( mit)?", "mit-line"), ("isc license", "isc-line"),
+    ("apache( software)? license( version| v)? ?2( 0)?( the license)?", "apache2-line"),
+    ("(new |revised |modified )?bsd 3 clause( new or revised)?( license)?", "bsd3-line"), ("(simplified )?bsd 2 clause( simplified)?( license)?", "bsd2-line"),
+    *((f"(gnu )?{full}{_V}{v}( only)?", f"{name}{v.split()[0] if v != '2 1' else '2-1'}-line")
+      for full, name, versions in (("(affero general public license|agpl)", "agpl", ("3",)), ("(lesser general public license|lgpl)", "lgpl", ("2 1", "3")), ("(general public license|gpl)", "gpl", ("2", "3"))) for v in versions),
+    ("mozilla public license( version| v)? ?2 0", "mpl2-line"),
+    ("(a |cc by 4 0|creative commons attribution 4 0)( international)?( license)?", "ccby4-line"),
+)) + (("this source code form is subject to the terms of the mozilla public license( version| v) 2 0", "mpl2-line"),)
+# SPDX identifiers as written; their sentences keep the value.
+SPDX = tuple("""MIT ISC Apache-2.0 BSD-2-Clause BSD-3-Clause 0BSD GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later GPL-2.0 GPL-3.0 GPL-2.0+ GPL-3.0+
+LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later LGPL-2.1 LGPL-3.0 LGPL-2.1+ LGPL-3.0+ AGPL-3.0-only AGPL-3.0-or-later AGPL-3.0 AGPL-3.0+ MPL-2.0 EPL-2.0
+BSL-1.0 Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0""".split())
+_OLD = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
 MORE_RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("lgpl2-1-later", "gpl-warranty", "lgpl-see"), "LGPL-2.1-or-later"), (("lgpl3-later", "gpl-warranty", "lgpl-see"), "LGPL-3.0-or-later"),
     (("agpl3-later", "gpl-warranty", "agpl-see"), "AGPL-3.0-or-later"),
@@ -122,11 +138,18 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
+def spdx_id(value: str) -> str:
+    return "spdx-" + value.lower().replace("+", "-or-later").replace(".", "-")
+
+
 def identifier(sentence: Column) -> Column:
     """Identifier of a normalised sentence, null if it is not known."""
     known = F.create_map(*[F.lit(x) for pair in (SENTENCES | MORE_SENTENCES).items() for x in pair])
     out = F.element_at(known, sentence)
-    for pattern, name in PATTERNS:
+    spdx = "^spdx license identifier "
+    value = F.concat(F.lit("spdx-"), F.regexp_replace(F.regexp_replace(sentence, spdx, ""), " ", "-"))
+    out = F.coalesce(out, F.when(sentence.rlike(spdx), value))
+    for pattern, name in (*MORE_PATTERNS, *(p for p in PATTERNS if p[1] != "spdx")):
         out = F.coalesce(out, F.when(sentence.rlike(f"^{pattern}$"), name))
     return out
 
@@ -135,6 +158,8 @@ def sentences_of(text: Column) -> Column:
     """Sentences of a text whose lines may be wrapped or commented: comment marks go, and a line is joined to the one
     before unless that ends a sentence, one of them is blank, the line has a list mark, or one of them is known by itself."""
     t = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)^[ \t]*(?://+|/\*+|\*+/|#+|;+|--+|\*(?=[ \t]|$)|(?i:rem)(?=[ \t]))?[ \t]*|[ \t]*\*+/[ \t]*$", "")
+    t = F.regexp_replace(t, r"(?m)^SPDX-License-Identifier:(.*)$", "\n\nSPDX-License-Identifier:$1\n\n")
+    t = F.regexp_replace(t, r"(?m)(SPDX-License-Identifier:[^\n]*?)\+", "$1-or-later")
     lines = F.split(t, r"\n")
     alone = F.transform(lines, lambda x: F.when(x.rlike(_cue()) & identifier(normalised(x)).isNotNull(), F.concat(F.lit("\n\n"), x, F.lit("\n\n"))).otherwise(x))
     t = F.regexp_replace(F.array_join(alone, "\n"), r"\n(?=" + _MARK + ")", "\n\n")
@@ -157,7 +182,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows = docs.select(F.col(f"`{key}`").alias(key), ids.alias("sentence_ids"))
     # Each identifier stands between its own commas, so that neighbours do not share one.
     left = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
-    for names, licence in (*(r for r in MORE_RULES if len(r[0]) > 1), *RULES, *(r for r in MORE_RULES if len(r[0]) == 1)):
+    spdx = tuple(((spdx_id(x),), _OLD.get(x, _OLD.get(x[:-1], x).replace("-only", "-or-later") if x.endswith("+") else x)) for x in SPDX)
+    for names, licence in (*(r for r in MORE_RULES if len(r[0]) > 1), *RULES, *(r for r in MORE_RULES if len(r[0]) == 1), *dict(spdx).items()):
         left = F.replace(left, F.lit(",".join(f",{n}" for n in names) + ","), F.lit(f",={licence},"))
     rows = rows.withColumn("left", F.when(F.size("sentence_ids") > 0, F.filter(F.split(left, ",+"), lambda x: x != ""))
                            .otherwise(F.array().cast("array<string>")))

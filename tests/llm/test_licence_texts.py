@@ -1,4 +1,4 @@
-"""Licence texts as they come: wrapped at 70 to 80 columns and in comments."""
+"""Licence texts as they come: wrapped at 70 to 80 columns, in comments, by SPDX line, and notices with any subject."""
 
 import textwrap
 
@@ -14,6 +14,9 @@ ISC = ["ISC License", "Copyright (c) 2020 Jane Doe", "Permission to use, copy, m
 GPL = ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."]
 TEXTS = {"MIT": MIT, "BSD-2-Clause": BSD, "ISC": ISC, "GPL-3.0-or-later": GPL}
+LINES = {"SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+         "This software is released under the MIT license.": "MIT", "Foo is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1-only",
+         "This file is distributed under the terms of the GNU Affero General Public License v3.": "AGPL-3.0-only"}
 
 
 def wrapped(parts, width, mark=""):
@@ -21,8 +24,9 @@ def wrapped(parts, width, mark=""):
     return gap.join("\n".join(mark + line for line in textwrap.wrap(p, width)) for p in parts)
 
 
-def test_wrapped_texts(spark):
+def test_wrapped_and_line_notices(spark):
     rows = [(wrapped(parts, width, mark), name) for name, parts in TEXTS.items() for width in (70, 78) for mark in ("", "# ", " * ", "// ")]
+    rows += list(LINES.items()) + [("int x;\n" + k + "\nint y;", v) for k, v in LINES.items()]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.licences for r in licences.scan(df).collect()}
     wrong = [(t, got[i], name) for i, (t, name) in enumerate(rows) if got[i] != [name]]
