@@ -42,13 +42,46 @@ def targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[
     return s.select("sk", "source_size", "rows", F.least(F.col("weight") * F.col("level"), (F.col("source_size") * most).cast("double")).alias("target"))
 
 
+def _dealt(seed: int, shards: int) -> Column:
+    """Shards of a block's units; a block without a unit for the rest, of which single rows are taken, goes to a shard by hash."""
+    dealt = F.coalesce(F.col("dealt"), F.array().cast("array<int>"))
+    other = F.conv(F.substring(_key(seed, "c", F.col("sk"), F.col("block")), 1, 8), 16, 10).cast("long") % shards
+    return F.when(F.size(dealt) > F.col("passes"), dealt).otherwise(F.concat(dealt, F.array(other.cast("int"))))
+
+
+def _carried(rows: DataFrame, seed: int) -> DataFrame:
+    """``more`` is also set for rows that the words left over of their source still take.
+
+    Every round takes, in the order of blocks and rows, those of the rows that fit whose running sum fits: sums by block first, then rows
+    inside a block. A round takes at least one row of a source for which any fits, and the rounds end when none does.
+    """
+    source = F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))
+    by_source, by_block = Window.partitionBy("sk"), Window.partitionBy("sk", "block")
+    permuted = by_source.orderBy(_key(seed, "b", F.col("sk"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = by_block.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("more", F.col("more") & (F.col("quota") > 0))
+    while True:
+        rows = stored(rows, "carried")
+        left = rows.groupBy("sk").agg((F.first("rest") - source).alias("over"))
+        rows = rows.drop("over").join(left, "sk").withColumn("fits", ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("over")))
+        if rows.where("fits").isEmpty():
+            return rows
+        begins = rows.groupBy("sk", "block").agg(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("_b"))
+        begins = begins.select("sk", "block", F.coalesce(F.sum("_b").over(permuted), F.lit(0)).alias("begin"))
+        rows = rows.drop("begin").join(begins, ["sk", "block"])
+        here = F.coalesce(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(upto), F.lit(0))
+        rows = rows.withColumn("before", F.col("begin") + here)
+        rows = rows.withColumn("more", F.col("more") | (F.col("fits") & (F.col("before") + F.col("size") <= F.col("over"))))
+
+
 def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", share: float = 1.5, most: int = 2,
-         shards: int = 8, block_rows: int = 256, seed: int = 9) -> DataFrame:
+         shards: int = 8, block_rows: int = 256, seed: int = 9, carry: bool = True) -> DataFrame:
     """(key, row_hash, size, source_size, target, taken, shards) for every row; ``shards`` lists the shard of each copy taken.
 
     ``shards`` is a power of two. Null and empty texts have size 0; a null source is a source of its own, a null key
     a value like any other. No row is taken more than ``most`` times. Rows equal in key and text share a block.
-    An empty table gives an empty result.
+    An empty table gives an empty result. With ``carry``, what a block's quota leaves over goes on to the following blocks
+    of its source, until no row that is left fits; without, it is dropped after ``FILL_ROUNDS`` passes over the block.
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("-"))
@@ -84,9 +117,11 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         rows = rows.withColumn("before", F.coalesce(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(upto), F.lit(0)))
         rows = rows.withColumn("more", F.col("more") | (F.col("fits") & (F.col("before") + F.col("size") <= F.col("left"))))
         rows = rows.withColumn("left", F.col("quota") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(cell))
-    copies = (F.col("passes") + (F.col("more") & (F.col("quota") > 0)).cast("int")).cast("int")
+    if carry:
+        rows = _carried(rows, seed)
+    copies = (F.col("passes") + (F.col("more") & (F.lit(carry) | (F.col("quota") > 0))).cast("int")).cast("int")
     return rows.select(F.col("id").alias(key), F.col("h").alias("row_hash"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"),
-                       F.slice(F.coalesce(F.col("dealt"), F.array().cast("array<int>")), F.lit(1), copies).alias("shards"))
+                       F.slice(_dealt(seed, shards), F.lit(1), copies).alias("shards"))
 
 
 def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", shards: int = 8, seed: int = 9, **how) -> DataFrame:

@@ -125,8 +125,8 @@ o as (select *, passes + case when more and quota > 0 then 1 else 0 end as copie
 select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, h as row_hash,
   list_transform(coalesce(dealt, [])[1:copies], lambda x: cast(x as int)) as shards from o""")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a mix of all sources takes of each document, and the shards of its copies."""
-    return mixing.plan(_table(spark, sf_dir, "documents"))
+    """What a mix of all sources takes of each document, and the shards of its copies, by the rule of its SQL (nothing is carried on)."""
+    return mixing.plan(_table(spark, sf_dir, "documents"), carry=False)
 
 
 TOKENIZERS = "/opt/tokenizers"
