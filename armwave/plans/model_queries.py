@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from armwave.functions.numbers import fixed
-from armwave.operators import curves, features, mixed, models, waves
+from armwave.operators import curves, ensembles, features, growing, mixed, models, waves
 from armwave.operators.ordering import row_index
 from armwave.plans import experiments, mediators, replication
 from armwave.plans.base import VISITS_SQL, table, visits
@@ -320,10 +320,6 @@ def imputed_ordinals(spark, sf_dir):
     return done.select("visit_id", fixed("filled").alias("score"))
 
 
-# Models.FOREST_GRID in Spark's parameters, as models.rf translates them.
-_FOREST_GRID = {"numTrees": [100, 300], "maxDepth": [10, 30], "minInstancesPerNode": [1, 4, 5]}
-
-
 def _model_rows(spark, sf_dir):
     """Rows, kinds of features and label of the tree models: one row per visit, grouped by subject."""
     v = visits(spark, sf_dir).where("score is not null").withColumn("label", F.col("score") + F.col("day") / 1000 + F.when(F.col("arm") == "M", -1.0).otherwise(0.0))
@@ -431,32 +427,130 @@ def boosted_stump_validation(spark, sf_dir):
     return _stump_scores(spark, sf_dir, models.gbt({"n_estimators": 1, "max_depth": 1}))
 
 
-@query("forest_validation", "L12 L16 L17", None)
+def _folds(spark, sf_dir, folds=5):
+    """Rows of the tree models with their folds, and the pipeline that every fold fits for itself."""
+    rows, kinds = _model_rows(spark, sf_dir)
+    return models.settled(features.group_folds(rows, "subject", folds)), features.feature_pipeline(kinds)
+
+
+def _splits(spark, sf_dir):
+    rows, pipeline = _folds(spark, sf_dir)
+    return ensembles.fold_splits(rows, "visit_id", range(5), pipeline)
+
+
+@query("forest_validation", "L12 L16 L17 L7", None)
 def forest_validation(spark, sf_dir):
-    est = models.rf({"n_estimators": 100, "max_depth": 5})
-    return models.cross_validate(_vectors(spark, sf_dir), est)[0]
+    return ensembles.cross_validate(_splits(spark, sf_dir), growing.forest())[0]
 
 
-@query("boosted_validation", "L13 L16", None)
+@query("boosted_validation", "L13 L16 L7", None)
 def boosted_validation(spark, sf_dir):
-    est = models.gbt({"n_estimators": 100, "max_depth": 4, "colsample_bytree": 0.5, "min_child_weight": 2})
-    return models.cross_validate(_vectors(spark, sf_dir), est)[0]
+    growth = growing.boosted({"n_estimators": 100, "max_depth": 10, "colsample_bytree": 0.5, "min_child_weight": 2})
+    return ensembles.cross_validate(_splits(spark, sf_dir), growth)[0]
+
+
+# A tree of depth 2 without resampling, written out: the best cut of each fold's training rows, then the best cut of either side.
+_CUTS = """select fold, {side} feature, cut, gl * gl / nl + gr * gr / nr - (gl + gr) * (gl + gr) / (nl + nr) as gain, gl / nl as lo, gr / nr as hi from (
+  select g.fold, {side} c.feature, c.cut, sum(s) filter (v <= c.cut) as gl, sum(n) filter (v <= c.cut) as nl, sum(s) filter (v > c.cut) as gr, sum(n) filter (v > c.cut) as nr
+  from {sums} g join cuts c on c.feature = g.feature group by all) where nl > 0 and nr > 0"""
+_TREE_SQL = _V + f""", v as (select visit_id, subject % 3 as fold, site, case when rater = 'Teacher' then 1 else 0 end as teacher, round(score * 1024) as y from visits where score is not null),
+f as (select distinct fold from v), t as (select f.fold, v.* exclude (fold) from v, f where v.fold <> f.fold),
+cuts as (select 'site' as feature, unnest(range(1, 6)) as cut union all select 'teacher', 0),
+g1 as (select fold, feature, v, count(*) as n, sum(y) as s from (select fold, y, unnest([{{'feature': 'site', 'v': site}}, {{'feature': 'teacher', 'v': teacher}}], recursive := true) from t) group by all),
+r1 as ({_CUTS.format(side='', sums='g1')}), b1 as (select * from r1 qualify row_number() over (partition by fold order by gain desc, feature, cut) = 1),
+s1 as (select t.*, case when (case b1.feature when 'site' then t.site else t.teacher end) <= b1.cut then 0 else 1 end as side from t join b1 using (fold)),
+g2 as (select fold, side, feature, v, count(*) as n, sum(y) as s from (select fold, side, y, unnest([{{'feature': 'site', 'v': site}}, {{'feature': 'teacher', 'v': teacher}}], recursive := true) from s1) group by all),
+r2 as ({_CUTS.format(side='side,', sums='g2')}), b2 as (select * from r2 qualify row_number() over (partition by fold, side order by gain desc, feature, cut) = 1),
+h as (select v.*, case when (case b1.feature when 'site' then v.site else v.teacher end) <= b1.cut then 0 else 1 end as side from v join b1 using (fold)),
+p as (select h.fold, h.y, case when (case b2.feature when 'site' then h.site else h.teacher end) <= b2.cut then b2.lo else b2.hi end as p from h join b2 using (fold, side))
+select cast(fold as int) as fold, count(*) as n, {sfix('avg((y - p) ** 2)', 4)} as mse, {sfix('avg(abs(y - p))', 4)} as mae, {sfix('1 - avg((y - p) ** 2) / var_pop(y)')} as r2 from p group by fold"""
+
+
+def _two_features(spark, sf_dir):
+    """Site and rater as features, a whole number as label, three folds."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = visits(spark, sf_dir).where("score is not null").select(
+        "visit_id", (F.col("subject") % 3).cast("int").alias("fold"), F.rint(F.col("score") * 1024).alias("label"), "site", F.when(F.col("rater") == "Teacher", 1).otherwise(0).alias("teacher"))
+    data = VectorAssembler(inputCols=["site", "teacher"], outputCol="features").transform(rows)
+    return ensembles.fold_splits(data, "visit_id", range(3))
+
+
+def _cut_metrics(scores):
+    return scores.select("fold", "n", fixed("mse", 4).alias("mse"), fixed("mae", 4).alias("mae"), fixed("r2").alias("r2"))
+
+
+@query("tree_of_two_levels", "L12 L16 L17", _TREE_SQL)
+def tree_of_two_levels(spark, sf_dir):
+    growth = growing.forest({"n_estimators": 1, "max_depth": 2, "bootstrap": False})
+    return _cut_metrics(ensembles.cross_validate(_two_features(spark, sf_dir), growth)[0])
+
+
+# Two boosted stumps with a penalty of 2 and half steps: the second one is fitted to what the first leaves over.
+def _stump(sums, name):
+    return f"""{name}_r as (select fold, feature, cut, gl, nl, gr, nr, gl * gl / (nl + 2.0) + gr * gr / (nr + 2.0) as gain from (
+  select g.fold, c.feature, c.cut, sum(s) filter (v <= c.cut) as gl, sum(n) filter (v <= c.cut) as nl, sum(s) filter (v > c.cut) as gr, sum(n) filter (v > c.cut) as nr
+  from {sums} g join cuts c on c.feature = g.feature group by all) where nl > 0 and nr > 0),
+{name} as (select fold, feature, cut, 0.5 * gl / (nl + 2.0) as lo, 0.5 * gr / (nr + 2.0) as hi from {name}_r qualify row_number() over (partition by fold order by gain desc, feature, cut) = 1)"""
+
+
+def _sums(source):
+    return f"""select fold, feature, v, cast(count(*) as double) as n, sum(y - m) as s from (select fold, y, m, unnest([{{'feature': 'site', 'v': site}}, {{'feature': 'teacher', 'v': teacher}}], recursive := true) from {source}) group by all"""
 
 
-@query("searched_forest", "L14 L23", None)
+def _after(source, stump):
+    return f"select x.* exclude (m), m + case when (case b.feature when 'site' then x.site else x.teacher end) <= b.cut then b.lo else b.hi end as m from {source} x join {stump} b using (fold)"
+
+
+_BOOST_SQL = _V + f""", v as (select visit_id, subject % 3 as fold, site, case when rater = 'Teacher' then 1 else 0 end as teacher, round(score * 1024) as y from visits where score is not null),
+f as (select distinct fold from v), base as (select f.fold, avg(y) as m from v, f where v.fold <> f.fold group by f.fold),
+t0 as (select f.fold, v.* exclude (fold), m from v, f join base using (fold) where v.fold <> f.fold), h0 as (select v.*, m from v join base using (fold)),
+cuts as (select 'site' as feature, unnest(range(1, 6)) as cut union all select 'teacher', 0),
+g1 as ({_sums('t0')}), {_stump('g1', 'b1')}, t1 as ({_after('t0', 'b1')}), h1 as ({_after('h0', 'b1')}),
+g2 as ({_sums('t1')}), {_stump('g2', 'b2')}, p as ({_after('h1', 'b2')})
+select cast(fold as int) as fold, count(*) as n, {sfix('avg((y - m) ** 2)', 2)} as mse, {sfix('avg(abs(y - m))', 2)} as mae, {sfix('1 - avg((y - m) ** 2) / var_pop(y)', 5)} as r2 from p group by fold"""
+
+
+@query("two_boosted_stumps", "L13 L16 L17", _BOOST_SQL)
+def two_boosted_stumps(spark, sf_dir):
+    growth = growing.boosted({"n_estimators": 2, "max_depth": 1, "learning_rate": 0.5, "reg_lambda": 2.0})
+    scores = ensembles.cross_validate(_two_features(spark, sf_dir), growth)[0]
+    return scores.select("fold", "n", fixed("mse", 2).alias("mse"), fixed("mae", 2).alias("mae"), fixed("r2", 5).alias("r2"))
+
+
+def _searched(spark, sf_dir, kind, grid, name):
+    found = ensembles.search(_splits(spark, sf_dir), ensembles.drawn(grid, 10), kind)
+    info = {"model": name, "cv": "group 5-fold", "outcome": "label", "input": "all", "selection": "none", "threshold": 50}
+    return models.result_row(found.folds, info, found.best)
+
+
+@query("searched_forest", "L14 L23 L7", None)
 def searched_forest(spark, sf_dir):
-    data, est = _vectors(spark, sf_dir), models.rf()
-    search = models.random_search(data, est, models.param_maps(est, _FOREST_GRID), n_iter=10, k=5)
-    best = models.best_params(search)
-    scores, _ = models.cross_validate(data, models.rf().copy({est.getParam(k): v for k, v in best.items()}))
-    return models.result_row(scores, {"model": "RandomForestRegressor", "cv": "group 5-fold", "outcome": "label", "input": "all", "selection": "none", "threshold": 50}, best)
+    return _searched(spark, sf_dir, "forest", models.FOREST_GRID, "RandomForestRegressor")
 
 
-@query("nested_validation", "L15 G15", None)
+@query("searched_boosted", "L13 L14 L23 L7", None)
+def searched_boosted(spark, sf_dir):
+    return _searched(spark, sf_dir, "boosted", models.BOOSTED_GRID, "XGBRegressor")
+
+
+def _nested(spark, sf_dir, kind, grid, corr_threshold=None):
+    rows, kinds = _model_rows(spark, sf_dir)
+    rows = models.settled(features.group_folds(rows, "subject", 5))
+    found = ensembles.nested(rows, "visit_id", "subject", ensembles.combinations(grid), kind, features.feature_pipeline(kinds, corr_threshold))
+    return spark.createDataFrame([(r["fold"], models.params_text(r["params"]), r["rmse"], r["r2"]) for r in found], "fold int, params string, rmse double, r2 double")
+
+
+@query("nested_validation", "L15 G15 L7", None)
 def nested_validation(spark, sf_dir):
-    est = models.rf()
-    rows = models.nested_cv(_vectors(spark, sf_dir), est, models.param_maps(est, {"maxDepth": [2, 4]}), "subject", inner=3)
-    return spark.createDataFrame([(r["fold"], r["params"], r["rmse"], r["r2"]) for r in rows], "fold int, params string, rmse double, r2 double")
+    """All 32 settings of the boosted grid, 3 inner folds in each of 5 outer ones."""
+    return _nested(spark, sf_dir, "boosted", ensembles.NESTED_BOOSTED)
+
+
+@query("nested_forest_validation", "L15 G15 L7 C13", None)
+def nested_forest_validation(spark, sf_dir):
+    """All 216 settings of the forest grid, features selected by correlation inside every split."""
+    return _nested(spark, sf_dir, "forest", ensembles.NESTED_FOREST, 0.8)
 
 
 @query("prediction_metrics", "L17", _V + f""", p as (select arm, score as y, 2.5 + day / 1000 as p from visits where score is not null)
@@ -519,24 +613,23 @@ def permutation_importance(spark, sf_dir):
 
 @query("model_importances", "L21", None)
 def model_importances(spark, sf_dir):
-    data = _vectors(spark, sf_dir)
-    return models.importances(data, models.rf({"n_estimators": 100, "max_depth": 5}).fit(data))
+    return ensembles.importances(growing.binned(_vectors(spark, sf_dir), "visit_id"), growing.forest())
 
 
 @query("refit_on_top_features", "L22 C10", None)
 def refit_on_top_features(spark, sf_dir):
-    data, est = _vectors(spark, sf_dir), models.rf({"n_estimators": 100, "max_depth": 4})
-    model = est.fit(data)
-    top, _ = models.refit_topk(data, est, model, 3)
-    without = models.refit_without_top(data, est, model, 2)["folds"]
-    return top.select("fold", F.col("r2").alias("top_r2")).join(without, "fold")
+    """R2 per fold on all features, on the 3 most important ones, and without the 2 most important ones."""
+    splits = ensembles.fold_splits(_vectors(spark, sf_dir), "visit_id", range(5))
+    growth = growing.forest()
+    slots = ensembles.ranked_slots(splits.table, growth)
+    return ensembles.compared(splits, {"full": growth, "top": ensembles.on_slots(growth, slots[:3]), "cut": ensembles.on_slots(growth, slots[2:])})
 
 
 @query("experiment_grid", "L24 L23 L1 L2 L7 S10", None)
 def experiment_grid(spark, sf_dir):
     pred, out = _wide(spark, sf_dir)
-    config = {"outcome": ["snap_last", "snap_absent"], "rater_out": ["m"], "rater_pred": [None, "m"], "model": ["forest"], "corr_select": [True], "threshold": [50]}
-    return experiments.run_grid(pred, out, config, _TYPES, folds=5, grid=_FOREST_GRID, n_iter=10)
+    config = {"outcome": ["snap_last", "snap_absent"], "rater_out": ["m"], "rater_pred": [None, "m"], "model": ["forest", "boosted"], "corr_select": [True], "threshold": [50]}
+    return experiments.run_grid(pred, out, config, _TYPES, folds=5, n_iter=10)
 
 
 @query("day_clusters", "L25 G13", None)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
@@ -50,3 +53,9 @@ def cut_lineage(df):
     """Reliable checkpoint: the rows are written to the shared folder and survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable], threads: int = 8) -> list:
+    """Run some driver functions in threads, so that their Spark jobs share the cluster; results in order."""
+    with ThreadPoolExecutor(max(1, min(threads, len(jobs)))) as pool:
+        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
