@@ -72,6 +72,16 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
+def _op10_follows(place: str) -> str:
+    return f"substr(x, cast(2 * ({place}) + 1 as bigint), 1) in ('8', '9', 'A', 'B')"
+
+
+def _op10_steps(place: str, step: int) -> str:
+    """How many code-point bytes a cut at this byte moves to keep code points whole."""
+    return (f"case when {_op10_follows(place)} then case when {_op10_follows(f'{place} + {step}')} then case when {_op10_follows(f'{place} + {2 * step}')}"
+            " then 3 else 2 end else 1 end else 0 end")
+
+
 @_query("op10_suffix_dedup", r"""
 with b as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
 p as (select doc_id, unnest(range(0, strlen(x) // 2 - 399)) as p, unnest(list_transform(range(0, strlen(x) // 2 - 399),
@@ -79,33 +89,29 @@ p as (select doc_id, unnest(range(0, strlen(x) // 2 - 399)) as p, unnest(list_tr
 r as (select doc_id, p from (select doc_id, p, count(*) over (partition by h) as k from p) where k > 1),
 g as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 400 then 0 else 1 end as new from r),
 s as (select doc_id, min(p) as s, max(p) + 400 as e from (select *, sum(new) over (partition by doc_id order by p) as k from g) group by doc_id, k),
-l as (select doc_id, s, e, row_number() over (partition by doc_id order by s) as i, lag(e, 1, 0) over (partition by doc_id order by s) as done from s),
-k as (select b.doc_id, cast(sum(e - s) as bigint) as n_removed, count(*) as n_spans,
-  string_agg(substr(x, cast(2 * done + 1 as bigint), cast(2 * (s - done) as bigint)), '' order by s) || substr(any_value(x), cast(2 * max(e) + 1 as bigint)) as kept
-  from l join b using (doc_id) group by b.doc_id)
+c as (select b.doc_id, x, s, e, s + """ + _op10_steps("s", 1) + " as cs, e - " + _op10_steps("e", -1) + r""" as ce from s join b using (doc_id)),
+l as (select *, lag(e, 1, 0) over w as done, lag(ce, 1, 0) over w as cdone from c window w as (partition by doc_id order by s)),
+k as (select doc_id, cast(sum(e - s) as bigint) as n_removed, count(*) as n_spans,
+  string_agg(substr(x, cast(2 * done + 1 as bigint), cast(2 * (s - done) as bigint)), '' order by s) || substr(any_value(x), cast(2 * max(e) + 1 as bigint)) as kept,
+  string_agg(substr(x, cast(2 * cdone + 1 as bigint), cast(2 * (cs - cdone) as bigint)), '' order by s) || substr(any_value(x), cast(2 * max(ce) + 1 as bigint)) as whole
+  from l group by doc_id)
 select b.doc_id, cast(strlen(x) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
-  sha256(unhex(coalesce(kept, x))) as kept_sha256 from b left join k using (doc_id)""")
+  sha256(unhex(coalesce(kept, x))) as kept_sha256, decode(unhex(coalesce(whole, x))) as kept_text from b left join k using (doc_id)""")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 400-byte strings that start more than once."""
+    """Documents without the bytes of 400-byte strings that start more than once; ``kept_text`` leaves cut code points whole."""
     out = suffixes.cut(_table(spark, sf_dir, "documents"))
-    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.decode("whole", "UTF-8").alias("kept_text"))
 
 
 _OP9_LEVELS = "".join(f"""
 u{i + 1} as (select sk, block, pass, node * 2 + case when 2 * row_number() over (partition by node order by md5('9u{i}|' || sk || '|' || block || '|' || pass))
   > count(*) over (partition by node) + node % 2 then 1 else 0 end as node from u{i}),""" for i in range(3))
 
-def _op9_fill(i: int) -> str:
-    return f"""
-a{i} as (select *, not more and size <= lft as fits from f{i}),
-b{i} as (select *, coalesce(sum(case when fits then size else 0 end) over (partition by sk, block order by h rows between unbounded preceding and 1 preceding), 0) as bef from a{i}),
-c{i} as (select * exclude (more, fits, bef), more or (fits and bef + size <= lft) as more from b{i}),
-f{i + 1} as (select * exclude (lft), quota - sum(case when more then size else 0 end) over (partition by sk, block) as lft from c{i}),"""
-
 
 @_query("op9_mixing", r"""
-with z as (select doc_id, coalesce('=' || source, '') as sk, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-  md5('9|' || coalesce(cast(doc_id as varchar), '-') || '|' || md5(coalesce(text, ''))) as h from documents),
+with recursive y as (select doc_id, coalesce('=' || source, '') as sk, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+  md5('9|' || coalesce(cast(doc_id as varchar), '-') || '|' || md5(coalesce('=' || source, '')) || '|' || md5(coalesce(text, ''))) as h from documents),
+z as (select * exclude (h), md5('9n|' || h || '|' || row_number() over (partition by h)) as h from y),
 s as (select sk, cast(sum(size) as bigint) as source_size, count(*) as n from z group by sk),
 k as (select *, row_number() over (order by sk = '', sk) as rank from s),
 w as (select *, case (rank - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from k),

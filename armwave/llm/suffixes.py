@@ -9,6 +9,8 @@ compared with its neighbours, across range boundaries too:
 * equal run bytes: every string of the run is repeated;
 * equal grams but other bytes: only some strings may be; those runs are read again string by string, and their
   strings are sorted and compared in the same way.
+
+The units of a string are bytes or words ``[^\\x20\\x09-\\x0D]+``; white space between words then does not count.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armwave.llm.graph import dropped, stored
-from armwave.llm.textbytes import RangeHash, Texts, mix, text_slices, texts_of
+from armwave.llm.textbytes import RangeHash, Texts, mix, text_slices, texts_of, words_of
 
 SAME, NEAR, FIRST, LAST = 0, 1, 2, 3
 
@@ -37,18 +39,27 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _runs(t: Texts, h: RangeHash, length: int, window: int) -> tuple[np.ndarray, ...]:
+def _units(t: Texts, h: RangeHash, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running sums over the units of all texts, and each text's range of units."""
+    sums = h.sums(t.buf)
+    if unit == "byte":
+        return sums, t.start, t.end
+    w = words_of(t)
+    return h.sums_of(h.ranges(sums, w.start, w.end)), w.first, w.first + w.count
+
+
+def _runs(t: Texts, h: RangeHash, length: int, window: int, unit: str) -> tuple[np.ndarray, ...]:
     """(text, first string, strings, gram hash, run hash) of all runs; starts are relative to the text."""
     empty = np.zeros(0, np.int64)
-    if len(t.buf) <= length:
+    sums, begin, end = _units(t, h, unit)
+    if len(sums) <= length:
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    sums = h.sums(t.buf)
     grams = h.grams(sums, length - window + 1)
     place = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     anchor = (_window_minima(place, window) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    sizes = np.maximum(t.end - t.start - length + 1, 0)
+    sizes = np.maximum(end - begin - length + 1, 0)
     text = np.repeat(np.arange(t.n), sizes)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + t.start[text]
+    at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[text]
     if not len(at):
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     a = anchor[at]
@@ -58,7 +69,7 @@ def _runs(t: Texts, h: RangeHash, length: int, window: int) -> tuple[np.ndarray,
     count = np.diff(np.append(first, len(at)))
     start = at[first]
     whole = h.ranges(sums, start, start + count - 1 + length) ^ mix((a[first] - start).astype(np.uint64), 3)
-    return text[first], start - t.start[text[first]], count, grams[a[first]], whole
+    return text[first], start - begin[text[first]], count, grams[a[first]], whole
 
 
 def _neighbours(rows: DataFrame, made: list[DataFrame] | None) -> DataFrame:
@@ -128,8 +139,8 @@ def _by_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(r, left["id"].eqNullSafe(r["id_"]) & (left["th"] == r["th_"]), how).drop("id_", "th_")
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, window: int = 192, made: list[DataFrame] | None = None) -> DataFrame:
-    """(id, th, spans) with the maximal byte ranges [start, end) covered by strings of ``length`` bytes that also
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, window: int = 192, made: list[DataFrame] | None = None, unit: str = "byte") -> DataFrame:
+    """(id, th, starts, ends) with the maximal ranges [start, end) of units covered by strings of ``length`` units that also
     start elsewhere (another text or another place of the same one); texts without any have no row.
 
     ``th`` is a 32-bit hash of the text, so that rows with one key and other texts are told apart; equal rows
@@ -144,7 +155,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         h = RangeHash(21)
         for batch in batches:
             for _, part in text_slices(batch, "t"):
-                of, p, k, g, c = _runs(texts_of(part, "t"), h, length, window)
+                of, p, k, g, c = _runs(texts_of(part, "t"), h, length, window, unit)
                 own = part.select(["id", "th"]).take(pa.array(of))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), own.column("id"), own.column("th"),
@@ -158,7 +169,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         for batch in batches:
             for _, part in text_slices(batch, "t"):
                 t = texts_of(part, "t")
-                grams = h.grams(h.sums(t.buf), length)
+                sums, begin, _ = _units(t, h, unit)
+                grams = h.grams(sums, length)
                 lists = part.column("asked")
                 of = np.repeat(np.arange(t.n), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
                 items = lists.flatten()
@@ -167,7 +179,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
                 at = p[each] + np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
                 own = part.select(["id", "th"]).take(pa.array(of[each]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[t.start[of[each]] + at].view(np.int64)), pa.array(np.zeros(len(at), np.int64)), own.column("id"),
+                    [pa.array(grams[begin[of[each]] + at].view(np.int64)), pa.array(np.zeros(len(at), np.int64)), own.column("id"),
                      own.column("th"), pa.array(at.astype(np.int32)), pa.array(np.ones(len(at), np.int32))],
                     names=["g", "c", "id", "th", "p", "k"])
 
@@ -209,42 +221,49 @@ def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray, whole_chars: bool)
     return b"".join([*pieces, text[done:]])
 
 
-def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, window: int = 192, whole_chars: bool = False) -> DataFrame:
-    """(row, kept, n_bytes, n_removed, n_spans) for every row: its columns as a struct, and the bytes left.
+def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, window: int = 192, unit: str = "byte") -> DataFrame:
+    """(row, kept, whole, n_bytes, n_removed, n_spans) for every row: its columns as a struct, and the bytes left.
 
-    With ``whole_chars`` cuts shrink to whole code points, so that what is left is UTF-8 again.
+    For ``whole`` cuts shrink to whole code points, so that what is left is UTF-8 again. With words as units a cut goes from
+    the first byte of its first word to the last one of its last word.
     """
     made: list[DataFrame] = []
-    spans = stored(repeated_spans(docs, text, key, length, window, made), "spans")
+    spans = stored(repeated_spans(docs, text, key, length, window, made, unit), "spans")
     for table in made:  # only the spans are needed from here on
         dropped(table)
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     packed = docs.select(F.col(f"`{key}`").alias("id"), F.hash(t).alias("th"), t.alias("t"),
                          F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
     joined = _by_row(packed, spans, "left").select("row", "t", "starts", "ends")
-    shape = f"row {packed.schema['row'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
+    shape = f"row {packed.schema['row'].dataType.simpleString()}, kept binary, whole binary, n_bytes long, n_removed long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in text_slices(batch, "t"):
-                left, sizes, gone, count = [], [], [], []
-                for value, s, e in zip(part.column("t").cast(pa.large_binary()), part.column("starts"), part.column("ends")):
+                left, whole, sizes, gone, count = [], [], [], [], []
+                if unit == "word":
+                    t = texts_of(part, "t")
+                    w = words_of(t)
+                for row, (value, s, e) in enumerate(zip(part.column("t").cast(pa.large_binary()), part.column("starts"), part.column("ends"))):
                     value = value.as_py()
                     s, e = (s.values.to_numpy(), e.values.to_numpy()) if s.is_valid else ((), ())
-                    left.append(_kept(value, s, e, whole_chars) if len(s) else value)
+                    if unit == "word" and len(s):
+                        s, e = w.start[w.first[row] + s] - t.start[row], w.end[w.first[row] + e - 1] - t.start[row]
+                    left.append(_kept(value, s, e, False) if len(s) else value)
+                    whole.append(_kept(value, s, e, True) if len(s) else value)
                     sizes.append(len(value))
                     gone.append(int(sum(e) - sum(s)))
                     count.append(len(s))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(left, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, gone, count)]],
-                                                 names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(left, pa.binary()), pa.array(whole, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, gone, count)]],
+                                                 names=["row", "kept", "whole", "n_bytes", "n_removed", "n_spans"])
 
     return joined.mapInArrow(run, shape)
 
 
-def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, chars: str | None = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, chars: str | None = "n_chars", window: int = 192, unit: str = "byte") -> DataFrame:
     """``docs`` with repeated strings cut out of the texts (and the count of characters renewed). Null texts stay null."""
-    out = cut(docs.withColumn("_no_text", F.col(f"`{text}`").isNull()), text, key, length, whole_chars=True)
-    new: Column = F.when(~F.col("row._no_text"), F.decode("kept", "UTF-8"))
+    out = cut(docs.withColumn("_no_text", F.col(f"`{text}`").isNull()), text, key, length, window, unit)
+    new: Column = F.when(~F.col("row._no_text"), F.decode("whole", "UTF-8"))
     fields = []
     for c in docs.columns:
         if c == text:

@@ -44,9 +44,13 @@ class RangeHash:
                 setattr(self, name, np.cumprod(steps))
 
     def sums(self, buf: np.ndarray) -> np.ndarray:
-        self._grow(len(buf) + 1)
-        out = np.zeros(len(buf) + 1, dtype=_U)
-        np.cumsum(self.table[buf] * self.powers[: len(buf)], out=out[1:])
+        return self.sums_of(self.table[buf])
+
+    def sums_of(self, values: np.ndarray) -> np.ndarray:
+        """As ``sums`` over units that are hashes themselves."""
+        self._grow(len(values) + 1)
+        out = np.zeros(len(values) + 1, dtype=_U)
+        np.cumsum(values * self.powers[: len(values)], out=out[1:])
         return out
 
     def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from armwave.llm import jaccard, mixing, pieces, quality, suffixes
 from armwave.session import scratch_path
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+REPEATED_WORDS = 50  # words of a passage that must not occur twice
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +23,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 that start more than once are cut out, to whole code points; ``n_chars`` follows."""
-    return suffixes.without_repeats(docs)
+    """Runs of 50 words that start more than once are cut out wherever they are; ``n_chars`` follows."""
+    return suffixes.without_repeats(docs, length=REPEATED_WORDS, window=REPEATED_WORDS // 2, unit="word")
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

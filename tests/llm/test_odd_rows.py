@@ -107,6 +107,17 @@ def test_suffixes(docs, rows, length, window):
     assert suffixes.cut(docs.limit(0), length=length, window=window).count() == 0
     left = suffixes.without_repeats(docs)
     assert left.columns == docs.columns and left.count() == len(rows)
+    by_word = suffixes.without_repeats(docs, length=20, window=10, unit="word")
+    words = [[m for m in re.finditer(WORD, t or "")] for _, t in rows]
+    gone = removed([tuple(m[0] for m in w) for w in words], 20)
+    want = []
+    for (k, t), w, g in zip(rows, words, gone):
+        out, done = [], 0
+        for m in re.finditer(b"\1+", bytes(g)):
+            out.append(t[done: w[m.start()].start()])
+            done = w[m.end() - 1].end()
+        want.append((k, None if t is None else "".join([*out, t[done:]])))
+    assert sorted(((r.doc_id, r.text) for r in by_word.collect()), key=str) == sorted(want, key=str)
     assert left.where("n_chars <> length(text)").count() == 0 and left.where("text is null").count() == 2 + sum(t is None for _, t in rows) - 2
 
 

@@ -1,5 +1,6 @@
 """The pipeline against brute force and SQL twins, stage by stage."""
 
+import re
 from collections import Counter
 
 import duckdb
@@ -7,7 +8,6 @@ import pytest
 from test_odd_rows import removed, roots, shingles
 
 import corpus_pipeline
-from armwave.llm import suffixes
 from armwave.llm.queries import SQL
 from armwave.session import scratch_path
 
@@ -48,19 +48,21 @@ def test_near_duplicates(results):
     assert linked and sorted(results[2].doc_id) == [d for i, d in enumerate(docs.doc_id) if root[i] == i]
 
 
-def test_repeated_strings(results):
+def test_repeated_passages(results):
+    """Runs of words that occur twice are gone, all others stay; texts are compared word by word."""
+    n = corpus_pipeline.REPEATED_WORDS
     docs = results[2].sort_values("doc_id").reset_index(drop=True)
-    texts = [t.encode() for t in docs.text]
+    words = [list(re.finditer(r"[^\x20\x09-\x0D]+", t)) for t in docs.text]
+    gone = removed([tuple(m[0] for m in w) for w in words], n)
     want = {}
-    for d, t, gone in zip(docs.doc_id, texts, removed(texts, 400)):
-        edge, starts, ends = 0, [], []
-        for i, g in enumerate([*gone, 0]):
-            if g != edge:
-                (starts if g else ends).append(i)
-            edge = g
-        want[d] = suffixes._kept(t, starts, ends, True).decode()
+    for d, t, w, g in zip(docs.doc_id, docs.text, words, gone):
+        out, done = [], 0
+        for m in re.finditer(b"\1+", bytes(g)):
+            out.append(t[done: w[m.start()].start()])
+            done = w[m.end() - 1].end()
+        want[d] = "".join([*out, t[done:]])
     got = dict(zip(results[3].doc_id, results[3].text))
-    assert got == want and any(len(want[d].encode()) < len(t) for d, t in zip(docs.doc_id, texts))
+    assert got == want and any(len(want[d]) < len(t) for d, t in zip(docs.doc_id, docs.text))
     assert (results[3].n_chars == results[3].text.str.len()).all()
 
 
