@@ -1,12 +1,14 @@
 """Mixing sources to target weights by exact block quotas, with DataFrame functions only.
 
-A source is dealt into blocks of about ``block_rows`` documents by a hash. Its target gives whole passes over the
-source and a rest; the rest is a run of blocks in permuted order, and the block at its end is taken
-in part. A block drawn in a pass is a unit. A tree splits the units among the shards: each node permutes
-its units and hands one half to either side, so the numbers of units by source on a side are a multivariate
-hypergeometric draw with exact totals, and shards hold disjoint units. Rows are put in a random order within their shard.
-
-All random choices are MD5 orders of keys and a seed, so reruns agree on any cluster.
+A source is dealt into blocks of about ``block_rows`` documents by a hash. Its target gives whole passes over the source and a rest.
+The rest is taken in the order of blocks and of rows inside them, both permuted: a row is taken if its words still fit. So whole
+blocks go first; from the block in which the rest runs out on, blocks are gone through row by row, and what a long document leaves over goes to
+the rows and blocks after it. The words so taken from a block are its quota. A block drawn in a pass is a unit. A tree splits the units among
+the shards: each node permutes its units and hands one half to either side, so the numbers of units by source on a side are a
+multivariate hypergeometric draw with exact totals, and shards hold disjoint units. Rows are put in a random order within their shard.
+
+Orders over sources, over the blocks of a source and over the units of a node are range-partitioned (``ordering.running_sum``): no source
+and no level of the tree is one task. All random choices are MD5 orders of keys and a seed, so reruns agree on any cluster.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armwave.llm.graph import stored
+from armwave.operators.ordering import row_index, running_sum
 
 WEIGHTS = (5, 2, 1)
 WORDS = r"[^\x20\x09-\x0D]+"
-FILL_ROUNDS = 3
+STRETCH = 32  # blocks of a source that are gone through row by row at once
 
 
 def _key(seed: int, label: str, *parts: Column) -> Column:
@@ -32,111 +35,109 @@ def targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[
     of the levels left after filling the sources with the smallest ratio of cap to weight.
     """
     s = sized.groupBy("sk").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("sk") == "", "sk")) - 1
-    s = s.withColumn("rank", rank).withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
-    every = Window.partitionBy()
-    before = Window.orderBy((F.col("source_size") * most / F.col("weight")), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    caps, used = F.coalesce(F.sum(F.col("source_size") * most).over(before), F.lit(0)), F.coalesce(F.sum("weight").over(before), F.lit(0))
-    s = s.select("*", caps.alias("caps"), used.alias("used"), F.sum("weight").over(every).alias("w"), F.sum("source_size").over(every).alias("total"))
-    s = s.withColumn("level", F.max((F.col("total") * F.lit(share) - F.col("caps")) / (F.col("w") - F.col("used"))).over(every))
-    return s.select("sk", "source_size", "rows", F.least(F.col("weight") * F.col("level"), (F.col("source_size") * most).cast("double")).alias("target"))
-
-
-def _dealt(seed: int, shards: int) -> Column:
-    """Shards of a block's units; a block without a unit for the rest, of which single rows are taken, goes to a shard by hash."""
-    dealt = F.coalesce(F.col("dealt"), F.array().cast("array<int>"))
-    other = F.conv(F.substring(_key(seed, "c", F.col("sk"), F.col("block")), 1, 8), 16, 10).cast("long") % shards
-    return F.when(F.size(dealt) > F.col("passes"), dealt).otherwise(F.concat(dealt, F.array(other.cast("int"))))
+    s = row_index(s.withColumn("_last", F.col("sk") == ""), "_last", "sk", "rank").drop("_last")
+    s = s.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
+    s = s.withColumn("ratio", F.col("source_size") * most / F.col("weight"))
+    s = running_sum(s, "ratio", "rank", "caps", weight=F.col("source_size") * most)
+    s = stored(running_sum(s, "ratio", "rank", "used", weight=F.col("weight")), "sources")
+    w, total = s.agg(F.sum("weight"), F.sum("source_size")).first()
+    if w is None:
+        return s.select("sk", "source_size", "rows", F.lit(0.0).alias("target"))
+    level = s.agg(F.max((F.lit(total) * F.lit(share) - F.col("caps")) / (F.lit(w) - F.col("used")))).first()[0]
+    return s.select("sk", "source_size", "rows", F.least(F.col("weight") * F.lit(level), (F.col("source_size") * most).cast("double")).alias("target"))
+
+
+def _numbered(docs: DataFrame, text: str, key: str, source: str, seed: int, *more: Column) -> DataFrame:
+    """(sk, u, more) per row. ``u`` is a hash of source, key, text, and of the number of the row among those equal in these.
+
+    Equal rows are numbered inside the partition they were read from, and after the rows of earlier partitions.
+    """
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    k, sk = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))
+    rows = stored(docs.select(sk.alias("sk"), _key(seed, "", k, F.md5(sk.cast("binary")), F.md5(t.cast("binary"))).alias("h"), F.spark_partition_id().alias("part"), *more), "numbered")
+    inside = rows.withColumn("turn", F.row_number().over(Window.partitionBy("h", "part").orderBy("sk")))
+    many = rows.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
+    begin = F.sum("n").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    many = many.select("h", "part", F.coalesce(begin, F.lit(0)).alias("begin")).where("begin > 0")  # equal rows in several partitions
+    out = inside.join(many, ["h", "part"], "left")
+    return out.withColumn("u", _key(seed, "n", F.col("h"), F.col("turn") + F.coalesce("begin", F.lit(0)))).drop("h", "part", "turn", "begin", "n")
 
 
-def _carried(rows: DataFrame, seed: int) -> DataFrame:
-    """``more`` is also set for rows that the words left over of their source still take.
+def _rests(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(sk, block, words, picked) of the blocks of which the rest takes some rows but not by whole blocks; ``picked`` lists these rows.
 
-    Every round takes, in the order of blocks and rows, those of the rows that fit whose running sum fits: sums by block first, then rows
-    inside a block. A round takes at least one row of a source for which any fits, and the rounds end when none does.
+    Per source, the next blocks that hold a row small enough are gone through, ``STRETCH`` at a time, until none is left.
     """
-    source = F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))
-    by_source, by_block = Window.partitionBy("sk"), Window.partitionBy("sk", "block")
-    permuted = by_source.orderBy(_key(seed, "b", F.col("sk"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    upto = by_block.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("more", F.col("more") & (F.col("quota") > 0))
+    state = blocks.groupBy("sk").agg((F.first("rest") - F.sum(F.when(F.col("whole"), F.col("b")).otherwise(0))).alias("left")).withColumn("after", F.lit(-1).cast("long"))
+    state, done = stored(state, "left"), None
     while True:
-        rows = stored(rows, "carried")
-        left = rows.groupBy("sk").agg((F.first("rest") - source).alias("over"))
-        rows = rows.drop("over").join(left, "sk").withColumn("fits", ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("over")))
-        if rows.where("fits").isEmpty():
-            return rows
-        begins = rows.groupBy("sk", "block").agg(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("_b"))
-        begins = begins.select("sk", "block", F.coalesce(F.sum("_b").over(permuted), F.lit(0)).alias("begin"))
-        rows = rows.drop("begin").join(begins, ["sk", "block"])
-        here = F.coalesce(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(upto), F.lit(0))
-        rows = rows.withColumn("before", F.col("begin") + here)
-        rows = rows.withColumn("more", F.col("more") | (F.col("fits") & (F.col("before") + F.col("size") <= F.col("over"))))
+        order = Window.partitionBy("sk").orderBy("begin")
+        fitting = blocks.where(~F.col("whole")).join(state, "sk").where((F.col("least") <= F.col("left")) & (F.col("begin") > F.col("after")))
+        near = fitting.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= STRETCH)
+        near = stored(near.select("sk", "block", "begin", "left"), "stretch")
+        if near.isEmpty():
+            break
+        own = rows.where("size > 0").join(near, ["sk", "block"]).where(F.col("size") <= F.col("left"))
+        lists = own.groupBy("sk").agg(F.first("left").alias("left"), F.max("begin").alias("after"), F.array_sort(F.collect_list(F.struct("begin", "u", "size", "block"))).alias("each"))
+        walk = F.aggregate(
+            "each", F.struct(F.col("left").alias("left"), F.array().cast("array<struct<block:bigint,u:string,size:bigint>>").alias("picked")),
+            lambda s, x: F.when(x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.concat(s["picked"], F.array(F.struct(x["block"], x["u"], x["size"]))).alias("picked"))).otherwise(s))
+        walked = stored(lists.select("sk", "after", walk.alias("w")), "walked")
+        found = walked.select("sk", F.explode("w.picked").alias("p")).select("sk", "p.block", "p.u", "p.size")
+        done = found if done is None else done.unionByName(found)
+        state = stored(state.join(walked.select("sk", F.col("after").alias("_after"), F.col("w.left").alias("_left")), "sk", "left")
+                       .select("sk", F.coalesce("_left", "left").alias("left"), F.coalesce("_after", "after").alias("after")), "left")
+    if done is None:
+        return blocks.limit(0).select("sk", "block", F.lit(0).cast("long").alias("words"), F.array().cast("array<string>").alias("picked"))
+    return done.groupBy("sk", "block").agg(F.sum("size").alias("words"), F.collect_list("u").alias("picked"))
 
 
 def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", share: float = 1.5, most: int = 2,
-         shards: int = 8, block_rows: int = 256, seed: int = 9, carry: bool = True) -> DataFrame:
+         shards: int = 8, block_rows: int = 256, seed: int = 9) -> DataFrame:
     """(key, row_hash, size, source_size, target, taken, shards) for every row; ``shards`` lists the shard of each copy taken.
 
-    ``shards`` is a power of two. Null and empty texts have size 0; a null source is a source of its own, a null key
-    a value like any other. No row is taken more than ``most`` times. Rows equal in key and text share a block.
-    An empty table gives an empty result. With ``carry``, what a block's quota leaves over goes on to the following blocks
-    of its source, until no row that is left fits; without, it is dropped after ``FILL_ROUNDS`` passes over the block.
+    ``shards`` is a power of two. Null and empty texts have size 0 and are no part of the rest; a null source is a source of its own, a null key
+    a value like any other. No row is taken more than ``most`` times. Rows equal in source, key and text are numbered. A source stays
+    below its target by less than the words of its smallest row that the rest leaves out. An empty table gives an empty result.
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("-"))
-    sized = stored(docs.select(
-        F.col(f"`{key}`").alias("id"), F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("")).alias("sk"),
-        F.regexp_count(t, F.lit(WORDS)).cast("long").alias("size"), _key(seed, "", k, F.md5(t.cast("binary"))).alias("h")), "sizes")
+    sized = stored(_numbered(docs, text, key, source, seed, F.col(f"`{key}`").alias("id"), F.regexp_count(t, F.lit(WORDS)).cast("long").alias("size")), "sizes")
     sources = targets(sized, share, most).withColumn("blocks", F.ceil(F.col("rows") / block_rows))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = stored(sources.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
-    rows = sized.join(sources, "sk").withColumn("block", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.col("blocks"))
+    rows = sized.join(sources, "sk").withColumn("block", F.conv(F.substring("u", 1, 8), 16, 10).cast("long") % F.col("blocks"))
 
-    blocks = rows.groupBy("sk", "block").agg(F.sum("size").alias("b"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
-    permuted = Window.partitionBy("sk").orderBy(_key(seed, "b", F.col("sk"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    quota = F.greatest(F.lit(0.0), F.least(F.col("b").cast("double"), F.col("rest") - F.coalesce(F.sum("b").over(permuted), F.lit(0))))
-    blocks = stored(blocks.withColumn("quota", quota), "blocks")
+    sums = rows.groupBy("sk", "block").agg(F.sum("size").alias("b"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+    sums = running_sum(sums.withColumn("bh", _key(seed, "b", F.col("sk"), F.col("block"))), "bh", "block", "begin", ["sk"], F.col("b"))
+    blocks = stored(sums.withColumn("whole", F.col("begin") + F.col("b") <= F.col("rest")), "blocks")
+    part = stored(_rests(rows, blocks), "rests")
+    quota = F.when(F.col("whole"), F.col("b")).otherwise(F.coalesce("words", F.lit(0)))
+    blocks = stored(blocks.join(part, ["sk", "block"], "left").withColumn("quota", quota), "quotas")
 
     drawn = (F.col("passes") + F.when(F.col("quota") > 0, 1).otherwise(0)).cast("int")
     units = blocks.select("sk", "block", F.explode(F.when(drawn > 0, F.sequence(F.lit(0), drawn - 1))).alias("pass")).withColumn("node", F.lit(0))
     for level in range(max(1, shards).bit_length() - 1):
-        own = Window.partitionBy("node")
-        place = F.row_number().over(own.orderBy(_key(seed, f"u{level}", F.col("sk"), F.col("block"), F.col("pass"))))
-        right = place * 2 > F.count(F.lit(1)).over(own) + F.col("node") % 2
-        units = units.select("sk", "block", "pass", (F.col("node") * 2 + right.cast("int")).alias("node"))
+        hashed = units.withColumn("uh", _key(seed, f"u{level}", F.col("sk"), F.col("block"), F.col("pass")))
+        placed = running_sum(hashed, "uh", "pass", "place", ["node"], total="of")
+        right = (F.col("place") + 1) * 2 > F.col("of") + F.col("node") % 2
+        units = placed.select("sk", "block", "pass", (F.col("node") * 2 + right.cast("int")).alias("node"))
     dealt = units.groupBy("sk", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "node"))), lambda u: u["node"]).alias("dealt"))
+    drawn_blocks = stored(blocks.join(dealt, ["sk", "block"], "left").select("sk", "block", "quota", "whole", "picked", "dealt"), "dealt")
 
-    cell = Window.partitionBy("sk", "block")
-    upto = cell.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(blocks.select("sk", "block", "quota", "b").join(dealt, ["sk", "block"], "left"), ["sk", "block"])
-    rows = rows.withColumn("more", F.lit(False)).withColumn("left", F.col("quota"))
-    for _ in range(FILL_ROUNDS):  # what a block's quota has left goes to rows that still fit, in the same order
-        fits = ~F.col("more") & (F.col("size") <= F.col("left"))
-        rows = rows.withColumn("fits", fits)
-        rows = rows.withColumn("before", F.coalesce(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(upto), F.lit(0)))
-        rows = rows.withColumn("more", F.col("more") | (F.col("fits") & (F.col("before") + F.col("size") <= F.col("left"))))
-        rows = rows.withColumn("left", F.col("quota") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(cell))
-    if carry:
-        rows = _carried(rows, seed)
-    copies = (F.col("passes") + (F.col("more") & (F.lit(carry) | (F.col("quota") > 0))).cast("int")).cast("int")
-    return rows.select(F.col("id").alias(key), F.col("h").alias("row_hash"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"),
-                       F.slice(_dealt(seed, shards), F.lit(1), copies).alias("shards"))
+    rows = rows.join(drawn_blocks, ["sk", "block"])
+    more = (F.col("size") > 0) & ((F.col("whole") & (F.col("quota") > 0)) | F.coalesce(F.array_contains("picked", F.col("u")), F.lit(False)))
+    copies = (F.col("passes") + more.cast("int")).cast("int")
+    return rows.select(F.col("id").alias(key), F.col("u").alias("row_hash"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"),
+                       F.slice(F.coalesce("dealt", F.array().cast("array<int>")), F.lit(1), copies).alias("shards"))
 
 
 def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", shards: int = 8, seed: int = 9, **how) -> DataFrame:
     """The rows of the mix with the columns of ``docs``, repeats included: one partition range per shard, shuffled within it.
 
-    Null and repeated keys are told apart by the hash of key and text; rows equal in both are numbered.
+    Rows are told apart by the hash of source, key, text and number; rows equal in all of these are taken as often as planned, whichever they are.
     """
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("-"))
-    drawn = plan(docs, text, key, source, shards=shards, seed=seed, **how).select("row_hash", "shards")
-    turn = F.row_number().over(Window.partitionBy("row_hash").orderBy(F.lit(0)))
-    drawn = drawn.withColumn("turn_a", turn)
-    packed = docs.select(_key(seed, "", k, F.md5(t.cast("binary"))).alias("row_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    packed = packed.withColumn("turn_b", turn)
-    held = packed.join(drawn.where(F.size("shards") > 0), "row_hash").where((F.col("turn_a") <= F.col("turn_b")) & (F.col("turn_a") >= F.col("turn_b")))
-    out = held.select("row", F.posexplode("shards").alias("copy", "shard"), F.col("row_hash").alias("rh"))
-    order = _key(seed, "s", F.col("shard"), F.col("rh"), F.col("copy"))
+    drawn = plan(docs, text, key, source, shards=shards, seed=seed, **how).where(F.size("shards") > 0).select(F.col("row_hash").alias("u"), "shards")
+    packed = _numbered(docs, text, key, source, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = packed.join(drawn, "u").select("row", F.posexplode("shards").alias("copy", "shard"), "u")
+    order = _key(seed, "s", F.col("shard"), F.col("u"), F.col("copy"))
     return out.select("row", "shard", order.alias("o")).repartitionByRange("shard", "o").sortWithinPartitions("shard", "o").select("row.*")

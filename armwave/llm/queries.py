@@ -121,18 +121,19 @@ v as (select *, coalesce(sum(source_size * 2) over before_, 0) as caps, coalesce
 t as (select *, least(weight * max((total * 1.5::double - caps) / (w - used)) over (), cast(source_size * 2 as double)) as target from v),
 q as (select sk, source_size, target, ceil(n / 256) as blocks, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as passes from t),
 r as (select z.*, source_size, target, passes, target - passes * source_size as rest, cast('0x' || h[1:8] as bigint) % cast(blocks as bigint) as block from z join q using (sk)),
-g as (select sk, block, sum(size) as b, any_value(rest) as rest, any_value(passes) as passes from r group by sk, block),
-bl as (select *, greatest(0.0::double, least(cast(b as double), rest - coalesce(sum(b) over (partition by sk order by md5('9b|' || sk || '|' || block), block
-  rows between unbounded preceding and 1 preceding), 0))) as quota from g),
+e as (select *, row_number() over (partition by sk order by md5('9b|' || sk || '|' || block), block, h) as i from r where size > 0),
+walk as (select sk, 0::bigint as i, rest as lft, null::varchar as h, false as more from (select distinct sk, rest from r)
+  union all select e.sk, e.i, case when e.size <= walk.lft then walk.lft - e.size else walk.lft end, e.h, e.size <= walk.lft from walk join e on e.sk = walk.sk and e.i = walk.i + 1),
+f as (select r.*, coalesce(walk.more, false) as more from r left join walk using (sk, h)),
+bl as (select sk, block, any_value(passes) as passes, sum(case when more then size else 0 end) as quota from f group by sk, block),
 u0 as (select sk, block, 0 as node, unnest(range(0, passes + case when quota > 0 then 1 else 0 end)) as pass from bl),""" + _OP9_LEVELS + r"""
 de as (select sk, block, list(node order by pass) as dealt from u3 group by sk, block),
-f0 as (select r.*, quota, dealt, false as more, quota as lft from r join bl using (sk, block) left join de using (sk, block)),""" + "".join(map(_op9_fill, range(3))) + r"""
-o as (select *, passes + case when more and quota > 0 then 1 else 0 end as copies from f3)
+o as (select f.*, dealt, passes + case when more then 1 else 0 end as copies from f left join de using (sk, block))
 select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, h as row_hash,
   list_transform(coalesce(dealt, [])[1:copies], lambda x: cast(x as int)) as shards from o""")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a mix of all sources takes of each document, and the shards of its copies, by the rule of its SQL (nothing is carried on)."""
-    return mixing.plan(_table(spark, sf_dir, "documents"), carry=False)
+    """What a mix of all sources takes of each document, and the shards of its copies."""
+    return mixing.plan(_table(spark, sf_dir, "documents"))
 
 
 TOKENIZERS = "/opt/tokenizers"
