@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -184,116 +184,115 @@ def _solve(a: np.ndarray, n: int, p: int):
 
 
 THETA_EDGE = 1e18  # beyond this the rows of a subject do not differ in double precision
+STEP = 0.5         # of the first grid over log theta
+POINTS = 128       # of the finer grids, each of which spans one step of the one before to either side
 
 
-def _search(objective: Callable[[float], float], step: float = 0.75, rounds: int = 80) -> float:
-    """Largest value over theta >= 0: a grid over log theta that widens until the maximum lies inside, then golden section."""
-    logs = list(np.arange(math.log(1e-9), math.log(1e4), step))
-    values = [objective(math.exp(x)) for x in logs]
-    while int(np.argmax(values)) == len(logs) - 1 and math.exp(logs[-1]) < THETA_EDGE:
-        logs += [logs[-1] + step * (i + 1) for i in range(8)]
-        values += [objective(math.exp(x)) for x in logs[-8:]]
-    best = int(np.argmax(values))
-    low, high = logs[max(best - 1, 0)], logs[min(best + 1, len(logs) - 1)]
-    ratio = (math.sqrt(5) - 1) / 2
-    a, b = high - ratio * (high - low), low + ratio * (high - low)
-    fa, fb = objective(math.exp(a)), objective(math.exp(b))
-    for _ in range(rounds):
-        if high - low < 1e-10:
-            break
-        if fa >= fb:
-            high, b, fb = b, a, fa
-            a = high - ratio * (high - low)
-            fa = objective(math.exp(a))
-        else:
-            low, a, fa = a, b, fb
-            b = low + ratio * (high - low)
-            fb = objective(math.exp(b))
-    return max((0.0, math.exp((low + high) / 2), math.exp(logs[best])), key=objective)
-
-
-def fit_many(df: DataFrame, specs: Sequence[Spec], group: str = "subject", budget: int = 2_000_000) -> list[Fit]:
+def _likelihoods(sums: DataFrame, width: int, thetas: Mapping[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For every model and each of its thetas: the products of subject means as they shrink, and the log determinant of V; then the products
+    of subject means as they are, and the number of subjects. One job for all models; a row per model comes back.
+    """
+    upper = np.triu_indices(width)
+    size = len(upper[0])
+
+    def partial(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            models = batch["model"].to_numpy()
+            for m in np.unique(models):
+                own = batch[models == m]
+                n, count = own["size"].to_numpy(float), own["rows"].to_numpy(float)
+                theta = thetas[int(m)]
+                grown = 1 + np.outer(theta, n)
+                mats = np.stack(own["products"].to_numpy())
+                part = np.concatenate([np.column_stack([(1 / (n * grown)) @ mats, np.log(grown) @ count]), np.append((1 / n) @ mats, count.sum())[None, :]])
+                totals[int(m)] = totals.get(int(m), 0) + part
+        yield pd.DataFrame({"model": list(totals), "v": [t.ravel() for t in totals.values()]})
+
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"model": [group["model"].iloc[0]], "v": [np.sum(np.sort(np.stack(group["v"].to_numpy()), axis=0), axis=0)]})
+
+    shape = "model bigint, v array<double>"
+    out = {}
+    for r in sums.mapInPandas(partial, shape).groupBy("model").applyInPandas(total, shape).collect():
+        v = np.array(r["v"]).reshape(-1, size + 1)
+        mats = np.zeros((len(v), width, width))
+        mats[:, upper[0], upper[1]] = mats[:, upper[1], upper[0]] = v[:, :-1]
+        out[r["model"]] = (mats[:-1], v[:-1, -1], mats[-1], int(round(v[-1, -1])))
+    return out
+
+
+def fit_many(df: DataFrame, specs: Sequence[Spec], group: str = "subject") -> list[Fit]:
     """Fit every model (complete cases each) from shared aggregations.
 
-    The table of sums by subject size normally has few rows and is read to the driver. If it has
-    more than ``budget`` rows, it is written to the shared folder and each step of the search adds
-    it up on the cluster instead; the fit is the same.
+    The table of sums by subject size stays on the cluster. The likelihood of all models is evaluated there for a grid of thetas, then for two
+    finer grids around each model's best one, and last at the top of the parabola through the best point and its neighbours.
     """
+    from armwave.session import cut_lineage
+
     width = max(len(s.terms) for s in specs) + 1
     rows = _stack(df, group, specs, width)
     cross = _products(rows, width, ())
     zs = [f"z{i}" for i in range(width)]
     sums = rows.groupBy("model", "subject").agg(F.count(F.lit(1)).alias("size"), *[F.sum(z).alias(z) for z in zs])
-    by_size = _products(sums, width, ("size",))
+    by_size = _products(sums, width, ("size",)).groupBy("model", "size").agg(
+        F.max("rows").alias("rows"), F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "value"))), lambda x: x["value"]).alias("products"))
+    by_size = cut_lineage(by_size)
 
     crosses: dict[int, tuple[list, int]] = {}
     for r in cross.collect():  # models x terms^2 rows
         crosses.setdefault(r["model"], ([], r["rows"]))[0].append((r["i"], r["j"], r["value"]))
 
-    from armwave.session import cut_lineage
-
-    by_size = cut_lineage(by_size)
-    local = by_size.count() <= budget
-    sizes: dict[int, dict[int, tuple[list, int]]] = {}
-    if local:
-        for r in by_size.collect():
-            entry = sizes.setdefault(r["model"], {}).setdefault(r["size"], ([], r["rows"]))
-            entry[0].append((r["i"], r["j"], r["value"]))
-
-    fits = []
+    fits: dict[int, Fit] = {}
+    totals: dict[int, np.ndarray] = {}
+    keeps = {m: [*range(len(s.terms)), width - 1] for m, s in enumerate(specs)}
     for m, spec in enumerate(specs):
-        p = len(spec.terms)
-        names = [name for name, _ in spec.terms]
+        names, p = [name for name, _ in spec.terms], len(spec.terms)
         if m not in crosses:
-            fits.append(Fit(spec.model_id, names, "no rows"))
+            fits[m] = Fit(spec.model_id, names, "no rows")
             continue
-        keep = [*range(p), width - 1]
         entries, n = crosses[m]
-        total = _matrix(entries, width)[np.ix_(keep, keep)]
-        if local:
-            ns = np.array(sorted(sizes[m]), dtype=float)
-            counts = np.array([sizes[m][int(k)][1] for k in ns], dtype=float)
-            mats = np.stack([_matrix(sizes[m][int(k)][0], width)[np.ix_(keep, keep)] for k in ns])
-            groups = int(counts.sum())
-
-            def whitened(theta, ns=ns, counts=counts, mats=mats, within=total - np.tensordot(1 / ns, mats, 1)):
-                return within + np.tensordot(1 / (ns * (1 + ns * theta)), mats, 1), float(counts @ np.log1p(ns * theta))
-        else:
-            mine = by_size.where(F.col("model") == m)
-            groups = mine.where((F.col("i") == 0) & (F.col("j") == 0)).agg(F.sum("rows")).first()[0]
-
-            def summed(weight, mine=mine, keep=keep):
-                got = mine.groupBy("i", "j").agg(F.sum(weight * F.col("value")).alias("v")).collect()  # terms^2 rows
-                return _matrix([(r["i"], r["j"], r["v"]) for r in got], width)[np.ix_(keep, keep)]
-
-            def whitened(theta, mine=mine, summed=summed, within=total - summed(1 / F.col("size"))):
-                grown = F.lit(1.0) + F.col("size") * theta
-                logdet = mine.where("i = 0 and j = 0").agg(F.sum(F.col("rows") * F.log(grown))).first()[0]
-                return within + summed(1 / (F.col("size") * grown)), logdet
-
-        fits.append(_fit_one(spec.model_id, names, total, n, groups, whitened))
-    return fits
-
-
-def _fit_one(model_id: str, names: list[str], total: np.ndarray, n: int, groups: int, whitened) -> Fit:
-    # Rows within subjects are left as they are and subject means shrink, so that large thetas do not cancel.
-    p = len(names)
-    if n <= p or _solve(total, n, p) is None:
-        return Fit(model_id, names, "singular", n, groups)
-
-    def loglik(theta: float) -> float:
-        a, logdet_v = whitened(theta)
-        solved = _solve(a, n, p)
-        if solved is None:
-            return -math.inf
-        _, _, rss, logdet_x = solved
-        return -0.5 * ((n - p) * (1 + math.log(2 * math.pi * rss / (n - p))) + logdet_v + logdet_x)
-
-    theta = _search(loglik)
-    beta, inv, rss, _ = _solve(whitened(theta)[0], n, p)
-    sigma2 = rss / (n - p)
-    status = "ok" if theta < THETA_EDGE else "theta at its edge"
-    return Fit(model_id, names, status, n, groups, beta, sigma2 * inv, sigma2, theta, loglik(theta))
+        totals[m] = _matrix(entries, width)[np.ix_(keeps[m], keeps[m])]
+        fits[m] = Fit(spec.model_id, names, "singular", n)
+    todo = [m for m in totals if fits[m].n > len(specs[m].terms) and _solve(totals[m], fits[m].n, len(specs[m].terms)) is not None]
+
+    def evaluated(thetas: Mapping[int, np.ndarray]) -> dict[int, tuple[np.ndarray, list]]:
+        """Per model the log likelihoods at its thetas and what the normal equations give there."""
+        out = {}
+        for m, (shrunk, logdet, means, groups) in _likelihoods(by_size.where(F.col("model").isin(list(thetas))), width, thetas).items():
+            keep, n, p = keeps[m], fits[m].n, len(specs[m].terms)
+            fits[m].groups = groups
+            # Rows within subjects are left as they are and subject means shrink, so that large thetas do not cancel.
+            within = totals[m] - means[np.ix_(keep, keep)]
+            solved = [_solve(within + a[np.ix_(keep, keep)], n, p) for a in shrunk]
+            values = [-math.inf if s is None else -0.5 * ((n - p) * (1 + math.log(2 * math.pi * s[2] / (n - p))) + d + s[3]) for s, d in zip(solved, logdet)]
+            out[m] = (np.array(values), solved)
+        return out
+
+    if todo:
+        grid = np.arange(math.log(1e-9), math.log(THETA_EDGE) + STEP, STEP)
+        logs, step = {m: grid for m in todo}, STEP
+        for finer in (True, True, False):
+            found = evaluated({m: np.exp(x) for m, x in logs.items()})
+            best = {m: int(np.argmax(v)) for m, (v, _) in found.items()}
+            if finer:
+                step_next = 2 * step / POINTS
+                logs = {m: logs[m][best[m]] + step_next * np.arange(-(POINTS // 2), POINTS // 2 + 1) for m in todo}
+                step = step_next
+        tops = {}
+        for m in todo:
+            (v, _), x, i = found[m], logs[m], best[m]
+            bend = v[i - 1] - 2 * v[i] + v[i + 1] if 0 < i < len(x) - 1 else 0.0
+            tops[m] = x[i] + (step * 0.5 * (v[i - 1] - v[i + 1]) / bend if bend < 0 and np.isfinite(bend) else 0.0)
+        thetas = {m: np.array([0.0, math.exp(tops[m]), math.exp(logs[m][best[m]])]) for m in todo}
+        for m, (values, solved) in evaluated(thetas).items():
+            i = int(np.argmax(values))
+            beta, inv, rss, _ = solved[i]
+            sigma2 = rss / (fits[m].n - len(specs[m].terms))
+            theta = float(thetas[m][i])
+            status = "ok" if theta < THETA_EDGE * math.exp(-STEP) else "theta at its edge"
+            fits[m] = Fit(specs[m].model_id, fits[m].names, status, fits[m].n, fits[m].groups, beta, sigma2 * inv, sigma2, theta, float(values[i]))
+    return [fits[m] for m in range(len(specs))]
 
 
 def fit_random_intercept(df: DataFrame, y: str, terms: Terms, group: str = "subject", where: Column | None = None) -> Fit:
