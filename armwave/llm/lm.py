@@ -1,14 +1,12 @@
-"""Smoothed n-gram scores from a weighted backoff automaton that is never held whole.
+"""Smoothed n-gram scores: counts of three orders, interpolated token by token; no automaton is built or traversed.
 
-States are histories (no word, one word, two words), arcs are the n-grams of the training texts, and every state has a
-failure arc to its history without the oldest word. With counts c and a prior of ``mu`` occurrences spread
-like the lower order, the arc of n-gram (h, w) weighs log10((c(h, w) + mu p(w | h')) / (c(h) + mu)) and the failure arc
-of h weighs log10(mu / (c(h) + mu)); probabilities of a state add up to one.
+With counts c and a prior of ``mu`` occurrences spread like the lower order, p(w | h) = (c(h, w) + mu p(w | h')) / (c(h) + mu). These are the
+scores of a weighted backoff automaton whose failure arcs weigh log10(mu / (c(h) + mu)), but there are no states or arcs here, and
+nothing is carried from token to token.
 
 Texts are packed into blocks of bounded size. A block asks for the counts of its distinct n-grams: sorted
 hashes, cut into ranges, go to the task of their range, which sums the counts of all blocks and sends back
-numbers in the order asked. Each block so gets the part of the automaton that its texts walk through, and
-walks them left to right. What travels is in proportion to the corpus; a task holds one block or one range.
+numbers in the order asked. What travels is in proportion to the corpus; a task holds one block or one range.
 """
 
 from __future__ import annotations
