@@ -47,20 +47,22 @@ def targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[
     return s.select("sk", "source_size", "rows", F.least(F.col("weight") * F.lit(level), (F.col("source_size") * most).cast("double")).alias("target"))
 
 
-def _numbered(docs: DataFrame, text: str, key: str, source: str, seed: int, *more: Column) -> DataFrame:
-    """(sk, u, more) per row. ``u`` is a hash of source, key, text, and of the number of the row among those equal in these.
+def _numbered(docs: DataFrame, text: str, key: str, source: str, seed: int, *more: Column, codec: str = "snappy") -> tuple[DataFrame, DataFrame]:
+    """The rows (rid, sk, more), stored, and (rid, u) for each. ``u`` is a hash of source, key, text, and of the number of the row among those equal in these.
 
-    Equal rows are numbered inside the partition they were read from, and after the rows of earlier partitions.
+    Equal rows are numbered inside the partition they were read from, and after the rows of earlier partitions; only hashes are moved.
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     k, sk = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))
-    rows = stored(docs.select(sk.alias("sk"), _key(seed, "", k, F.md5(sk.cast("binary")), F.md5(t.cast("binary"))).alias("h"), F.spark_partition_id().alias("part"), *more), "numbered")
-    inside = rows.withColumn("turn", F.row_number().over(Window.partitionBy("h", "part").orderBy("sk")))
-    many = rows.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
+    h = _key(seed, "", k, F.md5(sk.cast("binary")), F.md5(t.cast("binary")))
+    rows = stored(docs.select(sk.alias("sk"), h.alias("h"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid"), *more), "numbered", codec)
+    each = rows.select("h", "part", "rid")
+    inside = each.withColumn("turn", F.row_number().over(Window.partitionBy("h", "part").orderBy("rid")))
+    many = each.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
     begin = F.sum("n").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     many = many.select("h", "part", F.coalesce(begin, F.lit(0)).alias("begin")).where("begin > 0")  # equal rows in several partitions
     out = inside.join(many, ["h", "part"], "left")
-    return out.withColumn("u", _key(seed, "n", F.col("h"), F.col("turn") + F.coalesce("begin", F.lit(0)))).drop("h", "part", "turn", "begin", "n")
+    return rows.drop("h", "part"), out.select("rid", _key(seed, "n", F.col("h"), F.col("turn") + F.coalesce("begin", F.lit(0))).alias("u"))
 
 
 def _rests(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -101,7 +103,8 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     below its target by less than the words of its smallest row that the rest leaves out. An empty table gives an empty result.
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    sized = stored(_numbered(docs, text, key, source, seed, F.col(f"`{key}`").alias("id"), F.regexp_count(t, F.lit(WORDS)).cast("long").alias("size")), "sizes")
+    read, names = _numbered(docs, text, key, source, seed, F.col(f"`{key}`").alias("id"), F.regexp_count(t, F.lit(WORDS)).cast("long").alias("size"))
+    sized = stored(read.join(names, "rid").drop("rid"), "sizes")
     sources = targets(sized, share, most).withColumn("blocks", F.ceil(F.col("rows") / block_rows))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = stored(sources.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
@@ -137,7 +140,7 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     Rows are told apart by the hash of source, key, text and number; rows equal in all of these are taken as often as planned, whichever they are.
     """
     drawn = plan(docs, text, key, source, shards=shards, seed=seed, **how).where(F.size("shards") > 0).select(F.col("row_hash").alias("u"), "shards")
-    packed = _numbered(docs, text, key, source, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = packed.join(drawn, "u").select("row", F.posexplode("shards").alias("copy", "shard"), "u")
+    packed, names = _numbered(docs, text, key, source, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), codec="zstd")
+    out = packed.join(names.join(drawn, "u"), "rid").select("row", F.posexplode("shards").alias("copy", "shard"), "u")
     order = _key(seed, "s", F.col("shard"), F.col("u"), F.col("copy"))
     return out.select("row", "shard", order.alias("o")).repartitionByRange("shard", "o").sortWithinPartitions("shard", "o").select("row.*")
