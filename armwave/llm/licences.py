@@ -110,7 +110,10 @@ MORE_PATTERNS: tuple[tuple[str, str], ...] = tuple((_OPEN + body, name) for body
     *((f"(gnu )?{full}{_V}{v}( only)?", f"{name}{v.split()[0] if v != '2 1' else '2-1'}-line")
       for full, name, versions in (("(affero general public license|agpl)", "agpl", ("3",)), ("(lesser general public license|lgpl)", "lgpl", ("2 1", "3")), ("(general public license|gpl)", "gpl", ("2", "3"))) for v in versions),
     ("mozilla public license( version| v)? ?2 0", "mpl2-line"),
-    ("(a |cc by 4 0|creative commons attribution 4 0)( international)?( license)?", "ccby4-line"),
+    ("(a )?(cc by 4 0|creative commons attribution 4 0)( international)?( license)?", "ccby4-line"),
+    ("(a )?(cc by sa 4 0|creative commons attribution sharealike 4 0)( international)?( license)?", "ccbysa4-line"),
+    ("(a )?(cc by nc 4 0|creative commons attribution noncommercial 4 0)( international)?( license)?", "ccbync4-line"),
+    ("(eclipse public license|epl)( version| v)? ?2 0", "epl2-line"), ("boost software license( version| v)? ?1 0", "bsl1-line"),
 )) + (("this source code form is subject to the terms of the mozilla public license( version| v) 2 0", "mpl2-line"),)
 # SPDX identifiers as written; their sentences keep the value.
 SPDX = tuple("""MIT ISC Apache-2.0 BSD-2-Clause BSD-3-Clause 0BSD GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later GPL-2.0 GPL-3.0 GPL-2.0+ GPL-3.0+
@@ -123,6 +126,7 @@ MORE_RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("isc-title", "copyright", "isc-grant"), "ISC"), (("isc-title", "isc-grant"), "ISC"),
     (("lgpl2-1-later",), "LGPL-2.1-or-later"), (("lgpl3-later",), "LGPL-3.0-or-later"), (("agpl3-later",), "AGPL-3.0-or-later"),
     (("isc-title",), "ISC"), (("isc-line",), "ISC"), (("bsd3-line",), "BSD-3-Clause"), (("bsd2-line",), "BSD-2-Clause"),
+    (("epl2-line",), "EPL-2.0"), (("bsl1-line",), "BSL-1.0"),
     (("lgpl2-1-line",), "LGPL-2.1-only"), (("lgpl3-line",), "LGPL-3.0-only"), (("agpl3-line",), "AGPL-3.0-only"),
 )
 # Line starts that begin a sentence of their own: list marks, of which "(c)" is none.

@@ -31,3 +31,12 @@ def test_wrapped_and_line_notices(spark):
     got = {r.doc_id: r.licences for r in licences.scan(df).collect()}
     wrong = [(t, got[i], name) for i, (t, name) in enumerate(rows) if got[i] != [name]]
     assert wrong == []
+
+
+def test_line_notices_with_open_subjects(spark):
+    cases = [("This article is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]), ("The figures are licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+             ("All maps are released under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+             ("This plugin is available under the terms of the Eclipse Public License 2.0.", ["EPL-2.0"]), ("It is distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+             ("The garden is open under a blue sky.", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(df).collect()} == {i: x for i, (_, x) in enumerate(cases)}
