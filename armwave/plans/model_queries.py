@@ -594,6 +594,13 @@ def permutation_test(spark, sf_dir):
     return models.permutation_stats(actual, permuted)
 
 
+@query("boosted_permutation_test", "L18 L19 L13 L7", None)
+def boosted_permutation_test(spark, sf_dir):
+    """1,000 permutations in each of 5 folds of the boosted pipeline, features prepared inside folds."""
+    growth = growing.boosted({"n_estimators": 100, "max_depth": 5, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8})
+    return models.permutation_stats(*ensembles.permutation_scores(_splits(spark, sf_dir), growth, 1000))
+
+
 @query("permuted_outcome", "L19", _V + """, v as (select visit_id, score from visits where score is not null),
 r as (select visit_id, row_number() over (order by visit_id) as i from v),
 h as (select score, row_number() over (order by md5('7|' || visit_id), visit_id) as i from v) select visit_id, score from r join h using (i)""")
