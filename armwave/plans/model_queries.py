@@ -596,9 +596,9 @@ def permutation_test(spark, sf_dir):
 
 @query("boosted_permutation_test", "L18 L19 L13 L7", None)
 def boosted_permutation_test(spark, sf_dir):
-    """1,000 permutations in each of 5 folds of the boosted pipeline, features prepared inside folds."""
+    """100 permutations in each of 5 folds of the boosted pipeline, features prepared inside folds."""
     growth = growing.boosted({"n_estimators": 100, "max_depth": 5, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8})
-    return models.permutation_stats(*ensembles.permutation_scores(_splits(spark, sf_dir), growth, 1000))
+    return models.permutation_stats(*ensembles.permutation_scores(_splits(spark, sf_dir), growth, 100))
 
 
 @query("permuted_outcome", "L19", _V + """, v as (select visit_id, score from visits where score is not null),
