@@ -1,8 +1,11 @@
-"""Smoothed n-gram scores: counts of three orders, interpolated token by token; no automaton is built or traversed.
+"""Smoothed n-gram scores by a weighted backoff automaton.
 
-With counts c and a prior of ``mu`` occurrences spread like the lower order, p(w | h) = (c(h, w) + mu p(w | h')) / (c(h) + mu). These are the
-scores of a weighted backoff automaton whose failure arcs weigh log10(mu / (c(h) + mu)), but there are no states or arcs here, and
-nothing is carried from token to token.
+With counts c and a prior of ``mu`` occurrences spread like the lower order, p(w | h) = (c(h, w) + mu p(w | h')) / (c(h) + mu). States are the
+histories that occur in training. A state has an arc for every word that followed it, of weight log10 p(w | h), to the longest history that
+ends in the word, and a failure arc to the history without its first word, of weight log10(mu / (c(h) + mu)): what the formula
+leaves of the lower order where c(h, w) = 0. The empty history has an arc for every word. A text starts in the state of its start
+signs, is read once from left to right, and its log probability is the sum of the weights of the arcs taken. Each
+block of texts gets the part of the automaton that its n-grams can reach; its texts are read side by side.
 
 Texts are packed into blocks of bounded size. A block asks for the counts of its distinct n-grams: sorted
 hashes, cut into ranges, go to the task of their range, which sums the counts of all blocks and sends back
@@ -29,6 +32,7 @@ from armwave.session import scratch_path
 BLOCK_BYTES = 12 << 20
 PRIORS = (None, 4000.0, 2.0)  # mu of one-word and two-word histories; also sets the order of the model
 END, START = np.uint64(0x9D5C0FB7A31E64D3), np.uint64(0x2B7E151628AED2A6)
+LANE = 512  # tokens of a text that are read in one go
 BITS = (64, 56)  # of the hashes of words, and of longer n-grams, of which there are most
 _U = np.uint64
 
@@ -147,6 +151,91 @@ def _read_numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint32).astype(np.int64)
 
 
+@dataclass
+class Automaton:
+    """Arcs sorted by state and word, weights and targets; failure arcs by state; arcs of the empty history (state 0) by word."""
+
+    words: int
+    arcs: np.ndarray
+    weight: np.ndarray
+    target: np.ndarray
+    fail: np.ndarray
+    fail_weight: np.ndarray
+    root_weight: np.ndarray
+    root_target: np.ndarray
+
+    @staticmethod
+    def of(b: Block, place: list[np.ndarray], counts: list[np.ndarray], lowest: np.ndarray, priors: tuple, texts: float) -> Automaton:
+        """From the training counts of a block's distinct n-grams; ``place`` is the n-gram of each token by order, ``texts`` the number of training texts.
+
+        State k below the order is the history of k start signs, then come the n-grams of one word, of two, and so on.
+        """
+        order, words, at = len(priors), len(counts[0]), np.arange(len(b.text)) - b.first[b.text]
+        base = np.cumsum([order, *map(len, counts[:-1])])
+        p, arcs, weight, target = lowest, [], [], []
+        fail, fail_weight = [np.zeros(1, np.int64), np.arange(order - 1)], [np.zeros(1), np.log10([priors[k] / (texts + priors[k]) for k in range(1, order)])]
+        for k in range(1, order):
+            end = np.zeros(len(counts[k]), np.int64)
+            end[place[k]] = np.arange(len(b.text))  # a token that ends the n-gram
+            opening, known = at[end] == 0, np.flatnonzero(counts[k] > 0)
+            shorter, history = place[k - 1][end], place[k - 1][end - 1]
+            p = (counts[k] + priors[k] * p[shorter]) / (np.where(opening, texts, counts[k - 1][history]) + priors[k])
+            source = np.where(opening, k, base[k - 1] + history)
+            to = base[k] + np.arange(len(end)) if k + 1 < order else base[k - 1] + shorter
+            arcs.append((source * words + place[0][end])[known])
+            weight.append(np.log10(p[known]))
+            target.append(to[known])
+            last = np.zeros(len(counts[k - 1]), np.int64)
+            last[place[k - 1]] = np.arange(len(b.text))
+            fail.append(np.zeros(len(last), np.int64) if k == 1 else base[k - 2] + place[k - 2][last])
+            fail_weight.append(np.log10(priors[k] / (counts[k - 1] + priors[k])))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        key = join(arcs, np.int64)
+        sort = np.argsort(key)
+        root = np.where((counts[0] > 0) & (order > 1), base[0] + np.arange(words), 0)
+        return Automaton(words, key[sort], join(weight, float)[sort], join(target, np.int64)[sort], np.concatenate(fail), np.concatenate(fail_weight), np.log10(lowest), root)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, weights) of reading one word in each state."""
+        out, weight = self.root_target[word], np.zeros(len(word))
+        left = np.arange(len(word))
+        while len(left):
+            inner = state > 0
+            weight[left[~inner]] += self.root_weight[word[left[~inner]]]
+            left, state = left[inner], state[inner]
+            key = state * self.words + word[left]
+            i = np.searchsorted(self.arcs, key)
+            hit = i < len(self.arcs)
+            hit[hit] = self.arcs[i[hit]] == key[hit]
+            out[left[hit]] = self.target[i[hit]]
+            weight[left[hit]] += self.weight[i[hit]]
+            left, state = left[~hit], state[~hit]
+            weight[left] += self.fail_weight[state]
+            state = self.fail[state]
+        return out, weight
+
+    def read(self, word: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
+        """Log probability of every text. Long texts are read in lanes; a later lane finds its state from the words just before it, which is all a state can hold."""
+        size = np.diff(np.append(first, len(word)))
+        lanes = -(-size // LANE)
+        text = np.repeat(np.arange(len(first)), lanes)
+        turn = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = first[text] + turn * LANE
+        length = np.minimum(LANE, size[text] - turn * LANE)
+        sort = np.argsort(-length, kind="stable")
+        text, turn, begin, length = text[sort], turn[sort], begin[sort], length[sort]
+        state = np.where(turn == 0, order - 1, 0)
+        later = np.flatnonzero(turn)
+        for back in range(order - 1, 0, -1):
+            state[later] = self.step(state[later], word[begin[later] - back])[0]
+        total = np.zeros(len(text))
+        live = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")  # lanes longer than each step
+        for j, n in enumerate(live.tolist()):
+            state, weight = self.step(state[:n], word[begin[:n] + j])
+            total[:n] += weight
+        return np.bincount(text, weights=total, minlength=len(first))
+
+
 def held_out(key: Column) -> Column:
     """True where crc32 of the key as text leaves 2 when divided by 7 (a null key counts as empty text)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -204,25 +293,22 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
         head = table.slice(0, 1).to_pylist()[0]
         b = _tokens(_unpack(head["file"], head["offset"], head["length"]), order)
         parts = sorted(zip(table.column("k").to_pylist(), table.column("range").to_pylist(), table.column("totals").to_pylist()), key=lambda x: x[:2])
-        counts = []
+        counts, place = [], []
         for k in range(order):
             of_order = [_read_numbers(t) for kk, _, t in parts if kk == k]
-            counts.append((np.concatenate(of_order) if of_order else np.zeros(0, np.int64))[_ask(b, k)[2]])
+            counts.append(np.concatenate(of_order) if of_order else np.zeros(0, np.int64))
+            place.append(_ask(b, k)[2])
         n_texts = len(b.first)
         ends = np.append(b.first[1:], len(b.text)) - 1
-        train_texts = float(counts[0][ends[0]])  # every training text has one end
+        train_texts = float(counts[0][place[0][ends[0]]])  # every training text has one end
         lowest = (counts[0] + 1) / (train_tokens + distinct + 1)
-        p = lowest
-        at = np.arange(len(b.text)) - b.first[b.text]
-        for k in range(1, order):
-            # Occurrences of each token's history: the n-gram of the order below that ends one token earlier.
-            history = np.roll(counts[k - 1], 1).astype(np.float64)
-            history[at == 0] = train_texts
-            p = (counts[k] + priors[k] * p) / (history + priors[k])
+        automaton = Automaton.of(b, place, counts, lowest, priors, train_texts)
+        total = automaton.read(place[0], b.first, order)
+        known, base = counts[0][place[0]] > 0, np.log10(lowest)[place[0]]
         add = lambda x: np.bincount(b.text, weights=x, minlength=n_texts)
         size = np.bincount(b.text, minlength=n_texts)
-        return pa.table([b.ids, pa.array(b.held), pa.array(size.astype(np.int64)), pa.array(add(counts[0] > 0).astype(np.int64)),
-                         pa.array(np.full(n_texts, train_tokens, np.int64)), pa.array(add(np.log10(lowest))), pa.array(add(np.log10(p)))],
+        return pa.table([b.ids, pa.array(b.held), pa.array(size.astype(np.int64)), pa.array(add(known).astype(np.int64)),
+                         pa.array(np.full(n_texts, train_tokens, np.int64)), pa.array(add(base)), pa.array(total)],
                         names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     # Answers are short, so blocks are dealt out by number and not by bytes.

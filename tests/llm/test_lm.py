@@ -54,3 +54,37 @@ def test_squeezed_hashes(keys):
     x = np.array(keys, dtype=np.uint64)
     if len(x):
         assert (lm._unsqueeze(lm._squeeze(x)) == x).all()
+
+
+def test_long_texts_and_other_orders(spark):
+    """Texts beyond a lane, repeats and unseen words, against the formula written out; models of one, two and four words of history."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(i)}" for i in draw.integers(0, 12, n) ** 2 // 9) for n in (1700, 3, 513, 512, 511, 1, 1025, 40)] + ["new words only", ""]
+    held = {1, 4, 8}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for priors in ((None,), (None, 3.0), lm.PRIORS, (None, 5.0, 2.0, 0.5)):
+        got = lm.score(docs, F.col("doc_id").isin(*held), priors=priors).toPandas().set_index("doc_id").score
+        grams, words = {}, {i: t.split() + ["</s>"] for i, t in enumerate(texts)}
+        for i, w in words.items():
+            full = ["<s>"] * (len(priors) - 1) + w
+            for at in range(len(w)):
+                for k in range(len(priors)):
+                    g = tuple(full[at + len(priors) - 1 - k: at + len(priors)])
+                    if i not in held:
+                        grams[g] = grams.get(g, 0) + 1
+        n_texts = len(texts) - len(held)
+        tokens = sum(c for g, c in grams.items() if len(g) == 1)
+        distinct = sum(len(g) == 1 for g in grams)
+
+        def p(g):
+            if len(g) == 1:
+                return (grams.get(g, 0) + 1) / (tokens + distinct + 1)
+            history = n_texts if set(g[:-1]) == {"<s>"} else grams.get(g[:-1], 0)
+            return (grams.get(g, 0) + priors[len(g) - 1] * p(g[1:])) / (history + priors[len(g) - 1])
+
+        for i, w in words.items():
+            full = ["<s>"] * (len(priors) - 1) + w
+            want = sum(np.log10(p(tuple(full[at: at + len(priors)]))) for at in range(len(w)))
+            assert got[i] == pytest.approx(want, rel=1e-9)
