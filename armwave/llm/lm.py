@@ -190,7 +190,7 @@ class Automaton:
             fail.append(np.zeros(len(last), np.int64) if k == 1 else base[k - 2] + place[k - 2][last])
             fail_weight.append(np.log10(priors[k] / (counts[k - 1] + priors[k])))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        key = join(arcs, np.int64)
+        key, arcs = join(arcs, np.int64), None
         sort = np.argsort(key)
         root = np.where((counts[0] > 0) & (order > 1), base[0] + np.arange(words), 0)
         return Automaton(words, key[sort], join(weight, float)[sort], join(target, np.int64)[sort], np.concatenate(fail), np.concatenate(fail_weight), np.log10(lowest), root)
@@ -297,12 +297,15 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
         for k in range(order):
             of_order = [_read_numbers(t) for kk, _, t in parts if kk == k]
             counts.append(np.concatenate(of_order) if of_order else np.zeros(0, np.int64))
-            place.append(_ask(b, k)[2])
+            place.append(_ask(b, k)[2].astype(np.int32))
+            b.grams[k] = b.grams[k][:0].copy()
+        del parts
         n_texts = len(b.first)
         ends = np.append(b.first[1:], len(b.text)) - 1
         train_texts = float(counts[0][place[0][ends[0]]])  # every training text has one end
         lowest = (counts[0] + 1) / (train_tokens + distinct + 1)
         automaton = Automaton.of(b, place, counts, lowest, priors, train_texts)
+        del place[1:], counts[1:]
         total = automaton.read(place[0], b.first, order)
         known, base = counts[0][place[0]] > 0, np.log10(lowest)[place[0]]
         add = lambda x: np.bincount(b.text, weights=x, minlength=n_texts)
