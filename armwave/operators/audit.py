@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armwave.operators.columns import cast_by_dictionary, code_texts, null_codes
 
+CELLS = 1 << 20  # cells and values that a task of pair_cells holds
+
 
 def profile(df: DataFrame, dictionary: DataFrame | None = None, approx: bool = False) -> DataFrame:
     """Non-null count, null share, distinct count and description of every column.
@@ -136,20 +140,72 @@ def search_dictionary(dictionary: DataFrame, words: Sequence[str], text: str = "
     return dictionary.where(F.col(text).rlike("(?i)" + "|".join(words)))
 
 
+def pair_cells(df: DataFrame, cols: Sequence[str], held: int = CELLS) -> DataFrame:
+    """(left, right, a, b, n): partial counts of value pairs of every two columns, nulls left out; a pair may come once per task.
+
+    Values of a batch are coded, cells of a column pair counted as numbers, and cells of a task summed up before they leave it. A task that
+    holds more than ``held`` cells after summing (columns that are nearly keys) hands them on and starts anew.
+    """
+    cols = list(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[dict] = [{} for _ in cols]
+        parts: list[np.ndarray] = []
+
+        def summed() -> np.ndarray:
+            x = np.concatenate(parts, axis=1)
+            x = x[:, np.lexsort(x[2::-1])]
+            head = np.flatnonzero(np.append(True, (x[:3, 1:] != x[:3, :-1]).any(axis=0)))
+            return np.vstack([x[:3, head], np.add.reduceat(x[3], head)])
+
+        def out(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            values = [np.array([*k, None], object) for k in known]
+            for first in range(0, x.shape[1], 1 << 16):
+                pair, a, b, n = x[:, first: first + (1 << 16)]
+                left, right = np.divmod(pair, len(cols))
+                texts = [pa.array([values[c][v] for c, v in zip(side.tolist(), codes.tolist())], pa.string()) for side, codes in ((left, a), (right, b))]
+                names = [pa.array(cols, pa.string()).take(pa.array(side)) for side in (left, right)]
+                yield pa.RecordBatch.from_arrays([*names, *texts, pa.array(n)], names=["left", "right", "a", "b", "n"])
+
+        for batch in batches:
+            coded = []
+            for own, column in zip(known, batch.columns):
+                d = column.dictionary_encode()
+                to = np.array([own.setdefault(v, len(own)) for v in d.dictionary.to_pylist()] + [-1])
+                coded.append(to[d.indices.fill_null(len(to) - 1).to_numpy(zero_copy_only=False)])
+            for i, a in enumerate(coded):
+                for j in range(i + 1, len(coded)):
+                    both = (a >= 0) & (coded[j] >= 0)
+                    width = len(known[j])
+                    cell = a[both] * width + coded[j][both]
+                    if len(known[i]) * width <= 4 * batch.num_rows:
+                        n = np.bincount(cell)
+                        cell = np.flatnonzero(n)
+                        n = n[cell]
+                    else:
+                        cell, n = np.unique(cell, return_counts=True)
+                    if len(cell):
+                        parts.append(np.vstack([np.full(len(cell), i * len(cols) + j), cell // width, cell % width, n]))
+            values = sum(map(len, known))
+            if sum(p.shape[1] for p in parts) + values > 2 * held:
+                parts = [summed()] if parts else []
+                if values + sum(p.shape[1] for p in parts) > held:
+                    for p in parts:
+                        yield from out(p)
+                    parts, known = [], [{} for _ in cols]
+        if parts:
+            yield from out(summed())
+
+    texts = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    return texts.mapInArrow(run, "left string, right string, a string, b string, n long")
+
+
 def top_assoc(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     """Column pairs with the highest Cramer's V.
 
-    Value pairs are counted first, so all later steps depend on distinct values, not on rows.
+    Value pairs are counted first, per task, so all that is shuffled depends on distinct values, not on rows.
     """
-    cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    entries = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("string").alias("a"),
-                 F.col(b).cast("string").alias("b")) for a, b in pairs]))
-    cells = (
-        df.select(entries.alias("e")).select("e.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("left", "right", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
+    cells = pair_cells(df, cols).groupBy("left", "right", "a", "b").agg(F.sum("n").cast("double").alias("n"))
     rows = cells.groupBy("left", "right", "a").agg(F.sum("n").alias("row_n"))
     columns = cells.groupBy("left", "right", "b").agg(F.sum("n").alias("col_n"))
     sizes = rows.groupBy("left", "right").agg(F.sum("row_n").alias("total"), F.count("a").alias("n_a"))
