@@ -8,7 +8,7 @@ from armwave.functions.numbers import fixed
 from armwave.operators import ordering
 from armwave.plans.base import VISITS_SQL, table, visits
 from armwave.plans.registry import query, sfix
-from armwave.session import scratch_path
+from armwave.session import scratch_path, side_by_side
 from armwave.sources import stores, tables
 
 _V = "with " + VISITS_SQL + " "
@@ -155,6 +155,16 @@ def append_twice(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("rows_of_several_writers", "S10", _RESULT_SQL + "select * from stored union select * from fresh")
+def rows_of_several_writers(spark, sf_dir):
+    """Four writers at the same time, two of them with the same rows."""
+    path = scratch_path(spark, "commits")
+    rows = _result_rows(spark, sf_dir)
+    parts = [rows.where("arm <> 'L'"), rows.where("arm in ('A', 'L')")] * 2
+    side_by_side(spark, [lambda new=new: stores.commit_rows(spark, path, new) for new in parts])
+    return stores.read_committed(spark, path)
+
+
 @query("drop_last_rows", "S11", """
 select o_orderkey, o_totalprice from orders where o_orderkey not in (select o_orderkey from orders order by o_orderkey desc limit 25)""")
 def drop_last_rows(spark, sf_dir):
