@@ -39,6 +39,8 @@ def embed(df: DataFrame, col: str, out: str = "vector", size: int = 256, encoder
 
 
 TILE_BYTES = 64 << 20  # of the similarities a task holds at once
+PLACE_BYTES = 16 << 20  # of the distances a task of the density clusters holds at once
+BLOCK_ROWS = 8192       # points of a block that meets others
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -174,83 +176,150 @@ def _apart(centres: np.ndarray, eps: float) -> np.ndarray:
 def near_edges(points: DataFrame, eps: float, pivots: int | None = None) -> DataFrame:
     """(u, v) links that connect exactly the pairs within ``eps``; points = (id, v), without equal vectors.
 
-    Every point has a home cell (its nearest pivot) and is copied to each cell whose pivot is at
-    most home distance + 2 eps away: by the triangle inequality a point within eps of x shares the
-    home cell of one of them. Points within eps/2 of their pivot are all within eps of each other;
-    they are linked to one of them instead of being compared, so a dense pile stays linear.
+    Every point has a home cell (its nearest pivot) and is not copied to others: cells are put into blocks, and two blocks meet in one task
+    if the triangle inequality lets any of their cells hold points within eps. Points within eps/2 of their pivot are all within eps of
+    each other; they are linked to one of them instead of being compared, so a dense pile stays linear.
     """
     n = points.count()
     if n == 0:
         return points.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+    spark, kind = points.sparkSession, dict(points.dtypes)["id"]
     size = pivots or min(4096, max(8, int(math.sqrt(n))))
     picked = points.orderBy(F.xxhash64("id"), "id").limit(size).collect()  # at most 4096 vectors
     centres = _apart(np.array([r["v"] for r in picked], dtype="float64"), eps)
-    shared = points.sparkSession.sparkContext.broadcast(centres)
-    kind = dict(points.dtypes)["id"]
+    shared = spark.sparkContext.broadcast(centres)
 
     def place(batches):
         c = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["v"].to_numpy()).astype("float64")
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :], 0.0))
-            home = d.argmin(axis=1)
-            own = d[np.arange(len(x)), home]
-            # small slack: the shortcut distance formula loses a few digits
-            i, j = np.nonzero(d <= own[:, None] + 2 * eps + 1e-6)
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[i], "v": [batch["v"].iloc[r] for r in i], "cell": j.astype("int32"),
-                                "gap": d[i, j], "home": home[i] == j, "core": own[i] <= eps / 2 - 1e-6})
-
-    cells = points.mapInPandas(place, f"id {kind}, v array<double>, cell int, gap double, home boolean, core boolean")
-    cells = cut_lineage(cells)
-    core = cells.where(F.col("home") & F.col("core"))
+            for at in range(0, len(batch), max(1, PLACE_BYTES // (8 * len(c)))):
+                part = batch.iloc[at: at + max(1, PLACE_BYTES // (8 * len(c)))]
+                x = np.stack(part["v"].to_numpy()).astype("float64")
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :], 0.0))
+                home = d.argmin(axis=1)
+                gap = d[np.arange(len(x)), home]
+                # small slack: the shortcut distance formula loses a few digits
+                yield pd.DataFrame({"id": part["id"], "v": part["v"], "cell": home.astype("int32"), "gap": gap, "core": gap <= eps / 2 - 1e-6})
+
+    cells = cut_lineage(points.mapInPandas(place, f"id {kind}, v array<double>, cell int, gap double, core boolean"))
+    core = cells.where("core")
     hub = core.groupBy("cell").agg(F.min("id").alias("u"))
     star = core.join(hub, "cell").where(F.col("id") != F.col("u")).select("u", F.col("id").alias("v"))
-    # a loose point is compared, in its home cell only, with every point copied there
-    loose = cells.where(~F.col("core") & F.col("home")).select("cell", "id", "v")
-    links = _block_links(loose, cells.select("cell", "id", "v"), eps)
-    # members of two piles: one of them must lie within 1.5 eps of the other pile's pivot
-    guests = cells.where(F.col("core") & ~F.col("home") & (F.col("gap") <= 1.5 * eps + 1e-6)).select("cell", "id", "v")
-    across = _block_links(guests, core.select("cell", "id", "v"), eps)
-    return star.unionByName(links).unionByName(across).distinct()
+    units = cells.groupBy("cell", "core").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()  # two per pivot
+    rows = min(BLOCK_ROWS, max(1024, n // spark.sparkContext.defaultParallelism))
+    return star.unionByName(_near_blocks(cells, units, centres, eps, rows)).distinct()
 
 
-def _block_links(left: DataFrame, right: DataFrame, eps: float, block: int = 1024) -> DataFrame:
-    """Links between left and right points of one cell that are within eps of each other.
+def _blocks(units: list, centres: np.ndarray, rows: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """Units (cell, core or not) dealt to blocks of about ``rows`` rows in the order of the widest direction of the pivots.
+
+    (cell, core, first block, number of blocks) of each unit, and unit, block and whether the block is one of several of a core, for every pair of unit and block.
+    """
+    mid = centres - centres.mean(axis=0)
+    along = mid @ np.linalg.eigh(mid.T @ mid)[1][:, -1]
+    dealt, block, filled, pairs = [], 0, 0, []
+    for i in sorted(range(len(units)), key=lambda i: (along[units[i]["cell"]], units[i]["cell"], units[i]["core"])):
+        u = units[i]
+        if filled and filled + u["n"] > rows:
+            block, filled = block + 1, 0
+        parts = -(-u["n"] // rows)
+        dealt.append((u["cell"], u["core"], block, parts))
+        pairs += [(i, block + k, parts > 1 and u["core"]) for k in range(parts)]
+        if parts > 1:
+            block, filled = block + parts, 0
+        else:
+            filled += u["n"]
+    unit, own, pile = (np.array(x) for x in zip(*pairs))
+    return dealt, unit, own, pile
+
+
+def _merged(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Smallest connected number of every node in place, after the links u - v."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
+def _linked(ids: np.ndarray, x: np.ndarray, y: np.ndarray, x_pile: np.ndarray, y_pile: np.ndarray, eps: float, shift: int) -> pd.DataFrame:
+    """A link to the first connected point for every point that is within ``eps`` of one of the other side; row j of y is point ``shift`` + j.
 
-    Both sides of a cell are cut into blocks of about ``block`` rows, and every pair of blocks is
-    one small group, so a crowded cell is many tasks. A group returns one link per point it
-    connects, not the pairs: the connections are the same and the output stays linear.
+    Pairs of one pile (a number from 0 on) are not compared.
     """
+    root, sq = np.arange(len(ids)), (y * y).sum(1)
+    step = max(1, PLACE_BYTES // (8 * max(1, len(y))))
+    for begin in range(0, len(x), step):
+        part = x[begin: begin + step]
+        i, j = np.nonzero((part * part).sum(1)[:, None] - 2 * part @ y.T + sq[None, :] <= eps * eps + 1e-6)
+        i += begin
+        fresh = (root[i] != root[j + shift]) & ((x_pile[i] < 0) | (x_pile[i] != y_pile[j]))
+        i, j = i[fresh], j[fresh]
+        for start in range(0, len(i), 65536):  # exact check of the candidates
+            p, q = i[start: start + 65536], j[start: start + 65536]
+            hit = ((x[p] - y[q]) ** 2).sum(1) <= eps * eps
+            _merged(root, p[hit], q[hit] + shift)
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return pd.DataFrame({"u": ids[root[linked]], "v": ids[linked]})
+
+
+def _block_links(left: DataFrame, right: DataFrame, eps: float, block: int = 1024) -> DataFrame:
+    """Links between left and right points of one cell that are within eps of each other, both sides cut into blocks of about ``block`` rows."""
     kind = dict(left.dtypes)["id"]
 
     def link(a, b):
         if not len(a) or not len(b):
             return pd.DataFrame({"u": [], "v": []})
         x, y = np.stack(a["v"].to_numpy()).astype("float64"), np.stack(b["o_v"].to_numpy()).astype("float64")
-        near = (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None, :] <= eps * eps + 1e-6
-        i, j = np.nonzero(near)
-        for start in range(0, len(i), 65536):  # exact check of the candidates
-            p, q = i[start:start + 65536], j[start:start + 65536]
-            near[p, q] = ((x[p] - y[q]) ** 2).sum(1) <= eps * eps
-        top = len(a)
-        own = np.arange(top)
-        while True:  # smallest left row reachable through near pairs
-            over = np.where(near, own[:, None], top).min(axis=0)
-            low = np.minimum(own, np.where(near, over[None, :], top).min(axis=1))
-            low = low[low]
-            if (low == own).all():
-                break
-            own = low
-        ids, other = a["id"].to_numpy(), b["o_id"].to_numpy()
-        hit = over < top
-        u, v = np.concatenate([ids[own], ids[over[hit]]]), np.concatenate([ids, other[hit]])
-        return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
+        made = _linked(np.concatenate([a["id"].to_numpy(), b["o_id"].to_numpy()]), x, y, np.full(len(x), -1), np.full(len(y), -1), eps, len(x))
+        return made[made["u"] != made["v"]]
 
     return block_pairs(left, right, "cell", ["id"], ["id"], link, f"u {kind}, v {kind}", block, block)
 
 
+def _near_blocks(cells: DataFrame, units: list, centres: np.ndarray, eps: float, rows: int) -> DataFrame:
+    """Links between points within eps of each other, block by block; pairs inside a core are left out.
+
+    A pair of blocks returns one link per point it connects, not the pairs: the connections are the same and the output stays linear.
+    """
+    spark, kind = cells.sparkSession, dict(cells.dtypes)["id"]
+    dealt, unit, own, pile = _blocks(units, centres, rows)
+    at = centres[[units[i]["cell"] for i in unit]]
+    radius = np.array([units[i]["radius"] for i in unit])
+    near = []
+    for b in range(int(own.max()) + 1):
+        mine = np.flatnonzero(own == b)
+        other = np.flatnonzero(own >= b)
+        gap = np.sqrt(np.maximum((at[mine] ** 2).sum(1)[:, None] - 2 * at[mine] @ at[other].T + (at[other] ** 2).sum(1)[None, :], 0.0)) - radius[mine][:, None] - radius[other][None, :]
+        meets = (gap <= eps + 1e-5) & ~(pile[mine][:, None] & (unit[mine][:, None] == unit[other][None, :]))
+        near += [(b, int(o)) for o in np.unique(own[other[meets.any(axis=0)]])]
+    if not near:
+        return cells.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(group["v"].to_numpy()).astype("float64")
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "ids": [group["id"].to_numpy()], "x": [v.tobytes()], "pile": [np.where(group["core"], group["cell"], -1).astype("int32").tobytes()]})
+
+    to = F.broadcast(spark.createDataFrame(dealt, "cell int, core boolean, first int, parts int"))
+    placed = cells.join(to, ["cell", "core"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+    packed = cut_lineage(placed.groupBy("block").applyInPandas(pack, f"block int, ids array<{kind}>, x binary, pile binary"))
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        ids = [np.asarray(i) for i in group["ids"]]
+        x = [np.frombuffer(x).reshape(len(i), -1) for x, i in zip(group["x"], ids)]
+        pile = [np.frombuffer(p, "int32") for p in group["pile"]]
+        return _linked(np.concatenate(ids), x[0], x[-1], pile[0], pile[-1], eps, len(ids[0]) if len(ids) > 1 else 0)
+
+    pairs = F.broadcast(spark.createDataFrame(near, "a int, b int"))
+    sent = packed.join(pairs, F.col("block") == F.col("a")).unionByName(packed.join(pairs, (F.col("block") == F.col("b")) & (F.col("a") != F.col("b"))))
+    return sent.groupBy("a", "b").applyInPandas(link, f"u {kind}, v {kind}")
+
+
 def density_clusters(df: DataFrame, key: str, vec: str, eps: float, min_size: int = 2, pivots: int | None = None) -> DataFrame:
     """(key, cluster): chains of neighbours within ``eps``; groups below ``min_size`` are noise (-1, null for text keys).
 

@@ -44,6 +44,26 @@ def test_small_blocks_give_the_same_links(spark):
     assert links.count() <= 120 * 2 * 8 * 8
 
 
+def test_points_are_not_copied_to_cells(spark, monkeypatch):
+    """With a radius that reaches every pivot a point stays one row; piles, blocks and tiny tiles give the clusters of all pairs."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(size=(150, 6)), 4 + rng.normal(size=(60, 6)) / 50, 4.4 + rng.normal(size=(40, 6)) / 50])
+    x /= np.where(np.arange(250) < 150, np.linalg.norm(x, axis=1), 1)[:, None]
+    monkeypatch.setattr(vectors, "PLACE_BYTES", 4096)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 30)
+    stored = []
+    cut = vectors.cut_lineage
+    monkeypatch.setattr(vectors, "cut_lineage", lambda df: stored.append(df.columns) or (lambda made: stored.append(made.count()) or made)(cut(df)))
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(250), "v": list(x)}))
+    roots = dict(vectors.components(vectors.near_edges(points, 0.9, 9)).toPandas().itertuples(index=False))
+    assert stored[1] == 250
+    own = np.arange(250)
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.81
+    while not np.array_equal(low := np.where(near, own[None, :], 250).min(axis=1), own):
+        own = low
+    assert [roots.get(i, i) for i in range(250)] == own.tolist() and 1 < len(set(own)) < 200
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = np.random.default_rng(0).permutation(n)
