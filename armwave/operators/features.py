@@ -238,6 +238,67 @@ def group_folds(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFrame
 
 # ---- nearest-neighbour imputation ---------------------------------------------------------------
 
+class _Donors:
+    """Donors by the columns they have, each kind sorted by a column when a question first asks for it."""
+
+    def __init__(self, d: np.ndarray, rank: np.ndarray) -> None:
+        self.d, self.rank, self.have = d, rank, ~np.isnan(d)
+        self.kinds, kind = np.unique(self.have, axis=0, return_inverse=True) if len(d) else (self.have, np.zeros(0, int))
+        self.rows = [np.flatnonzero(kind.ravel() == i) for i in range(len(self.kinds))]
+        self.sorted: dict[tuple[int, int], tuple] = {}
+        finite = np.where(np.isfinite(d), d, 0.0)
+        with np.errstate(over="ignore"):
+            self.spread = [np.nan_to_num(np.std(finite[own], axis=0)) for own in self.rows]
+
+    def by(self, kind: int, column: int) -> tuple:
+        """(row numbers, column, all columns with 0 for missing ones), in the order of the column."""
+        if (kind, column) not in self.sorted:
+            own = self.rows[kind]
+            own = own[np.argsort(self.d[own, column], kind="stable")]
+            self.sorted[kind, column] = own, self.d[own, column], np.where(self.have[own], self.d[own], 0.0)
+        return self.sorted[kind, column]
+
+    def best(self, q: np.ndarray, seen: np.ndarray, target: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest donors of a target column and their distances, smallest key first on ties."""
+        rows, dists = [np.zeros(0, int)], [np.zeros(0)]
+        for kind, have in enumerate(self.kinds):
+            shared = have & seen
+            n = int(shared.sum())
+            if not have[target] or not n:
+                continue
+            column = int(np.flatnonzero(shared)[self.spread[kind][shared].argmax()])
+            own, along, filled = self.by(kind, column)
+
+            def distances(a, b, filled=filled, shared=shared, n=n):
+                with np.errstate(invalid="ignore", over="ignore"):
+                    gap = np.where(shared[seen], filled[a:b, seen] - q[seen], 0.0)
+                    return (gap * gap).sum(axis=1) * len(q) / n
+
+            at, width = int(np.searchsorted(along, q[column])), max(16, 4 * k)
+            while True:  # a window with k donors bounds the k-th distance
+                a, b = max(0, at - width), min(len(own), at + width)
+                dist = distances(a, b)
+                fine = np.isfinite(dist)
+                if fine.sum() >= k or b - a == len(own):
+                    break
+                width *= 4
+            if fine.sum() >= k:
+                # slack for rounding: what is looked at in vain costs nothing
+                reach = np.sqrt(np.partition(dist[fine], k - 1)[k - 1] * n / len(q)) * (1 + 1e-9) + 1e-9 * abs(q[column])
+                c, e = np.searchsorted(along, q[column] - reach, "left"), np.searchsorted(along, q[column] + reach, "right")
+                if c < a or e > b:
+                    a, b = int(min(a, c)), int(max(b, e))
+                    dist = distances(a, b)
+            fine = np.flatnonzero(np.isfinite(dist))
+            if len(fine) > k:
+                fine = fine[dist[fine] <= np.partition(dist[fine], k - 1)[k - 1]]
+            rows.append(own[a + fine])
+            dists.append(dist[fine])
+        row, dist = np.concatenate(rows), np.concatenate(dists)
+        order = np.lexsort((self.rank[row], dist))[:k]
+        return row[order], dist[order]
+
+
 def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, max_bytes: int = 32 << 20) -> DataFrame:
     """Fill nulls of ``cols`` with the mean of the k nearest rows that have a value there.
 
@@ -246,6 +307,7 @@ def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, max_byt
     chosen (Spark applies that limit before the shuffle), and equal incomplete rows are one question.
     Donors that fit ``max_bytes`` are broadcast; otherwise questions and donors are compared block by
     block on the cluster. Each comparison keeps k donors per question and column: there is no pair table.
+    Donors are sorted by the widest shared column, and a question looks at those whose gap in this column alone does not exceed its k-th distance.
     """
     cols = list(cols)
     p = len(cols)
@@ -258,22 +320,14 @@ def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, max_byt
     schema = ", ".join(f"{c} double" for c in names) + ", target int, distance double, donor " + dict(df.dtypes)[key] + ", value double"
 
     def nearest(questions, d, ids):
-        have = ~np.isnan(d)
         rank = np.unique(ids, return_inverse=True)[1]  # keys of any type, in their order
-        filled = np.where(have, d, 0.0)
+        sorted_donors = _Donors(d, rank)
         out = []
         for q in questions:
             seen = ~np.isnan(q)
-            both = have[:, seen]
-            shared = both.sum(axis=1)
-            gap = np.where(both, filled[:, seen] - q[seen], 0.0)
-            dist = np.where(shared > 0, (gap * gap).sum(axis=1) * p / np.maximum(shared, 1), np.inf)
             for t in np.flatnonzero(~seen):
-                usable = np.flatnonzero(have[:, t] & np.isfinite(dist))
-                if len(usable) > k:
-                    usable = usable[dist[usable] <= np.partition(dist[usable], k - 1)[k - 1]]
-                best = usable[np.lexsort((rank[usable], dist[usable]))][:k]
-                out += [(*q, int(t), dist[i], ids[i], d[i, t]) for i in best]
+                best, dist = sorted_donors.best(q, seen, t, k)
+                out += [(*q, int(t), x, ids[i], d[i, t]) for i, x in zip(best, dist)]
         return pd.DataFrame(out, columns=[*names, "target", "distance", "donor", "value"])
 
     if donors.count() * (p + 1) * 8 <= max_bytes:
@@ -284,7 +338,8 @@ def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, max_byt
             for batch in batches:
                 yield nearest(batch.to_numpy(dtype="float64"), *block.value)
 
-        found = asked.mapInPandas(compare_batches, schema)
+        tasks = 4 * df.sparkSession.sparkContext.defaultParallelism  # few bytes, much work
+        found = asked.repartition(tasks, *names).mapInPandas(compare_batches, schema)
     else:
         def compare_blocks(x, y):
             return nearest(x[names].to_numpy(dtype="float64"), y[[f"o_{c}" for c in cols]].to_numpy(dtype="float64"), y["o__key"].to_numpy())

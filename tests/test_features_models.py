@@ -175,3 +175,34 @@ def test_text_keys(spark):
     dotted = df.withColumnRenamed("a", "a.b")
     assert audit.profile(dotted).count() == 4 and audit.profile(dotted, approx=True).count() == 4
     assert {r["column"] for r in audit.verify_audit(dotted, [4]).collect()} == {"a.b"} | set()
+
+
+def test_nearest_donors_are_looked_up(monkeypatch):
+    """Sorted donors give the neighbours of a full comparison, ties by rank, missing and infinite values included, and few donors are read."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    d = np.column_stack([rng.normal(size=6000) * 40, rng.integers(0, 7, 6000), rng.integers(0, 3, 6000) / 2]).astype(float)
+    d[rng.random(d.shape) < 0.1] = np.nan
+    d[:3, 0] = np.inf
+    rank = rng.permutation(6000)
+    donors = features._Donors(d, rank)
+    have, p, k = ~np.isnan(d), 3, 5
+    asked = [np.array(q, float) for q in ([np.nan, 3, 1], [12.5, np.nan, 0.5], [7.25, 2, np.nan], [np.nan, np.nan, 0], [-500, np.nan, np.nan], [np.inf, np.nan, 1])]
+    for q in asked:
+        seen = ~np.isnan(q)
+        both = have[:, seen]
+        shared = both.sum(axis=1)
+        with np.errstate(invalid="ignore"):
+            gap = np.where(both, np.where(have, d, 0.0)[:, seen] - q[seen], 0.0)
+            dist = np.where(shared > 0, (gap * gap).sum(axis=1) * p / np.maximum(shared, 1), np.inf)
+        for target in np.flatnonzero(~seen):
+            usable = np.flatnonzero(have[:, target] & np.isfinite(dist))
+            best = usable[np.lexsort((rank[usable], dist[usable]))][:k]
+            row, far = donors.best(q, seen, target, k)
+            assert row.tolist() == best.tolist() and far.tolist() == dist[best].tolist()
+    read = []
+    isfinite = np.isfinite
+    monkeypatch.setattr(np, "isfinite", lambda x: read.append(np.size(x)) or isfinite(x))
+    donors.best(asked[1], ~np.isnan(asked[1]), 1, k)
+    assert 0 < sum(read) < 3000
