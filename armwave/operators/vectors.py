@@ -95,9 +95,13 @@ def _against(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec: str, keep: i
         if not len(x) or not len(y):
             return pd.DataFrame({"a_id": [], "b_id": [], "similarity": []})
         y = y.sort_values("o_id")
-        return score(x["id"].to_numpy(), _unit(x["v"]), y["o_id"].to_numpy(), _unit(y["o_v"]))
+        own, ids, m = x["id"].to_numpy(), y["o_id"].to_numpy(), _unit(y["o_v"])
+        step = max(1, TILE_BYTES // (8 * len(ids)))
+        return pd.concat([score(own[at: at + step], _unit(x["v"].iloc[at: at + step]), ids, m) for at in range(0, len(own), step)], ignore_index=True)
 
-    rows = min(max(1, max_bytes // (size["d"] * 8)), math.isqrt(TILE_BYTES // 8))
+    # max_bytes is the limit of a broadcast; a block is as large as a task may hold, since every block travels to all blocks of the other side
+    every = keep is None and min_sim is None  # all pairs of two blocks leave the task
+    rows = min(math.isqrt(TILE_BYTES // 8) if every else BLOCK_ROWS, max(1, TILE_BYTES // (8 * max(1, size["d"]))))
     return block_pairs(left.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0)), "cell", ["id"], ["id"],
                        score_blocks, schema, rows, rows)
 

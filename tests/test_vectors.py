@@ -88,6 +88,24 @@ def test_best_match(spark, k, max_bytes):
     assert got.groupby("a_id").b_id.nunique().eq(k).all()
 
 
+def test_blocks_of_matches_do_not_follow_the_broadcast_limit(spark, monkeypatch):
+    """Sides beyond a small broadcast limit meet in few blocks; blocks and tiles of any size give the matches of all pairs."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(300, 5))
+    a = spark.createDataFrame(pd.DataFrame({"id": np.arange(120), "vector": list(x[:120])}))
+    b = spark.createDataFrame(pd.DataFrame({"id": np.arange(120, 300), "vector": list(x[120:])}))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = 120 + (unit[:120] @ unit[120:].T).argmax(axis=1)
+    sent, meet = [], vectors.block_pairs
+    monkeypatch.setattr(vectors, "block_pairs", lambda *args: sent.append(args[-2:]) or meet(*args))
+    for rows, tile in ((vectors.BLOCK_ROWS, vectors.TILE_BYTES), (50, 4000)):
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(vectors, "TILE_BYTES", tile)
+        got = vectors.best_match(a, b, "id", "id", max_bytes=64).toPandas().sort_values("a_id")
+        assert got.b_id.tolist() == want.tolist()
+    assert sent[0][0] >= 300 and sent[1] == (50, 50)
+
+
 def test_cosine_pairs_and_threshold(spark):
     a = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "id long, vector array<double>")
     pairs = vectors.cosine_pairs(a, a, "id", "id")
