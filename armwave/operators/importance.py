@@ -3,6 +3,9 @@
 Every feature of a tree maps a value to the set of leaves that the tree's tests on this feature leave open. The first leaf in the
 intersection of all features' sets is where a row ends. A shuffled feature exchanges one factor, so the sets of the
 other features are intersected once per row and tree, and what the trees without the feature say is reused.
+
+Trees only see between which thresholds of the model a value lies (or which category it is). Rows are coded so before they are shuffled, and
+of the rows that a task holds, those of equal codes meet the trees once, as do equal pairs of a row's codes and the partner's code of a feature.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armwave.operators.ordering import row_index
-from armwave.session import scratch_path
+from armwave.session import cut_lineage, scratch_path
 
 WORDS = 1 << 21  # 64-bit words of leaf sets that a task holds at a time
+HELD = 1 << 19   # rows that a task compares at a time
 _PARTIAL = "repeat int, feature int, n long, se double"
 _PARTIAL_ARROW = pa.schema([("repeat", pa.int32()), ("feature", pa.int32()), ("n", pa.int64()), ("se", pa.float64())])
 
@@ -120,50 +124,109 @@ def stored_trees(spark: SparkSession, model: Model) -> list[Tree]:
 
 
 
-def predictions(trees: list[Tree], x: np.ndarray, partner: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Predictions of the rows, and per feature that any tree tests those with the partner's value in its place."""
-    total = np.zeros(len(x))
-    changed: dict[int, np.ndarray] = {f: np.zeros(len(x)) for f in sorted({f for t in trees for f in t.features})}
-    for t in trees:
-        if not t.features:
-            total += t.weight * t.values[0]
-            continue
-        step = max(1, WORDS // (t.words * (len(t.features) + 2)))
-        for a in range(0, len(x), step):
-            part = slice(a, a + step)
-            own = [(f, table, table.sets(x[part, f])) for f, table in t.features.items()]
-            after = [own[-1][2]]  # intersections of the last sets
-            for _, _, sets in own[-2::-1]:
-                after.append(after[-1] & sets)
-            base = t.values[first_set(after[-1])]
-            total[part] += t.weight * base
-            before = None
-            for i, (f, table, sets) in enumerate(own):
-                rest = table.sets(partner[part, f])
-                if before is not None:
-                    rest = rest & before
-                if i + 1 < len(own):
-                    rest = rest & after[len(own) - 2 - i]
-                changed[f][part] += t.weight * (t.values[first_set(rest)] - base)
-                before = sets if before is None else before & sets
-    return total, {f: total + delta for f, delta in changed.items()}
+def predictions(trees: list[Tree] | Coded, x: np.ndarray, partner: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Predictions of the rows (of values or codes), and per feature that any tree tests those with the partner's value in its place.
+
+    Rows of equal codes meet the trees once, and so do rows of equal codes whose partners have the same code of the feature.
+    """
+    coded = Coded(trees) if isinstance(trees, list) else trees
+    x, partner = (v if v.dtype == np.uint16 else coded.of(v) for v in (x, partner))
+    distinct, of = coded.numbers(x)
+    total, changed = coded.predictions(distinct), {}
+    for at, f in enumerate(coded.slots):
+        pair, which = np.unique(of * coded.sizes[at] + partner[:, at], return_inverse=True)
+        was, new = np.divmod(pair, coded.sizes[at])
+        moved = np.flatnonzero(distinct[was, at] != new)
+        swapped = distinct[was[moved]]
+        swapped[:, at] = new[moved]
+        again, same = coded.numbers(swapped)
+        values = total[was]
+        values[moved] = coded.predictions(again)[same]
+        changed[f] = values[which.ravel()]
+    return total[of], changed
+
+
+class Coded:
+    """The trees over codes: for every feature that they test, the number of the model's thresholds below a value, or its category."""
+
+    def __init__(self, trees: list[Tree]) -> None:
+        self.slots = sorted({f for t in trees for f in t.features})
+        self.plain = sum(t.weight * t.values[0] for t in trees if not t.features)
+        self.limits: list[np.ndarray | int] = []
+        for f in self.slots:
+            tables = [t.features[f] for t in trees if f in t.features]
+            self.limits.append(np.unique(np.concatenate([c.thresholds for c in tables])) if hasattr(tables[0], "thresholds") else max(len(c.open) for c in tables) - 1)
+        # one value for every code; the last category stands for all others
+        stands = [np.append(m, np.inf) if isinstance(m, np.ndarray) else np.append(np.arange(m), -1.0) for m in self.limits]
+        self.sizes = [len(v) for v in stands]
+        self.trees = [(t, [(self.slots.index(f), table.sets(stands[self.slots.index(f)])) for f, table in t.features.items()]) for t in trees if t.features]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Codes (rows x tested features) of rows of values."""
+        out = np.empty((len(x), len(self.slots)), np.uint16)
+        for i, (f, limits) in enumerate(zip(self.slots, self.limits)):
+            if isinstance(limits, np.ndarray):
+                out[:, i] = np.searchsorted(limits, x[:, f], side="left")
+            else:
+                known = (x[:, f] >= 0) & (x[:, f] < limits) & (x[:, f] == np.floor(x[:, f]))
+                out[:, i] = np.where(known, x[:, f], limits)
+        return out
+
+    def numbers(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the distinct rows of codes, which of them each row is)."""
+        if not len(codes):
+            return codes, np.zeros(0, np.int64)
+        whole, count = np.zeros(len(codes), np.int64), 1
+        for i, size in enumerate(self.sizes):
+            if count * size >= 1 << 62:  # numbered anew before they overflow
+                whole = np.unique(whole, return_inverse=True)[1].ravel()
+                count = int(whole.max()) + 1
+            whole, count = whole * size + codes[:, i], count * size
+        _, first, of = np.unique(whole, return_index=True, return_inverse=True)
+        return codes[first], of.ravel()
+
+    def _parts(self, words: int, n: int, more: int) -> Iterator[slice]:
+        step = max(1, WORDS // (words * more))
+        return (slice(a, a + step) for a in range(0, n, step))
+
+    def predictions(self, codes: np.ndarray) -> np.ndarray:
+        out = np.full(len(codes), float(self.plain))
+        for t, tables in self.trees:
+            for part in self._parts(t.words, len(codes), 3):
+                own = tables[0][1][codes[part, tables[0][0]]]
+                for i, table in tables[1:]:
+                    own = own & table[codes[part, i]]
+                out[part] += t.weight * t.values[first_set(own)]
+        return out
 
 
 def _error_sums(trees: list[Tree], n_features: int, repeats: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task: error sums by feature and repeat, of rows of values (arrays) or of codes (bytes)."""
+    coded = Coded(trees)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, se = np.zeros(repeats, np.int64), np.zeros((n_features + 1, repeats))  # the last line: nothing shuffled
-        for b in batches:
-            if not b.num_rows:
-                continue
-            r, y = b.column("repeat").to_numpy(), b.column("_y").to_numpy()
-            x, p = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("_x", "_p"))
-            total, changed = predictions(trees, x, p)
-            sums = lambda v: np.bincount(r, (y - v) ** 2, repeats)  # noqa: B023,E731
-            n += np.bincount(r, minlength=repeats)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def meet() -> None:
+            r, y, x, p = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            sums = lambda v: np.bincount(r, (y - v) ** 2, repeats)
+            total, changed = predictions(coded, x, p)
+            n[:] += np.bincount(r, minlength=repeats)
             plain = sums(total)
             for f in range(n_features):
                 se[f] += sums(changed[f]) if f in changed else plain
             se[n_features] += plain
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append((b.column("repeat").to_numpy(), b.column("_y").to_numpy(), *(_codes(b.column(c), coded) for c in ("_x", "_p"))))
+            if sum(len(h[0]) for h in held) >= HELD:
+                meet()
+        if held:
+            meet()
         seen = np.flatnonzero(n)
         f, k = (a.ravel() for a in np.meshgrid(np.arange(n_features + 1), seen, indexing="ij"))
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(n[k]), pa.array(se[f, k])], schema=_PARTIAL_ARROW)
@@ -171,6 +234,12 @@ def _error_sums(trees: list[Tree], n_features: int, repeats: int) -> Callable[[I
     return run
 
 
+def _codes(column: pa.Array, coded: Coded) -> np.ndarray:
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), len(coded.slots))
+    return coded.of(column.flatten().to_numpy().reshape(len(column), -1))
+
+
 def shuffled_drop(df: DataFrame, model: Model, n_features: int, key: str, label: str = "label", features: str = "features",
                   repeats: int = 10, seed: int = 42) -> DataFrame:
     """(feature, importance, sd): R2 drop per feature when it is shuffled over the given rows, mean and SD over repeats.
@@ -181,8 +250,16 @@ def shuffled_drop(df: DataFrame, model: Model, n_features: int, key: str, label:
     the driver: a tree of L leaves takes at most L * L / 8 bytes, which suits trees of some thousand leaves.
     """
     trees = df.sparkSession.sparkContext.broadcast(stored_trees(df.sparkSession, model))
-    base = df.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = Coded(trees.value)
+        for b in batches:
+            codes = [c.tobytes() for c in _codes(b.column("_x"), coded)] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_y"), pa.array(codes, pa.binary())], names=["_k", "_y", "_x"])
+
+    rows = df.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(
         F.col(key).alias("_k"), F.col(label).cast("double").alias("_y"), vector_to_array(features).alias("_x"))
+    base = cut_lineage(rows.mapInArrow(code, f"_k {dict(rows.dtypes)['_k']}, _y double, _x binary"))
     every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
     at = row_index(base, "_k", "_k", "_at").select(every, "_at", "_y", "_x")
     mixed = base.select(every, "_k", F.col("_x").alias("_p")).withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), F.col("repeat"), F.col("_k")), F.lit(1 << 50)))

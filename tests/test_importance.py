@@ -91,3 +91,30 @@ def test_odd_rows(spark, rows):
     np.testing.assert_allclose(got.importance, want.importance, atol=1e-10)
     equal = importance.shuffled_drop(rows.withColumn("label", F.lit(1.0)), model, 5, "id", repeats=2).toPandas()
     assert equal.importance.isna().all()
+
+
+def test_rows_of_equal_codes_meet_the_trees_once(spark, rows, monkeypatch):
+    """However many rows there are, the trees are asked for distinct codes only, and rows are shuffled as two bytes a tested feature."""
+    import pyarrow as pa
+
+    model = ESTIMATORS["forest"]().fit(rows)
+    trees, asked = importance.stored_trees(spark, model), []
+    real = importance.first_set
+    monkeypatch.setattr(importance, "first_set", lambda sets: asked.append(len(sets)) or real(sets))
+    x = np.array([r.x for r in rows.select(vector_to_array("features").alias("x")).collect()])
+    rng = np.random.default_rng(5)
+    work = []
+    for times in (1, 8):
+        wide = np.tile(x, (times, 1))
+        batch = pa.RecordBatch.from_pydict({"repeat": pa.array(np.zeros(len(wide), np.int32)), "_y": pa.array(np.zeros(len(wide))), "_x": pa.array(wide.tolist()), "_p": pa.array(wide.tolist())})
+        asked.clear()
+        (sums,) = importance._error_sums(trees, 5, 1)(iter([batch]))
+        work.append((sum(asked), sums.column("n").to_pylist()[0]))
+    assert work[0][0] == work[1][0] and work[1][1] == 8 * work[0][1]
+    coded = importance.Coded(trees)
+    some = x[rng.permutation(len(x))]
+    some[:3, 0] = np.inf, -np.inf, np.nan
+    a, b = importance.predictions(trees, x, some), importance.predictions(coded, coded.of(x), coded.of(some))
+    np.testing.assert_array_equal(a[0], b[0])
+    for f in a[1]:
+        np.testing.assert_array_equal(a[1][f], b[1][f])
