@@ -143,15 +143,15 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange("g", "id").sortWithinPartitions("g", "id").mapInArrow(run, postings.schema)
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, again: DataFrame, width: int, percent: int, made: list[DataFrame] | None = None) -> DataFrame:
-    """The pairs (a, b) whose whole texts reach the threshold, stored. Only texts of ids in a pair are moved.
+def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int, made: list[DataFrame] | None = None) -> DataFrame:
+    """The pairs (a, b) whose whole texts reach the threshold, stored. Only texts of ids in a pair are kept; equal rows (id, t) are one.
 
-    Rows (id, t) that are equal are compared once; ``again`` has the ids that more than one row has, so others need not be compared to tell.
+    Rows are dealt out by id once, which serves both the choice and the removal of equal rows. The hint keeps that plan at any size:
+    the ids grow with the input, so they are not to be broadcast.
     """
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    own = rows.join(ids, "id", "left_semi")
-    texts = stored(own.join(again, "id", "left_anti").unionByName(own.join(again, "id", "left_semi").distinct()), "texts", "zstd")
+    texts = stored(rows.join(ids.hint("merge"), "id", "left_semi").distinct(), "texts", "zstd")
     links = stored(_verified(pairs, texts, width, percent), "verified", made=made)
     dropped(pairs)
     dropped(texts)
@@ -207,13 +207,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     reps = same.select(F.col("rep").alias("id"), "n").distinct()
     postings = stored(postings.join(reps, ["id", "n"], "left_semi"), "postings")
     present = postings.select("id").distinct()
-    again = stored(profile.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "again", made=made)
 
     stars = (known.join(present, "id", "left_semi").select("id", "n", F.posexplode("sketch").alias("k", "h")))
     hubs = stars.groupBy("k", "h").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     first = (stars.join(hubs, ["k", "h"]).where((F.col("id") != F.col("hub.id")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
              .select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct())
-    star_links = _linked(first, rows, again, width, percent, made)
+    star_links = _linked(first, rows, width, percent, made)
     label = components(star_links)
     at = stored(postings.join(label, "id", "left").select("g", "id", "n", "pos", F.coalesce("root", "id").alias("label")), "labelled", made=made)
     dropped(postings)
@@ -233,7 +232,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
                .groupBy("a", "b", "overlap").agg(F.count(F.lit(1)).alias("c"), F.min("left").alias("left")))
     # All n-grams in common up to the last one seen are counted; no more can follow than either text has left.
     pairs = counted.where("c + left >= overlap").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    links = star_links.unionByName(_linked(pairs, rows, again, width, percent, made))
+    links = star_links.unionByName(_linked(pairs, rows, width, percent, made))
     root = components(links)
 
     named = same.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("p1", "p2", "n", F.coalesce("root", "rep").alias("component_id"))
