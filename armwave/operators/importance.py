@@ -1,4 +1,4 @@
-"""Permutation importance of Spark's tree ensembles by sets of leaves: no vector is copied per feature.
+"""Permutation importance of tree ensembles (Spark's, or forests of :mod:`growing`) by sets of leaves: no vector is copied per feature.
 
 Every feature of a tree maps a value to the set of leaves that the tree's tests on this feature leave open. The first leaf in the
 intersection of all features' sets is where a row ends. A shuffled feature exchanges one factor, so the sets of the
@@ -10,7 +10,7 @@ of the rows that a task holds, those of equal codes meet the trees once, as do e
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,7 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionMode
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from armwave.operators.growing import Nodes
 from armwave.operators.ordering import row_index
 from armwave.session import cut_lineage, scratch_path
 
@@ -91,10 +92,7 @@ def leaf_sets(nodes: pd.DataFrame, weight: float) -> Tree:
         lost = (leaves >= own.left.to_numpy()[:, None]) & (leaves < own.right.to_numpy()[:, None])  # by going right
         k = int(own.categories.iloc[0])
         if k < 0:
-            t = np.array([v[0] for v in own.test])
-            order = np.argsort(t, kind="stable")
-            gone = np.logical_or.accumulate(lost[order], axis=0)
-            features[int(f)] = Cuts(t[order], set_bits(~np.vstack([np.zeros((1, len(leaves)), bool), gone])))
+            features[int(f)] = _cut_sets(np.array([v[0] for v in own.test]), lost)
         else:
             gone = np.zeros((k + 1, len(leaves)), bool)
             for test, left_leaves in zip(own.test, lost):
@@ -106,6 +104,13 @@ def leaf_sets(nodes: pd.DataFrame, weight: float) -> Tree:
     return Tree(weight, nodes.prediction.to_numpy()[ends], features)
 
 
+def _cut_sets(t: np.ndarray, lost: np.ndarray) -> Cuts:
+    """Leaf sets from thresholds and the leaves that going right at each of them loses."""
+    order = np.argsort(t, kind="stable")
+    gone = np.logical_or.accumulate(lost[order], axis=0)
+    return Cuts(t[order], set_bits(~np.vstack([np.zeros((1, lost.shape[1]), bool), gone])))
+
+
 def stored_trees(spark: SparkSession, model: Model) -> list[Tree]:
     """Leaf sets of a fitted tree, forest or boosted model, read from its stored form (one row per node)."""
     path = scratch_path(spark, "model")
@@ -123,6 +128,27 @@ def stored_trees(spark: SparkSession, model: Model) -> list[Tree]:
     return [leaf_sets(own, weights[int(t)]) for t, own in nodes.groupby("treeID")]
 
 
+def grown_trees(trees: Sequence[Nodes], cuts: Sequence[np.ndarray]) -> list[Tree]:
+    """Leaf sets of a grown forest; ``cuts`` are the upper ends of the bins of every feature (``growing.Table.cuts``)."""
+    made = []
+    for t in trees:
+        order, rest = [], [0]
+        while rest:  # preorder
+            n = rest.pop()
+            order.append(n)
+            if t.feature[n] >= 0:
+                rest += [int(t.right[n]), int(t.left[n])]
+        number = np.full(len(t.feature), -1)
+        number[order] = np.arange(len(order))
+        own = np.array(order)
+        ends = t.feature[own] < 0
+        leaves, inner = number[own[ends]], own[~ends]
+        lost = (leaves >= number[t.left[inner]][:, None]) & (leaves < number[t.right[inner]][:, None])  # by going right
+        tested = t.feature[inner]
+        features = {int(f): _cut_sets(cuts[f][t.cut[inner[tested == f]]], lost[tested == f]) for f in np.unique(tested)}
+        made.append(Tree(1.0 / len(trees), t.value[own[ends]], features))
+    return made
+
 
 def predictions(trees: list[Tree] | Coded, x: np.ndarray, partner: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Predictions of the rows (of values or codes), and per feature that any tree tests those with the partner's value in its place.
@@ -132,20 +158,32 @@ def predictions(trees: list[Tree] | Coded, x: np.ndarray, partner: np.ndarray) -
     coded = Coded(trees) if isinstance(trees, list) else trees
     x, partner = (v if v.dtype == np.uint16 else coded.of(v) for v in (x, partner))
     distinct, of = coded.numbers(x)
-    total, changed = coded.predictions(distinct), {}
-    for at, f in enumerate(coded.slots):
-        pair, which = np.unique(of * coded.sizes[at] + partner[:, at], return_inverse=True)
+    pairs, moves = [], []
+    for at in range(len(coded.slots)):
+        pair, which = _numbered(of * coded.sizes[at] + partner[:, at], len(distinct) * coded.sizes[at])
         was, new = np.divmod(pair, coded.sizes[at])
         moved = np.flatnonzero(distinct[was, at] != new)
-        swapped = distinct[was[moved]]
-        swapped[:, at] = new[moved]
-        again, same = coded.numbers(swapped)
+        pairs.append((was, moved, which))
+        moves.append((was[moved], new[moved]))
+    total, again = coded.predictions(distinct, moves)
+    changed = {}
+    for f, (was, moved, which), own in zip(coded.slots, pairs, again):
         values = total[was]
-        values[moved] = coded.predictions(again)[same]
-        changed[f] = values[which.ravel()]
+        values[moved] = own
+        changed[f] = values[which]
     return total[of], changed
 
 
+def _numbered(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values of numbers below ``most``, which of them each one is), without sorting if a table of all numbers is not much longer."""
+    if most > 4 * len(x):
+        values, which = np.unique(x, return_inverse=True)
+        return values, which.ravel()
+    seen = np.zeros(most, bool)
+    seen[x] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[x]
+
+
 class Coded:
     """The trees over codes: for every feature that they test, the number of the model's thresholds below a value, or its category."""
 
@@ -179,25 +217,49 @@ class Coded:
         whole, count = np.zeros(len(codes), np.int64), 1
         for i, size in enumerate(self.sizes):
             if count * size >= 1 << 62:  # numbered anew before they overflow
-                whole = np.unique(whole, return_inverse=True)[1].ravel()
+                whole = pd.factorize(whole)[0]
                 count = int(whole.max()) + 1
             whole, count = whole * size + codes[:, i], count * size
-        _, first, of = np.unique(whole, return_index=True, return_inverse=True)
-        return codes[first], of.ravel()
+        of = pd.factorize(whole)[0]
+        first = np.empty(int(of.max()) + 1, np.int64)
+        first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+        return codes[first], of
 
     def _parts(self, words: int, n: int, more: int) -> Iterator[slice]:
         step = max(1, WORDS // (words * more))
         return (slice(a, a + step) for a in range(0, n, step))
 
-    def predictions(self, codes: np.ndarray) -> np.ndarray:
-        out = np.full(len(codes), float(self.plain))
+    def predictions(self, codes: np.ndarray, moves: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Predictions of rows of codes, and per slot those of its moves (row, in order, and the code that replaces the slot's).
+
+        A tree's sets of all features but one are intersected once per row: a move costs one more set, however many features there are.
+        """
+        out, moved = np.full(len(codes), float(self.plain)), [np.full(len(row), float(self.plain)) for row, _ in moves]
         for t, tables in self.trees:
-            for part in self._parts(t.words, len(codes), 3):
-                own = tables[0][1][codes[part, tables[0][0]]]
-                for i, table in tables[1:]:
-                    own = own & table[codes[part, i]]
-                out[part] += t.weight * t.values[first_set(own)]
-        return out
+            at = {i: k for k, (i, _) in enumerate(tables)}
+            for part in self._parts(t.words, len(codes), 2 * len(tables) + 3):
+                sets = [table[codes[part, i]] for i, table in tables]
+                others: list[np.ndarray | None] = [None]
+                for own in sets[:-1]:
+                    others.append(own if others[-1] is None else others[-1] & own)
+                whole = sets[-1]
+                for k in range(len(sets) - 2, -1, -1):
+                    others[k] = whole if others[k] is None else others[k] & whole
+                    whole = whole & sets[k]
+                plain = t.weight * t.values[first_set(whole)]
+                out[part] += plain
+                for i, (row, new) in enumerate(moves):
+                    a, b = np.searchsorted(row, [part.start, part.start + len(plain)]).tolist()
+                    if i not in at:
+                        moved[i][a:b] += plain[row[a:b] - part.start]
+                        continue
+                    table, rest = tables[at[i]][1], others[at[i]]
+                    for some in self._parts(t.words, b - a, 3):
+                        own = table[new[a:b][some]]
+                        if rest is not None:
+                            own &= rest[row[a:b][some] - part.start]
+                        moved[i][a:b][some] += t.weight * t.values[first_set(own)]
+        return out, moved
 
 
 def _error_sums(trees: list[Tree], n_features: int, repeats: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -240,16 +302,16 @@ def _codes(column: pa.Array, coded: Coded) -> np.ndarray:
     return coded.of(column.flatten().to_numpy().reshape(len(column), -1))
 
 
-def shuffled_drop(df: DataFrame, model: Model, n_features: int, key: str, label: str = "label", features: str = "features",
+def shuffled_drop(df: DataFrame, model: Model | list[Tree], n_features: int, key: str, label: str = "label", features: str = "features",
                   repeats: int = 10, seed: int = 42) -> DataFrame:
     """(feature, importance, sd): R2 drop per feature when it is shuffled over the given rows, mean and SD over repeats.
 
     In every repeat each row meets one partner (a shuffled position), so ``repeats`` times the rows are shuffled, however many features
     there are; tasks return sums per (feature, repeat). Features that no tree tests have 0. Rows without label or features take no
-    part; without rows the table is empty, and with equal labels the importance is null. ``key`` is unique. The model's nodes are read by
-    the driver: a tree of L leaves takes at most L * L / 8 bytes, which suits trees of some thousand leaves.
+    part; without rows the table is empty, and with equal labels the importance is null. ``key`` is unique. ``model`` is a model of Spark or
+    the trees themselves. Its nodes are read by the driver: a tree of L leaves takes at most L * L / 8 bytes, which suits trees of some thousand leaves.
     """
-    trees = df.sparkSession.sparkContext.broadcast(stored_trees(df.sparkSession, model))
+    trees = df.sparkSession.sparkContext.broadcast(stored_trees(df.sparkSession, model) if isinstance(model, Model) else model)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = Coded(trees.value)

@@ -118,3 +118,75 @@ def test_rows_of_equal_codes_meet_the_trees_once(spark, rows, monkeypatch):
     np.testing.assert_array_equal(a[0], b[0])
     for f in a[1]:
         np.testing.assert_array_equal(a[1][f], b[1][f])
+
+
+@pytest.fixture(scope="module")
+def grown(spark, rows):
+    """A forest of depth 4 on two of three parts, grown whole, from sums per cell and by passes."""
+    from armwave.operators import growing
+
+    table = growing.binned(rows.withColumn("fold", (F.col("id") % 3).cast("int")), "id")
+    model = [growing.Model(0, growing.forest({"n_estimators": 6, "max_depth": 4}), 0, 0)]
+    ways = {"whole": {}, "cells": {"local": 20, "by_cells": True}, "passes": {"local": 100}}
+    return table, {way: growing.fit(table, model, keep=True, **options) for way, options in ways.items()}
+
+
+@pytest.mark.parametrize("way", ["whole", "cells", "passes"])
+def test_kept_trees_predict_as_the_forest(spark, rows, grown, way):
+    table, fitted = grown
+    x = np.array([r.x for r in rows.where("id % 3 = 0").select(vector_to_array("features").alias("x")).collect()])
+    y = np.array([r.label for r in rows.where("id % 3 = 0").select("label").collect()])
+    trees = importance.grown_trees(fitted[way].trees(0), table.cuts[0])
+    assert len(trees) == 6 and max(len(t.values) for t in trees) <= 16
+    total, changed = importance.predictions(trees, x, x[::-1])
+    np.testing.assert_allclose(((y - total) ** 2).mean(), fitted[way].scores().first().mse, rtol=1e-6)
+    for f, values in changed.items():
+        swapped = x.copy()
+        swapped[:, f] = x[::-1, f]
+        np.testing.assert_array_equal(values, importance.predictions(trees, swapped, swapped)[0])
+
+
+def test_importance_of_a_grown_forest(spark, rows, grown):
+    table, fitted = grown
+    trees = importance.grown_trees(fitted["whole"].trees(0), table.cuts[0])
+    got = importance.shuffled_drop(rows.where("id % 3 = 0"), trees, 5, "id", repeats=2).toPandas().set_index("feature").importance
+    assert list(got.sort_values().index)[-2:] == [1, 0] and got[4] == 0
+
+
+def test_trees_are_kept_of_forests_only(grown):
+    from armwave.operators import growing
+
+    with pytest.raises(ValueError, match="forests"):
+        growing.fit(grown[0], [growing.Model(0, growing.boosted(), 0, 0)], keep=True)
+
+
+def test_a_move_costs_one_set(spark, rows, monkeypatch):
+    """A swapped feature meets the trees' other features once a row, not once a swap."""
+    model = ESTIMATORS["forest"]().fit(rows)
+    trees, asked = importance.stored_trees(spark, model), []
+    coded = importance.Coded(trees)
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            out = np.asarray(super().__getitem__(at))
+            asked.append(len(out))
+            return out
+
+    coded.trees = [(t, [(i, table.view(Counted)) for i, table in tables]) for t, tables in coded.trees]
+    x = np.array([r.x for r in rows.select(vector_to_array("features").alias("x")).collect()])
+    codes = coded.of(x)
+    distinct = len(coded.numbers(codes)[0])
+    _, changed = importance.predictions(coded, codes, codes[::-1])
+    swaps = sum(len(np.unique(np.column_stack([codes, codes[::-1, at]]), axis=0)) for at in range(len(coded.slots)))
+    assert len(changed) == len(coded.slots) and sum(asked) <= sum(len(tables) for _, tables in coded.trees) * distinct + len(trees) * swaps
+
+
+def test_the_query_fits_no_forest_of_spark(spark, sf_dir, monkeypatch):
+    """A level of Spark's forest costs as much as all rows times all trees; over 900,000 rows the query's five did not end in 300 s."""
+    from armwave.plans.catalogue import QUERIES
+
+    def refuse(*_):
+        raise AssertionError("fitted by Spark")
+
+    monkeypatch.setattr(RandomForestRegressor, "_fit", refuse)
+    assert len(QUERIES["permutation_importance"].run(spark, sf_dir).collect()) >= 3
