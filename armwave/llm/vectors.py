@@ -6,8 +6,9 @@ a normal variable whose spread the angle gives, so the number of collisions is b
 reach is the largest one that a pair at the threshold misses with at most the allowed probability. Pairs
 that reach it are verified by their cosine.
 
-Vectors are sorted by their value on the first direction and cut into blocks; a block meets those blocks whose values
-lie within the largest possible difference, and the windows of two blocks are counted for all their pairs at once.
+Vectors are sorted by their value on the first direction and cut into a few large blocks; a block meets those blocks whose values
+lie within the largest possible difference, and the windows of two blocks are counted for all pairs of a tile at once. A vector is
+copied once per block that its own meets, so blocks are as large as a task can hold, as long as all tasks have work.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from armwave.llm.graph import components, stored
 DIRECTIONS = 32
 WINDOW = 1.5        # half width in spreads of a pair at the threshold
 MISSED = 1e-4       # chance that a pair at the threshold is missed
-BLOCK = 2048        # vectors of a block
+SMALLEST = 2048     # vectors of a block that is not cut for the sake of more tasks
+BLOCK_BYTES = 16 << 20  # vectors of a block that a task may hold
+TILE = (256, 2048)  # vectors of two blocks whose collisions are counted together
+EDGES = 1 << 21     # links that a task holds before they are joined to groups
 
 
 def required_collisions(m: int = DIRECTIONS, window: float = WINDOW, missed: float = MISSED) -> int:
@@ -57,27 +61,47 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def _compare(x: np.ndarray, y: np.ndarray, same: bool, r: np.ndarray, half: float, need: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of two blocks that reach the count of collisions and the cosine."""
-    px, py = x @ r.T, y @ r.T
-    step = half / 32  # values as bytes that wrap around: far values may collide by chance, near ones always do
-    qx, qy = (np.floor(p / step).astype(np.int64).astype(np.uint8) for p in (px, py))
-    out = []
-    for first in range(0, len(x), 256):
-        count = np.zeros((min(256, len(x) - first), len(y)), np.uint8)
-        for k in range(len(r)):
-            gap = (qx[first: first + 256, k] + np.uint8(33))[:, None] - qy[:, k][None, :]
-            count += gap <= np.uint8(66)
-        i, j = np.nonzero(count >= need)
-        if same:
-            keep = i + first < j
-            i, j = i[keep], j[keep]
-        i = i + first
-        for at in range(0, len(i), 1 << 17):
-            a, b = i[at: at + (1 << 17)], j[at: at + (1 << 17)]
-            hit = np.einsum("ij,ij->i", x[a], y[b]) >= least
-            out.append((a[hit], b[hit]))
-    return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, np.int64),) * 2
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length one, in double precision."""
+    x = v.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _bytes(u: np.ndarray, r: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """(values on the first direction, values on all directions as bytes that wrap around): far values may collide by chance, near ones always do."""
+    p, q = np.empty(len(u)), np.empty((len(r), len(u)), np.uint8)
+    for a in range(0, len(u), 1 << 14):
+        own = u[a: a + (1 << 14)] @ r.T
+        p[a: a + (1 << 14)] = own[:, 0]
+        q[:, a: a + (1 << 14)] = np.floor(own / (half / 32)).astype(np.int64).astype(np.uint8).T
+    return p, q
+
+
+def _compare(x: np.ndarray, y: np.ndarray, same: bool, r: np.ndarray, half: float, need: int, least: float, reach: float = math.inf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of two blocks of unit vectors that reach the count of collisions and the cosine, tile by tile."""
+    (px, qx), (py, qy) = _bytes(x, r, half), _bytes(y, r, half)
+    ox, oy = np.argsort(px, kind="stable"), np.argsort(py, kind="stable")
+    px, py, qx, qy = px[ox], py[oy], qx[:, ox], qy[:, oy]
+    high, wide = TILE
+    for first in range(0, len(x), high):
+        end = min(first + high, len(x))
+        begin, top = (int(np.searchsorted(py, p, side=s)) for p, s in ((px[first] - reach, "left"), (px[end - 1] + reach, "right")))
+        for start in range(begin, top, wide):
+            stop = min(start + wide, top)
+            count = np.zeros((end - first, stop - start), np.uint8)
+            for k in range(len(r)):
+                gap = (qx[k, first:end] + np.uint8(33))[:, None] - qy[k, start:stop][None, :]
+                count += gap <= np.uint8(66)
+            i, j = np.nonzero(count >= need)
+            i, j = ox[i + first], oy[j + start]
+            if same:
+                keep = i < j
+                i, j = i[keep], j[keep]
+            for at in range(0, len(i), 1 << 17):
+                a, b = i[at: at + (1 << 17)], j[at: at + (1 << 17)]
+                hit = np.einsum("ij,ij->i", x[a], y[b]) >= least
+                yield a[hit], b[hit]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,24 +118,45 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _counter(r: np.ndarray, half: float, need: int, cosine: float):
+def _cuts(n: int, dim: int, width: int, tasks: int, block: int | None = None) -> int:
+    """Number of blocks of n vectors of ``dim`` numbers of ``width`` bytes: blocks that a task can hold, and some pairs of them per task."""
+    most = block or max(1, BLOCK_BYTES // (dim * width))
+    return max(1, -(-n // most), 0 if block else min(-(-n // SMALLEST), math.ceil(math.sqrt(8 * tasks))))
+
+
+def _counter(r: np.ndarray, half: float, need: int, cosine: float, reach: float):
     """Task of one pair of blocks: per vector its links and the smallest id it reaches in these blocks."""
 
     def count(t: pa.Table) -> pa.Table:
         blocks, i = t.column("block").to_numpy(), t.column("i")[0].as_py()
-        u, copies = _matrix(t.column("u")), t.column("copies").to_numpy()
+        u, copies = _unit(_matrix(t.column("v"))), t.column("copies").to_numpy()
         left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks != i)
         same_block = t.column("i")[0] == t.column("j")[0]
         if same_block:
             right = left
-        a, b = _compare(u[left], u[right], same_block, r, half, need, cosine)
-        a, b = left[a], right[b]
-        links = np.bincount(a, weights=copies[b], minlength=len(u)) + np.bincount(b, weights=copies[a], minlength=len(u))
         reps = t.column("rep").to_numpy()
         rank = np.argsort(reps, kind="stable")
         place = np.empty(len(rank), np.int64)
         place[rank] = np.arange(len(rank))
-        root = reps[rank[_forest(len(u), place[a], place[b])[place]]]
+        links, label = np.zeros(len(u)), np.arange(len(u))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def join() -> np.ndarray:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            links[:] += np.bincount(a, weights=copies[b], minlength=len(u)) + np.bincount(b, weights=copies[a], minlength=len(u))
+            return _forest(len(u), label[place[a]], label[place[b]])[label]
+
+        n_held = 0
+        for a, b in _compare(u[left], u[right], same_block, r, half, need, cosine, reach):
+            if len(a):
+                held.append((left[a], right[b]))
+                n_held += len(a)
+            if n_held >= EDGES:
+                label, n_held = join(), 0
+        if held:
+            label = join()
+        root = reps[rank[label[place]]]
         hit = links > 0
         return pa.table([pa.array(reps[hit]), pa.array(root[hit]), pa.array(links[hit].astype(np.int64))], names=["rep", "root", "links"])
 
@@ -119,20 +164,21 @@ def _counter(r: np.ndarray, half: float, need: int, cosine: float):
 
 
 def near_classes(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id", cosine: float = 0.9, m: int = DIRECTIONS,
-                 window: float = WINDOW, missed: float = MISSED, block: int = BLOCK, seed: int = 2) -> DataFrame:
+                 window: float = WINDOW, missed: float = MISSED, block: int | None = None, seed: int = 2) -> DataFrame:
     """(key, n_links, component_id) per row: links to other rows with cosine >= ``cosine``, and the smallest key reachable.
 
     Cosines are computed in double precision. Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing (0 links, their own component), as do rows with a null key (null component). Vectors of
     different lengths never link. Equal vectors are one vertex with a number of copies, so groups of
     copies are not paired; groups of near copies are counted block by block and only sums and a
-    spanning forest leave a task. Rows that repeat a key count as rows. An empty table gives an empty result.
+    spanning forest leave a task. Rows that repeat a key count as rows. An empty table gives an empty result. ``block`` sets the vectors of a block.
     """
     spread = math.sqrt(2 - 2 * cosine)
     need = required_collisions(m, window, missed)
     rows = stored(vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vec}`").cast("array<double>").alias("v")), "vectors")
     fine = rows.where(F.col("id").isNotNull() & _usable(F.col("v"))).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     kind = rows.schema["id"].dataType.simpleString()
+    narrow = dict(vectors.dtypes)[vec] == "array<float>"  # what is copied keeps the input's width
     # One vertex per distinct vector; the vector's hash and smallest id name it.
     same = stored(fine.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct")
 
@@ -143,17 +189,16 @@ def near_classes(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id"
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
                 x = _matrix(part.column("v"))
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
                 r = made.setdefault(int(dim), directions(int(dim), m, seed))
-                unit = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * int(dim)), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), pa.array(np.full(len(x), dim, np.int32)), pa.array(x @ r[0]), unit],
-                                                 names=["rep", "copies", "dim", "p", "u"])
+                own = x.astype(np.float32 if narrow else np.float64).reshape(-1)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * int(dim)), pa.array(own))
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), pa.array(np.full(len(x), dim, np.int32)), pa.array(_unit(x) @ r[0]), flat],
+                                                 names=["rep", "copies", "dim", "p", "v"])
 
-    points = stored(same.mapInArrow(project, f"rep {kind}, copies long, dim int, p double, u array<double>"), "points")
+    points = stored(same.mapInArrow(project, f"rep {kind}, copies long, dim int, p double, v array<{'float' if narrow else 'double'}>"), "points")
     found = []
     for dim, n in points.groupBy("dim").count().collect():  # one row per vector length in use
-        cuts = max(1, -(-n // block))
+        cuts = _cuts(n, int(dim), 4 if narrow else 8, points.sparkSession.sparkContext.defaultParallelism, block)
         own = points.where(F.col("dim") == dim)
         edges = sorted(set(own.approxQuantile("p", [i / cuts for i in range(1, cuts)], 0.1 / cuts))) if cuts > 1 else []
         cuts = len(edges) + 1
@@ -166,11 +211,11 @@ def near_classes(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id"
         table = spark.createDataFrame([(i, first[i], last[i]) for i in range(cuts)], "block int, low int, high int")
         cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="p", outputCol="at") if edges else None
         placed = (cut.transform(own).withColumn("block", F.col("at").cast("int")) if cut else own.withColumn("block", F.lit(0))).join(table, "block")
-        met = placed.select("rep", "copies", "u", "block", F.explode(F.sequence("low", "high")).alias("other"))
-        met = met.select("rep", "copies", "u", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        met = placed.select("rep", "copies", "v", "block", F.explode(F.sequence("low", "high")).alias("other"))
+        met = met.select("rep", "copies", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         half = window * spread / math.sqrt(dim)
 
-        found.append(met.groupBy("i", "j").applyInArrow(_counter(r, half, need, cosine), f"rep {kind}, root {kind}, links long"))
+        found.append(met.groupBy("i", "j").applyInArrow(_counter(r, half, need, cosine, reach), f"rep {kind}, root {kind}, links long"))
     base = rows.select("id", "v", (F.col("id").isNotNull() & _usable(F.col("v"))).alias("fine")).withColumn("v", F.when(F.col("fine"), F.transform("v", lambda x: x + F.lit(0.0))))
     if not found:
         return base.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
